@@ -42,11 +42,11 @@ class Band:
 
 
 BANDS = {
-    "en": Band(2.15, 6.5, 1.6, 0.15, 5.2),
-    "fr": Band(1.95, 6.5, 1.4, 0.20, 5.2),
-    "de": Band(2.20, 6.5, 1.4, 0.20, 5.2),
-    "es": Band(2.00, 6.5, 1.4, 0.20, 5.2),
-    "script:latin": Band(1.80, 7.0, 1.3, 0.25, 5.0),
+    "en": Band(1.80, 6.5, 1.70, 0.15, 5.3),
+    "fr": Band(1.68, 6.5, 1.50, 0.20, 5.3),
+    "de": Band(1.95, 6.5, 1.50, 0.20, 5.3),
+    "es": Band(1.72, 6.5, 1.45, 0.20, 5.3),
+    "script:latin": Band(1.60, 7.0, 1.30, 0.25, 5.0),
     "script:cyrillic": Band(1.20, 6.0, 0.8, 0.30, 4.8),
     "script:other": Band(0.25, 6.0, 0.2, 1.00, 4.5),
 }
