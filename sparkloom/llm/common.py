@@ -52,17 +52,17 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.hint("broadcast" if few else "shuffle_merge"), key, "left_semi")
 
 
-def marked(text: Column, pattern: str) -> Column:
+def marked(text: Column, pattern: str | Column) -> Column:
     """Split text at the matches of pattern: elements 1, 3, 5, ... are the matches.
 
     U+0001 is the marker; where the text holds one it counts as U+0002, which no pattern
     of this library tells from it, so lengths and matches stay as they are.
     """
-    clean = F.translate(text, "\x01", "\x02")
-    return F.split(F.regexp_replace(clean, f"({pattern})", "\x01$1\x01"), "\x01", -1)
+    clean = F.replace(text, F.lit("\x01"), F.lit("\x02"))
+    return F.split(F.regexp_replace(clean, pattern, "\x01$0\x01"), "\x01", -1)
 
 
-def spans_of(text: Column, pattern: str) -> Column:
+def spans_of(text: Column, pattern: str | Column) -> Column:
     """array<struct<start,end,value>> of the leftmost non-overlapping matches of pattern,
     in code points, end exclusive.  Empty without a match; null text counts as empty.
 
@@ -84,4 +84,4 @@ def spans_of(text: Column, pattern: str) -> Column:
             F.when(acc["odd"], F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"),
         )
 
-    return F.when(F.size(parts) > 1, F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(start["out"])
+    return F.aggregate(parts, start, step, lambda acc: acc["out"])

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm.common import read
 from sparkloom.llm.fertility import op1_fertility
+from sparkloom.llm.minmax import op4_minmax
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_fertility": lambda spark, d: op1_fertility(read(spark, d, "documents")),
+    "op4_minmax": lambda spark, d: op4_minmax(read(spark, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {}
