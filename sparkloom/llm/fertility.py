@@ -69,7 +69,7 @@ def vocabulary_bytes(folder: str) -> tuple[bytes, bytes]:
 class WordTokens(dict):
     """word -> number, with the word's tokens; emptied when it holds too many words."""
 
-    LIMIT = 300_000
+    LIMIT = 600_000
     LONG = 2_000
 
     def __init__(self, pieces: bytes, ranks: bytes) -> None:
@@ -83,22 +83,59 @@ class WordTokens(dict):
         # One pattern for a whole word: the vocabulary's own split at letters, digits and others.
         split = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.bpe = tiktoken.Encoding("words", pat_str=split, mergeable_ranks=table, special_tokens={})
-        self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.vocab_size())], dtype=bool)
+        n = self.pieces.vocab_size()
+        self.is_byte = np.array([self.pieces.is_byte(i) for i in range(n)], dtype=bool)
+        # Words are encoded many at a time, joined by spaces; these tokens begin a word.
+        self.begins = np.array([self.pieces.id_to_piece(i).startswith("\u2581") for i in range(n)], dtype=bool)
+        self.bpe_begins = np.zeros(max(table.values()) + 1, dtype=bool)
+        self.bpe_begins[[i for token, i in table.items() if token.startswith(b" ")]] = True
         self.reset()
 
     def reset(self) -> None:
         self.clear()
-        self.tokens: list[np.ndarray] = []
-        self.n_bpe: list[int] = []
-
-    def __missing__(self, word: bytes) -> int:
-        text = word.decode("utf-8")
-        # A very long word is cut into stretches so that its merges stay cheap.
-        cuts = [text[i : i + self.LONG] for i in range(0, len(text), self.LONG)]
-        self.tokens.append(np.array([t for c in cuts for t in self.pieces.encode(c)], dtype=np.int32))
-        self.n_bpe.append(sum(len(self.bpe.encode_ordinary(" " + c if i == 0 else c)) for i, c in enumerate(cuts)))
-        self[word] = number = len(self.n_bpe) - 1
-        return number
+        self.tokens = np.zeros(1 << 16, dtype=np.int32)  # of all words, one after the other
+        self.ends = np.zeros(1 << 14, dtype=np.int64)  # of each word's tokens
+        self.n_bpe = np.zeros(1 << 14, dtype=np.int64)
+
+    @staticmethod
+    def room(array: np.ndarray, used: int, more: int) -> np.ndarray:
+        return array if used + more <= len(array) else np.concatenate([array, np.zeros(max(more, len(array)), dtype=array.dtype)])
+
+    def learn(self, words: list[bytes]) -> None:
+        """Number the new words and encode them.  A very long word is cut into stretches, so that its merges stay cheap."""
+        texts = [w.decode("utf-8") for w in words]
+        flat, n_pieces, n_bpe = self.together(texts)
+        if flat is None:
+            cuts = [[w[i : i + self.LONG] for i in range(0, len(w), self.LONG)] for w in texts]
+            pieces = [[t for c in cut for t in self.pieces.encode(c)] for cut in cuts]
+            flat, n_pieces = np.fromiter((t for p in pieces for t in p), dtype=np.int32), [len(p) for p in pieces]
+            n_bpe = [sum(len(self.bpe.encode_ordinary(" " + c)) for c in cut) for cut in cuts]
+        at, end = len(self), int(self.ends[len(self) - 1]) if self else 0
+        self.tokens = self.room(self.tokens, end, len(flat))
+        self.tokens[end : end + len(flat)] = flat
+        self.ends, self.n_bpe = self.room(self.ends, at, len(words)), self.room(self.n_bpe, at, len(words))
+        self.ends[at : at + len(words)] = end + np.cumsum(n_pieces)
+        self.n_bpe[at : at + len(words)] = n_bpe
+        self.update(zip(words, range(at, at + len(words))))
+
+    def together(self, texts: list[str]) -> tuple:
+        """Tokens and counts of all words from one call; none if a word blurs where words begin."""
+        if max(map(len, texts)) > self.LONG:
+            return None, None, None
+        line = " ".join(texts)
+        flat = np.array(self.pieces.encode(line), dtype=np.int32)
+        bpe = np.array(self.bpe.encode_ordinary(" " + line), dtype=np.int32)
+        first, bpe_first = np.flatnonzero(self.begins[flat]), np.flatnonzero(self.bpe_begins[bpe])
+        if len(first) != len(texts) or len(bpe_first) != len(texts) or first[0] or bpe_first[0]:
+            return None, None, None
+        return flat, np.diff(first, append=len(flat)), np.diff(bpe_first, append=len(bpe))
+
+    def tokens_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words' tokens, one word after the other, and how many each has."""
+        ends = self.ends[ids]
+        starts = np.where(ids > 0, self.ends[ids - 1], 0)
+        n = ends - starts
+        return self.tokens[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
 
 def repeat_words(ids: np.ndarray) -> int:
@@ -133,18 +170,19 @@ def measure(text: str | None, vocab: WordTokens) -> tuple:
     if len(vocab) > vocab.LIMIT:
         vocab.reset()
     words = text.encode("utf-8").split()  # bytes split at the six separators only
+    if new := [w for w in dict.fromkeys(words) if w not in vocab]:
+        vocab.learn(new)
     ids = np.fromiter(map(vocab.__getitem__, words), dtype=np.int64, count=len(words))
     used, times = np.unique(ids, return_counts=True)
-    own = [vocab.tokens[i] for i in used]
-    lengths = np.array([len(t) for t in own], dtype=np.int64)
+    tokens, lengths = vocab.tokens_of(used)
     n_tokens = int((lengths * times).sum())
     n_bytes, entropy = 0, 0.0
     if n_tokens:
-        tally = np.bincount(np.concatenate(own), weights=np.repeat(times, lengths))
+        tally = np.bincount(tokens, weights=np.repeat(times, lengths))
         n_bytes = int(tally[vocab.is_byte[: len(tally)]].sum())
         tally = tally[tally > 0]
         entropy = float(np.log2(n_tokens) - (tally * np.log2(tally)).sum() / n_tokens)
-    n_bpe = int(sum(vocab.n_bpe[i] * int(n) for i, n in zip(used, times)))
+    n_bpe = int((vocab.n_bpe[used] * times).sum())
     return (
         len(words),
         len(text) - sum(text.count(c) for c in SEPARATORS),
