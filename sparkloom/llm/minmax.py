@@ -8,8 +8,8 @@ The plan never lists all pairs of a bucket:
 1. documents with equal shingle sets form one class (aggregated before anything is shuffled);
 2. every member of a bucket is compared with one leader, the member that shares most buckets;
 3. of the buckets that still hold two components, pairs are compared only where a bound allows
-   a link: shingles that no other candidate has cannot be shared, so with m = size less those,
-   100 * min(m) >= t / (100 + t) * (sum of sizes) * 100 must hold.
+   a link: what each member lost of the leader's shingles, and has beside them, is kept as a set
+   of bins, and two members share at most what most_shared() works out from those bins.
 Links lost by banding alone: (1 - s^rows)^bands for similarity s, 5 in a million at s = 0.8.
 
 Defined results: null texts and texts without a word have an empty set and stay alone; equal
@@ -19,11 +19,11 @@ id takes the component of its class; extra columns are ignored; an empty table g
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import only_ids, stored
@@ -126,14 +126,55 @@ def shingle_table(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; pairs and sets are stored tables."""
+WORDS_OF_BITS = 4
+
+
+def bits(values: Column) -> Column:
+    """A 256-bit set of hashes modulo 256, as a struct of four longs."""
+
+    def step(acc: Column, h: Column) -> Column:
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+        word = F.call_function("shiftrightunsigned", h, F.lit(6)).bitwiseAND(WORDS_OF_BITS - 1)
+        return F.struct(*(F.when(word == i, acc[f"w{i}"].bitwiseOR(one)).otherwise(acc[f"w{i}"]).alias(f"w{i}") for i in range(WORDS_OF_BITS)))
+
+    return F.aggregate(values, F.struct(*(F.lit(0).cast("long").alias(f"w{i}") for i in range(WORDS_OF_BITS))), step)
+
+
+def count_bits(x: str, y: str, op: Callable[[Column, Column], Column]) -> Column:
+    return sum((F.bit_count(op(F.col(f"{x}.w{i}"), F.col(f"{y}.w{i}"))) for i in range(1, WORDS_OF_BITS)), F.bit_count(op(F.col(f"{x}.w0"), F.col(f"{y}.w0"))))
+
+
+def most_shared(x: str, y: str) -> Column:
+    """No pair of members x, y of a leader's bucket shares more shingles than this.
+
+    They share at most what neither has lost of the leader's, and of what each has beside the
+    leader's at most those in bins that the other fills too.
+    """
+    kept = F.col(f"{x}.nb") - count_bits(f"{x}.lost", f"{y}.lost", lambda p, q: p.bitwiseOR(q))
+    own = F.col(f"{x}.n_extra") - count_bits(f"{x}.extra", f"{y}.extra", lambda p, q: p.bitwiseAND(F.bitwise_not(q)))
+    other = F.col(f"{y}.n_extra") - count_bits(f"{y}.extra", f"{x}.extra", lambda p, q: p.bitwiseAND(F.bitwise_not(q)))
+    return kept + F.least(own, other)
+
+
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs(a, b) with linked, by the full sets; and how a differs from b where that tells much.
+
+    pairs and sets are stored tables, so that Spark can split the joins of a hot id.
+    """
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left.hint("shuffle_merge"), "a").join(right.hint("shuffle_merge"), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    enough = 100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)
-    return both.where(enough).select("a", "b")
+    both = both.withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+    total = F.size("sa") + F.size("sb") - F.col("shared")
+    alike = 200 * F.col("shared") >= percent * total
+    return both.select(
+        "a",
+        "b",
+        (100 * F.col("shared") >= percent * total).alias("linked"),
+        F.when(alike, bits(F.array_except("sb", "sa"))).alias("lost"),
+        F.when(alike, bits(F.array_except("sa", "sb"))).alias("extra"),
+        (F.size("sa") - F.col("shared")).alias("n_extra"),
+    )
 
 
 def near_duplicate_links(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -149,40 +190,38 @@ def near_duplicate_links(classes: DataFrame, docs: DataFrame, words: int, percen
     leader = stored(leader.select("key", F.col("top.id").alias("b"), F.col("top.n").alias("nb")), "dup-leaders")
     led = weighed.join(leader.hint("shuffle_merge"), "key").where("id <> b").where(fair("n", "nb", percent))
     first = stored(led.select(F.col("id").alias("a"), "b").distinct(), "dup-pairs")
-    links = stored(confirmed(first, sets, percent), "dup-links")
+    tried = stored(compared(first, sets, percent), "dup-compared")
+    links = tried.where("linked").select("a", "b")
 
     # The rest: buckets that still hold more than one component.
     parts = stored(connected_components(links), "dup-parts")
     placed = held.join(parts.withColumnRenamed("node", "id").hint("shuffle_merge"), "id", "left")
     placed = stored(placed.withColumn("component", F.coalesce("component", "id")), "dup-placed")
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least")).where("lo < hi")
-    split = stored(split.select("key", "least"), "dup-split")
-    open_ = stored(placed.join(split.hint("shuffle_merge"), "key"), "dup-open")
-    ids = stored(open_.select("id").distinct(), "dup-open-ids")
-    token = sets.join(ids.hint("shuffle_merge"), "id", "left_semi").select("id", F.explode("shingles").alias("s"))
-    token = stored(token, "dup-tokens")
-    once = token.groupBy("s").agg(F.count("*").alias("df"), F.min("id").alias("id")).where("df = 1")
-    own = stored(once.groupBy("id").agg(F.count("*").alias("own")), "dup-own")
-    rest = open_.join(own.hint("shuffle_merge"), "id", "left").withColumn("m", F.col("n") - F.coalesce("own", F.lit(0)))
-    # The smallest partner of the bucket must leave room for a link at all.
-    rest = stored(rest.where((100 + percent) * F.col("m") >= percent * (F.col("n") + F.col("least"))), "dup-rest")
+    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    split = stored(split.select("key"), "dup-split")
+    open_ = stored(placed.join(split.hint("shuffle_merge"), "key").join(leader.hint("shuffle_merge"), "key"), "dup-open")
+    differ = tried.select(F.col("a").alias("id"), "b", "lost", "extra", "n_extra")
+    rest = stored(open_.join(differ.hint("shuffle_merge"), ["id", "b"], "left"), "dup-rest")
     x, y = rest.alias("x"), rest.alias("y")
+    shared = F.coalesce(most_shared("x", "y"), F.least("x.n", "y.n"))
     pair = x.join(
         y.hint("shuffle_merge"),
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.id") < F.col("y.id"))
         & (F.col("x.component") != F.col("y.component"))
+        & (F.col("x.id") != F.col("x.b"))
+        & (F.col("y.id") != F.col("y.b"))
         & fair("x.n", "y.n", percent)
-        & ((100 + percent) * F.least("x.m", "y.m") >= percent * (F.col("x.n") + F.col("y.n"))),
+        & ((100 + percent) * shared >= percent * (F.col("x.n") + F.col("y.n"))),
     )
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = pair.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    second = stored(second.join(tried.hint("shuffle_merge"), ["a", "b"], "left_anti"), "dup-pairs")
-    more = confirmed(second, sets, percent)
+    second = stored(second.join(done.hint("shuffle_merge"), ["a", "b"], "left_anti"), "dup-pairs")
+    more = compared(second, sets, percent).where("linked").select("a", "b")
     return stored(links.unionByName(more).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "dup-links")
 
 
-def fair(n: str, m: str, percent: int):
+def fair(n: str, m: str, percent: int) -> Column:
     """Sizes that allow the similarity: the smaller is at least percent of the larger."""
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
