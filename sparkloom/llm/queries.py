@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm.common import read
+from sparkloom.llm.disclosure import op2_disclosure
 from sparkloom.llm.fertility import op1_fertility
 from sparkloom.llm.minmax import op4_minmax
+from sparkloom.llm.secrets import op6_secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_fertility": lambda spark, d: op1_fertility(read(spark, d, "documents")),
+    "op2_disclosure": lambda spark, d: op2_disclosure(read(spark, d, "documents")),
     "op4_minmax": lambda spark, d: op4_minmax(read(spark, d, "documents")),
+    "op6_secrets": lambda spark, d: op6_secrets(read(spark, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {}
