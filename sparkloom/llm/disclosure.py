@@ -114,12 +114,10 @@ def disclosing_pairs(docs: DataFrame, found: DataFrame, min_texts: int = MIN_TEX
     entities = found.select("entity", "id").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     entities = stored(entities, "pii-entities")
     wanted = stored(counted.select("term").distinct(), "pii-terms")
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # Words are counted before they meet the wanted terms: a row a word joins, not one a document.
     words = docs.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    if few:
-        words = words.join(F.broadcast(wanted), "term", "left_semi")
-    seen = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    seen = stored(seen if few else seen.join(wanted.hint("shuffle_merge"), "term", "left_semi"), "pii-seen")
+    seen = stored(words.groupBy("term").agg(F.count("*").alias("n_term")), "pii-words")
+    seen = stored(seen.join(wanted.hint("shuffle_merge"), "term", "left_semi"), "pii-seen")
     total = docs.count()
     scored = counted.join(entities.hint("shuffle_merge"), "entity")
     scored = stored(scored, "pii-scored").join(seen.hint("shuffle_merge"), "term")
