@@ -86,7 +86,7 @@ def explorer_entities(links: DataFrame) -> DataFrame:
 
 def entity_stats(links: DataFrame) -> DataFrame:
     """Per entity: mean strength and the strongest partner sector."""
-    return _sides(links).groupBy("entity").agg(F.round(F.avg("strength"), 6).alias("mean_strength"), F.round(F.max("strength"), 4).alias("max_strength"), F.count("*").alias("n_links"))
+    return _sides(links).groupBy("entity").agg(F.round(F.avg("strength"), 8).alias("mean_strength"), F.round(F.max("strength"), 4).alias("max_strength"), F.count("*").alias("n_links"))
 
 
 def source_reliability(docs: DataFrame) -> DataFrame:

@@ -826,7 +826,7 @@ def explorer_entities(spark, d):
     return briefing.explorer_entities(calibrated(spark, d))
 
 
-@query(f"WITH {LINKS}, {SIDES} SELECT entity, round(avg(strength), 6) AS mean_strength, max(strength) AS max_strength, count(*) AS n_links FROM sd GROUP BY entity")
+@query(f"WITH {LINKS}, {SIDES} SELECT entity, round(avg(strength), 8) AS mean_strength, max(strength) AS max_strength, count(*) AS n_links FROM sd GROUP BY entity")
 def explorer_stats(spark, d):
     return briefing.entity_stats(calibrated(spark, d))
 
