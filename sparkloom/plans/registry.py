@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.functions import language
 from sparkloom.functions import text as T
 from sparkloom.operators import briefing, cooccur, dedup, graph, lag, scoring, search, signals, trends
 from sparkloom.operators import narratives as N
@@ -857,3 +858,90 @@ def timeline(spark, d):
 def source_reliability(spark, d):
     flag = lambda x: F.col("text").contains(x).cast("double")
     return briefing.source_reliability(read(spark, d, "documents").select("source", flag("!!").alias("sensationalism"), flag("$$$").alias("clickbait"), flag("?").alias("emotional")))
+
+
+# ---- languages, places, profiles, single lookups
+
+@query(r"""WITH w AS (SELECT lang, doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[ \t\n\x0b\f\r]+'))) AS word FROM documents WHERE lang IS NOT NULL), c AS (SELECT lang, word, count(*) AS n FROM w WHERE word <> '' GROUP BY ALL),
+  p AS (SELECT lang, word FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM c) WHERE r <= 200), f AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(substring(text, 1, 500)), '[ \t\n\x0b\f\r]+'))) AS word FROM documents),
+  h AS (SELECT doc_id, p.lang, count(*) AS n FROM f JOIN p USING (word) WHERE word <> '' GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lang) AS r FROM h) SELECT doc_id, coalesce(b.lang, 'unknown') AS detected, coalesce(n, 0) AS hits FROM documents LEFT JOIN (FROM b WHERE r = 1) b USING (doc_id)""")
+def lang_id(spark, d):
+    docs = read(spark, d, "documents")
+    return language.detect_language(docs, language.word_profiles(docs))
+
+
+@query("""WITH e AS (SELECT DISTINCT s_name || ' of ' || n_name AS entity FROM supplier JOIN nation ON s_nationkey = n_nationkey), c AS (SELECT n_name AS country, n_nationkey AS rank, CAST(n_nationkey AS DOUBLE) AS lat, CAST(n_regionkey AS DOUBLE) AS lon FROM nation),
+  h AS (SELECT entity, country, lat, lon, row_number() OVER (PARTITION BY entity ORDER BY rank) AS r FROM e JOIN c ON contains(lower(entity), lower(country))) SELECT entity, country, lat, lon FROM h WHERE r = 1""")
+def geo(spark, d):
+    n = read(spark, d, "nation")
+    e = read(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat("s_name", F.lit(" of "), "n_name").alias("entity")).distinct()
+    return language.locate(e, n.select(F.col("n_name").alias("country"), F.col("n_nationkey").alias("rank"), F.col("n_nationkey").cast("double").alias("lat"), F.col("n_regionkey").cast("double").alias("lon")))
+
+
+@query(None)
+def column_profile(spark, d):
+    return ingest.categorical_profile(read(spark, d, "documents"))
+
+
+@query(f"WITH {E_SPIKES} SELECT entity, round(greatest(0.1::DOUBLE, least(0.98::DOUBLE, 0.4::DOUBLE * 0.4::DOUBLE + least(round(n * b, 1) / 10.0::DOUBLE + round(b, 1) * 0.2::DOUBLE + n * 0.03::DOUBLE, 1.0::DOUBLE) * 0.6::DOUBLE)), 3) AS confidence FROM es WHERE b > 1.2")
+def signal_confidence(spark, d):
+    return scoring.calibrate_signals(signals.entity_spikes(event_mentions(spark, d), min_burst=1.2)).select("entity", "confidence")
+
+
+@query(f"WITH {LINKS} SELECT source_entity, target_entity, confidence FROM lk WHERE least(source_entity, target_entity) = 'Supplier#000000001' AND greatest(source_entity, target_entity) <= 'Supplier#000000005'")
+def links_of_entity(spark, d):
+    found, out = stored(calibrated(spark, d), "links"), None
+    for k in range(2, 6):
+        one = scoring.find_link(found, f"Supplier#00000000{k}", "Supplier#000000001").select("source_entity", "target_entity", "confidence")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(rf"""WITH lx(word, weight) AS (VALUES {', '.join(f"('{w}', {x}::DOUBLE)" for w, x in LEXICON)}), w AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}\p{{M}}_\s]', '', 'g'), '\s+')) AS word FROM documents),
+  s AS (SELECT doc_id, count(*) AS n, count(weight) AS k, coalesce(sum(weight), 0) AS x FROM w LEFT JOIN lx USING (word) WHERE word <> '' GROUP BY doc_id) SELECT doc_id, round(abs(round(x / sqrt(x * x + 15.0), 4)) * (1 - round(1 - k / n, 4)), 8) AS subjectivity FROM s""")
+def subjectivity(spark, d):
+    s = T.sentiment(read(spark, d, "documents"), spark.createDataFrame(LEXICON, "word string, weight double"))
+    return s.select("doc_id", F.round(T.subjectivity(F.col("compound"), F.col("neu")), 8).alias("subjectivity"))
+
+
+# ---- streams over the events table, run to its end
+
+def _drained(df: DataFrame, name: str) -> DataFrame:
+    """What an append stream writes until its input is used up, read back from its file sink."""
+    import uuid
+
+    from sparkloom.sources.scratch import folder
+
+    spark = df.sparkSession
+    base = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    q = df.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{base}/out")
+
+
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    schema = read(spark, d, "events").schema
+    e = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{d}/events.parquet*")
+    return e.select(F.col("event_id").alias("doc_id"), F.col("user_id").cast("string").alias("entity"), F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query(f"WITH {EVENTS}, {DAILY} SELECT day, entity, n FROM daily WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM mentions) - INTERVAL 1 DAY")
+def stream_daily_counts(spark, d):
+    from sparkloom.streaming import streams
+
+    return _drained(streams.daily_counts_stream(_event_stream(spark, d)), "daily")
+
+
+@query(f"WITH {EVENTS}, w AS (SELECT entity, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS start FROM mentions) SELECT start, entity, count(*) AS n FROM w WHERE start + INTERVAL 2 DAY <= (SELECT max(ts) FROM mentions) - INTERVAL 1 DAY GROUP BY ALL")
+def stream_sliding_counts(spark, d):
+    from sparkloom.streaming import streams
+
+    return _drained(streams.sliding_counts(_event_stream(spark, d), "48 hours", "24 hours"), "sliding")
+
+
+@query(f"WITH {EVENTS} SELECT DISTINCT source AS title, entity AS source FROM mentions")
+def stream_dedup(spark, d):
+    from sparkloom.streaming import streams
+
+    e = _event_stream(spark, d).select(F.col("source").alias("title"), F.col("entity").alias("source"), F.lit("").alias("link"), "ts")
+    return _drained(streams.dedup_stream(e, "90 days").select("title", "source"), "dedup")

@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write df as Parquet under spark.checkpoint.dir and read it back; lineage ends here."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+def folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
         import tempfile
 
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-loom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/{what}-{uuid.uuid4().hex}"
+        found = "file://" + tempfile.mkdtemp(prefix="spark-loom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back; lineage ends here."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
