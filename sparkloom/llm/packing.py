@@ -27,7 +27,7 @@ from sparkloom.llm.common import WORD, stored
 
 LENGTHS = (512, 1024, 2048, 4096)
 OVERHEAD = 16
-SHARD_ROWS = 20_000
+SHARD_ROWS = 5_000
 
 
 def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD) -> tuple[list[int], list[int], list[int]]:
