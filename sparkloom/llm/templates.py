@@ -24,7 +24,7 @@ repeated rows count once; extra columns are ignored; empty tables give no rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,48 +49,73 @@ NUMBER_H, NAME_H, UNIT_H = (np.uint64(h) for h in (0x1234567, 0x2345678, 0x34567
 
 
 class Canon(dict):
-    """raw word (bytes) -> (hash mid-sentence, hash at a sentence's start, ends a sentence, is empty)."""
+    """raw word (bytes) -> number, with its canonical hashes in arrays; emptied between texts."""
 
-    LIMIT = 400_000
+    LIMIT = 600_000
+    SLOTS = np.array([NUMBER_H, NAME_H, UNIT_H], dtype=np.uint64)
 
-    def __missing__(self, raw: bytes) -> tuple[int, int, int, int]:
+    def __init__(self) -> None:
         import xxhash
 
-        if len(self) >= self.LIMIT:
-            self.clear()
-        word = raw.decode("utf-8")
-        core = EDGE.sub("", word)
-        plain = int(xxhash.xxh64_intdigest(core.lower()))
-        ends = int(word[-1] in ".!?:" or word[-2:-1] in (".", "!", "?"))
-        if NUMBER.match(core):
-            mid = start = int(NUMBER_H)
-        elif core.lower() in UNITS:
-            mid = start = int(UNIT_H)
+        self.hash = xxhash.xxh64_intdigest
+        self.units = {u.encode() for u in UNITS}
+        self.number, self.name, self.unit = (int(x) for x in self.SLOTS)
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        # Columns: the hash inside a sentence and at its start, whether the word ends one, whether nothing is left of it.
+        self.table = np.zeros((1 << 14, 4), dtype=np.uint64)
+
+    def __missing__(self, raw: bytes) -> int:
+        if raw.isalpha() and raw.islower():  # plain ASCII words, most of any English text
+            h = self.unit if raw in self.units else self.hash(raw)
+            row = (h, h, 0, 0)
+        else:
+            row = self.canonical_word(raw.decode("utf-8"))
+        number = len(self)
+        if number == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[number] = row
+        self[raw] = number
+        return number
+
+    def canonical_word(self, word: str) -> tuple[int, int, int, int]:
+        core = word if word.isalpha() else EDGE.sub("", word)
+        low = core.lower()
+        start = self.hash(low.encode("utf-8"))
+        if low in UNITS:
+            mid = start = self.unit
+        elif core.isalpha():
+            mid = self.name if core[0].isupper() and not core.isupper() else start
+        elif NUMBER.match(core):
+            mid = start = self.number
         else:
-            start, mid = plain, int(NAME_H) if core[:1].isupper() and not core.isupper() else plain
-        self[raw] = out = (mid, start, ends, int(not core))
-        return out
+            mid = self.name if core[:1].isupper() and not core.isupper() else start
+        return mid, start, int(word[-1] in ".!?:" or word[-2:-1] in (".", "!", "?")), int(not core)
 
 
-def canonical(text: str | None, cache: Canon) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Canonical hashes of the words, whether each is a slot, and the words themselves."""
+def canonical(text: str | None, cache: Canon) -> tuple[np.ndarray, np.ndarray, Callable[[int], str]]:
+    """Canonical hashes of the words, whether each is a slot, and the word at each place."""
+    if len(cache) > cache.LIMIT:
+        cache.reset()
     words = text.encode("utf-8").split() if text else []
     if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, bool), []
-    table = np.array([cache[w] for w in words], dtype=np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, bool), str
+    ids = np.fromiter(map(cache.__getitem__, words), dtype=np.int64, count=len(words))
+    table = cache.table[ids]
     first = np.concatenate([[True], table[:-1, 2] == 1])
     h = np.where(first, table[:, 1], table[:, 0])
-    there = table[:, 3] == 0
-    if not there.all():
-        words = [w for w, x in zip(words, there) if x]
+    there = np.flatnonzero(table[:, 3] == 0)
     h = h[there]
-    return h, (h == NUMBER_H) | (h == NAME_H) | (h == UNIT_H), words
+    return h, (h == NUMBER_H) | (h == NAME_H) | (h == UNIT_H), lambda i: words[there[i]].decode("utf-8")
 
 
 def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    spread = mixed(h)
     acc = np.full(len(h) - size + 1, size, dtype=np.uint64)
     for i in range(size):
-        acc = acc * MIX_A + mixed(h[i : len(h) - size + 1 + i] + np.uint64(i))
+        acc = acc * MIX_A + spread[i : len(h) - size + 1 + i]
     return mixed(acc)
 
 
@@ -108,7 +133,7 @@ def template_windows(rows: DataFrame, sizes: tuple[int, ...], probe: object | No
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text")):
-                h, slot, words = canonical(text.as_py(), cache)
+                h, slot, word = canonical(text.as_py(), cache)
                 for size in [min(WINDOW, len(h))] if whole else sizes:
                     if not 0 < size <= len(h):
                         continue
@@ -119,7 +144,7 @@ def template_windows(rows: DataFrame, sizes: tuple[int, ...], probe: object | No
                         near = np.searchsorted(known, w)
                         at = at[known[np.minimum(near[at], len(known) - 1)] == w[at]] if len(known) else at[:0]
                     for p in at.tolist():
-                        values = [words[p + k].decode("utf-8") for k in np.flatnonzero(slot[p : p + size])]
+                        values = [word(p + int(k)) for k in np.flatnonzero(slot[p : p + size])]
                         for column, x in zip(out, (doc, int(w[p].astype(np.int64)), p, size, len(h), values)):
                             column.append(x)
                     if len(out[0]) > 20_000:

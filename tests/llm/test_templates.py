@@ -6,10 +6,13 @@ SF01 = "/root/testdata/sf0.01"
 
 def brute(docs, items):
     cache, out = Canon(), {}
-    canon = {i: canonical(t, cache) for i, t in items}
+    canon = {}
+    for i, t in items:
+        g, slot, word = canonical(t, cache)
+        canon[i] = (g, slot, [word(k) for k in range(len(g))])
     for d, t in docs:
-        h, _, words = canonical(t, cache)
-        h = h.tolist()
+        h, _, word = canonical(t, cache)
+        h, words = h.tolist(), [word(i) for i in range(len(h))]
         for i, (g, slot, own) in canon.items():
             g, size = g.tolist(), min(WINDOW, len(g))
             lines = {}
