@@ -119,6 +119,24 @@ def explain_links(links: DataFrame) -> DataFrame:
     return links.withColumn("impact_score", F.round(score, 2)).withColumn("impact_level", F.when(score >= 70, "high").when(score >= 40, "medium").otherwise("low")).withColumn("explanation", F.coalesce(own, text))
 
 
+def downstream_effects(links: DataFrame, effects: DataFrame) -> DataFrame:
+    """links with the array downstream: the sector pair's effects in either order (the forward one
+    wins), or a sentence made of the two sectors."""
+    ahead = effects.select(F.col("p1").alias("source_sector"), F.col("p2").alias("target_sector"), F.col("effects").alias("__f"))
+    back = effects.select(F.col("p2").alias("source_sector"), F.col("p1").alias("target_sector"), F.col("effects").alias("__b"))
+    j = links.join(F.broadcast(ahead), ["source_sector", "target_sector"], "left").join(F.broadcast(back), ["source_sector", "target_sector"], "left")  # a table of sector pairs
+    plain = F.array(F.format_string("Cross-domain propagation between %s and %s", "source_sector", "target_sector"))
+    return j.select(*links.columns, F.coalesce("__f", "__b", plain).alias("downstream"))
+
+
+def narrative_sentence(name: str = "entity") -> Column:
+    return F.format_string("%s is %s: %d mentions, %d of them recent", F.col(name), F.col("phase"), F.col("total_mentions"), F.col("recent_7_days"))
+
+
+def signal_sentence(name: str = "entity") -> Column:
+    return F.format_string("%s: %s (%d mentions, burst %.1fx)", F.col("type"), F.col(name), F.col("recent_count"), F.col("burst_factor"))
+
+
 def find_link(links: DataFrame, source: str, target: str) -> DataFrame:
     return links.where(((F.col("source_entity") == source) & (F.col("target_entity") == target)) | ((F.col("source_entity") == target) & (F.col("target_entity") == source)))
 

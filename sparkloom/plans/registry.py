@@ -945,3 +945,19 @@ def stream_dedup(spark, d):
 
     e = _event_stream(spark, d).select(F.col("source").alias("title"), F.col("entity").alias("source"), F.lit("").alias("link"), "ts")
     return _drained(streams.dedup_stream(e, "90 days").select("title", "source"), "dedup")
+
+
+@query(f"WITH {LINKS}, pat(p1, p2, l, t, e) AS (VALUES {REGION_VALUES}) SELECT source_entity, target_entity, coalesce(e, 'Cross-domain propagation between ' || source_sector || ' and ' || target_sector) AS effect FROM links LEFT JOIN pat ON (p1 = source_sector AND p2 = target_sector) OR (p2 = source_sector AND p1 = target_sector)")
+def links_downstream(spark, d):
+    effects = spark.createDataFrame([(a, b, [e]) for a, b, _, _, e in REGIONS], "p1 string, p2 string, effects array<string>")
+    return scoring.downstream_effects(links_npmi(spark, d), effects).select("source_entity", "target_entity", F.col("downstream")[0].alias("effect"))
+
+
+@query(f"WITH {NARR} SELECT entity, entity || ' is ' || phase || ': ' || total_mentions || ' mentions, ' || recent_7_days || ' of them recent' AS sentence FROM narr")
+def narrative_sentences(spark, d):
+    return entity_narratives(spark, d).select("entity", scoring.narrative_sentence().alias("sentence"))
+
+
+@query(f"WITH {E_SPIKES} SELECT entity, printf('anomaly: %s (%d mentions, burst %.1fx)', entity, n, round(b, 1)) AS sentence FROM es WHERE b > 1.2")
+def signal_sentences(spark, d):
+    return signals.entity_spikes(event_mentions(spark, d), min_burst=1.2).select("entity", scoring.signal_sentence().alias("sentence"))

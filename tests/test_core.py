@@ -152,3 +152,17 @@ def test_sinks(spark, tmp_path):
     raw = spark.createDataFrame([("s", "t", "d", "l", "", "p", "x", "c", "line\n\"two\"", "y")], ingest.RAW_SCHEMA)
     ingest.save_raw(raw, str(tmp_path / "c"))
     assert ingest.load_raw(spark, str(tmp_path / "c")).first().full_text == "line\n\"two\""
+
+
+def test_default_lexicons(spark):
+    from sparkloom.functions import lexicons
+
+    text = "The Prime Minister met Jane Goodall near London and Google today"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert docs.select(T.names_in(F.col("text"), lexicons.NAME_SKIP_WORDS)).first()[0] == ["Jane Goodall"]
+    assert {(r.etype, r.name) for r in T.gazetteer(docs, lexicons.gazetteer_table(spark)).collect()} == {("orgs", "Google"), ("locations", "London")}
+    names = spark.createDataFrame([("google", "orgs"), ("senate committee", "orgs"), ("senate committee", "persons"), ("xyz", "orgs")], "entity string, etype string")
+    out = {(r.entity, r.sector, r.confidence) for r in cooccur.classify_sectors(names.where("etype = 'orgs'"), lexicons.sector_keyword_table(spark)).collect()}
+    assert out == {("google", "technology", 0.3), ("senate committee", "politics", 0.5), ("xyz", "global_events", 0.1)}
+    effects = lexicons.downstream_table(spark)
+    assert scoring.downstream_effects(link(spark, source_sector="technology", target_sector="finance"), effects).first().downstream[0] == "Venture capital reallocation"
