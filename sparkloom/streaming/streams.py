@@ -49,8 +49,12 @@ class PhaseTracker(StatefulProcessor):
 
     DAYS = 14
 
+    def __init__(self, idle_days: int | None = None) -> None:
+        self.idle_days = idle_days
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.series = handle.getValueState("series", "days array<date>, counts array<long>, phase string", ttlDurationMs=90 * 86_400_000)
+        ttl = self.idle_days * 86_400_000 if self.idle_days else None
+        self.series = handle.getValueState("series", "days array<date>, counts array<long>, phase string", ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         days, counts, phase = self.series.get() if self.series.exists() else ([], [], None)
@@ -68,9 +72,14 @@ class PhaseTracker(StatefulProcessor):
         pass
 
 
-def phase_changes(daily: DataFrame) -> DataFrame:
-    """entity, from_phase, to_phase, day from a stream of (entity, day, n)."""
-    return daily.groupBy("entity").transformWithStateInPandas(PhaseTracker(), "entity string, from_phase string, to_phase string, day date", "append", "none")
+def phase_changes(daily: DataFrame, idle_days: int | None = None) -> DataFrame:
+    """entity, from_phase, to_phase, day from a stream of (entity, day, n).
+
+    With idle_days, entities not seen for that long are forgotten (by processing time, so for
+    queries that run on; one that drains its input keeps all state).
+    """
+    kind = "entity string, from_phase string, to_phase string, day date"
+    return daily.groupBy("entity").transformWithStateInPandas(PhaseTracker(idle_days), kind, "append", "processingTime" if idle_days else "none")
 
 
 def every_quarter_hour(writer: DataStreamWriter) -> DataStreamWriter:
