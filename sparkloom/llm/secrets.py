@@ -1,7 +1,8 @@
 """Operator 6, secret scans: base patterns plus multipart credential linking.
 
 The base patterns (assign, access, hex) are reported wherever they pass.  Weak candidates
-(user names and client ids, short or unnamed secrets, service addresses) are reported only
+(user names and client ids, short or unnamed secrets, secrets with symbols that the base
+patterns end at or refuse, service addresses) are reported only
 where the other parts of a credential stand in the same scope, a stretch of SCOPE code points:
 an identifier needs a secret, a secret an identifier, an endpoint one of each.  Candidates meet
 by an interval join on the document and on buckets as wide as a scope, so that each meets only
@@ -24,7 +25,7 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*+[:=]\x20*+["
 BASE = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{14,}+", "hex": r"[0-9a-f]{16,}+"}
 WEAK = {
     "weak_id": r"""(?i:user(?:_?name)?|login|client_?id|account_?id|access_?key_?id)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9@._-]{3,}+""",
-    "weak_secret": r"""(?i:pwd|pass|passphrase|auth_?key|private_?key|credential)["']?\x20*+[:=]\x20*+["']?[^\s"',;]{6,}+"""
+    "weak_secret": r"""(?i:password|passwd|secret|token|api_?key|pwd|pass|passphrase|auth_?key|private_?key|credential)["']?\x20*+[:=]\x20*+["']?[^\s"',;]{6,}+"""
     r"""|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[a-z0-9+/_=-]*+[A-Z])(?=[A-Z0-9+/_=-]*+[a-z])[A-Za-z0-9+/_=-]{20,}+""",
     "weak_endpoint": r"""(?i:https?|s?ftp|s3|postgres(?:ql)?|mysql|mongodb|redis|amqps?|jdbc:[a-z]{2,12}+)://[^\s"'<>]++"""
     r"""|(?i:host|server|endpoint)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9._-]{4,}+""",
@@ -40,7 +41,9 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     assign = F.filter(spans_of(text, ASSIGN), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= MIN_ASSIGNED)
     kinds = [assign.alias("assign")] + [spans_of(text, p).alias(k) for k, p in [*BASE.items(), *WEAK.items()] if k != "assign"]
-    bare = [F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in ORDER]
+    # A secret that the base pattern reports as it stands is not weak.
+    weak = F.filter("weak_secret", lambda s: ~F.exists("assign", lambda a: (a["start"] == s["start"]) & (a["end"] == s["end"])))
+    bare = [F.transform(weak if k == "weak_secret" else F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in ORDER]
     key = [F.xxhash64(F.col(id_col), F.col(text_col)).alias("k1"), F.hash(F.col(text_col)).alias("k2")]
     return docs.select(F.col(id_col).alias("id"), *key, *kinds).select("id", "k1", "k2", *bare)
 

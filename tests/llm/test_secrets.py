@@ -54,3 +54,27 @@ def test_weak_parts_need_each_other(spark):
     out = {r.doc_id: r for r in op6_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {k: r.n_linked for k, r in out.items()} == {1: 3, 2: 0, 3: 0, 4: 1, 5: 0}
     assert out[4].spans == "weak_id:0:17,assign:23:47"
+
+
+def test_short_and_symbol_bearing_passwords_are_weak_secrets(spark):
+    rows = [
+        (1, "user=admin password=hunter2 host=db.example.com"),
+        (2, "login: root / password: P@ssw0rd!2024 host=10.0.0.1"),
+        (3, '{"user": "app7", "api_key": "k9-xy!z", "endpoint": "api.example.com"}'),
+        (4, "user=admin passwd=correct.horse! secret=abc123 token=t0k3n9 https://x.example/a"),
+        (5, "user=admin password=abcdefghijklmnop host=db.example.com"),
+        (6, "password=hunter2 and no more"),
+        (7, "user=admin password=abcdefghijklm!nop"),
+    ]
+    out = {r.doc_id: r.spans for r in op6_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    def parts(doc):
+        return [(k, rows[doc - 1][1][int(a) : int(b)]) for k, a, b in (x.split(":") for x in out[doc].split(",") if x)]
+
+    assert parts(1) == [("weak_id", "user=admin"), ("weak_secret", "password=hunter2"), ("weak_endpoint", "host=db.example.com")]
+    assert parts(2) == [("weak_id", "login: root"), ("weak_secret", "password: P@ssw0rd!2024"), ("weak_endpoint", "host=10.0.0.1")]
+    assert [k for k, _ in parts(3)] == ["weak_id", "weak_secret", "weak_endpoint"] and parts(3)[1][1] == 'api_key": "k9-xy!z'
+    assert [v for k, v in parts(4) if k == "weak_secret"] == ["passwd=correct.horse!", "secret=abc123", "token=t0k3n9"]
+    assert [k for k, _ in parts(5)] == ["weak_id", "assign", "weak_endpoint"]
+    assert parts(6) == []
+    assert parts(7) == [("weak_id", "user=admin"), ("assign", "password=abcdefghijklm"), ("weak_secret", "password=abcdefghijklm!nop")]
