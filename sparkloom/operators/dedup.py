@@ -99,16 +99,37 @@ def tfidf(df: DataFrame, column: str = "text", key: str = "doc_id", features: in
     return w.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def tfidf_pairs(vectors: DataFrame, threshold: float = 0.85, max_df: int = 1000) -> DataFrame:
-    """(a, b, similarity), a < b, by an inverted-index join over the terms of at most max_df rows,
-    with cosines taken over all terms of the candidates."""
+def tfidf_pairs(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(a, b, similarity), a < b: the pairs of normalised vectors(id, term, w) with that cosine, exactly.
+
+    Equal vectors (weights to nine digits) are compared once, through their first row; each further
+    one is listed with that first row only, at similarity 1, so copies make rows in proportion.
+
+    Prefix filtering: with terms from the rarest to the commonest, each vector is indexed by its
+    terms up to where the norm of the rest falls below the threshold.  Two vectors that share
+    none of these reach less than the threshold by Cauchy and Schwarz, and so do two whose
+    first shared term leaves no room for it.
+    """
     v = stored(vectors, "vectors")
-    rare = v.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") <= max_df).select("term")
-    r = stored(v.join(rare, "term", "left_semi").select("id", "term"), "rare")
-    cand = r.alias("a").join(r.alias("b"), (F.col("a.term") == F.col("b.term")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    cand = stored(cand, "cand")
-    dot = cand.join(v.select(F.col("id").alias("a"), "term", F.col("w").alias("wa")), "a").join(v.select(F.col("id").alias("b"), "term", F.col("w").alias("wb")), ["b", "term"])
-    return dot.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")).where(F.col("similarity") >= threshold)
+    whole = v.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term", F.round("w", 9).alias("w")))).alias("v"))
+    classes = stored(whole.select("id", F.sha2(F.to_json("v"), 256).alias("v")), "vector-keys")
+    firsts = stored(classes.groupBy("v").agg(F.min("id").alias("first")), "vector-classes")
+    # A join, which skew handling can deal anew where a class is large, and not a window.
+    copies = classes.join(firsts.hint("shuffle_merge"), "v").where(F.col("id") > F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    one = stored(v.join(firsts.select(F.col("first").alias("id")).hint("shuffle_merge"), "id", "left_semi"), "vector-firsts")
+    df_ = one.groupBy("term").agg(F.count("*").alias("df"))
+    left = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, -1))
+    r = one.join(df_, "term").withColumn("rest2", F.coalesce(left, F.lit(0.0))).withColumn("from2", F.col("rest2") + F.col("w") * F.col("w"))
+    # A term is in the prefix if what stands from it on can still reach the threshold; floats get some slack.
+    slack = 1e-9
+    r = stored(r.where(F.sqrt("from2") >= threshold - slack).select("id", "term", "w", F.sqrt("rest2").alias("rest")), "prefixes")
+    a, b = r.alias("a"), r.alias("b")
+    room = F.col("a.w") * F.col("b.w") + F.col("a.rest") * F.col("b.rest") >= threshold - slack
+    cand = a.join(b.hint("shuffle_merge"), (F.col("a.term") == F.col("b.term")) & (F.col("a.id") < F.col("b.id")) & room)
+    cand = stored(cand.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "cand")
+    dot = cand.join(one.select(F.col("id").alias("a"), "term", F.col("w").alias("wa")), "a").join(one.select(F.col("id").alias("b"), "term", F.col("w").alias("wb")), ["b", "term"])
+    near = dot.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")).where(F.col("similarity") >= threshold)
+    return near.unionByName(copies)
 
 
 def dedup_step(df: DataFrame, column: str = "title", min_rows: int = 10) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,7 @@
 """Small hand-made cases: expected values follow from the operators' definitions."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,3 +167,33 @@ def test_default_lexicons(spark):
     assert out == {("google", "technology", 0.3), ("senate committee", "politics", 0.5), ("xyz", "global_events", 0.1)}
     effects = lexicons.downstream_table(spark)
     assert scoring.downstream_effects(link(spark, source_sector="technology", target_sector="finance"), effects).first().downstream[0] == "Venture capital reallocation"
+
+
+def test_tfidf_pairs_against_brute_force_with_a_hot_group(spark):
+    rng = random.Random(3)
+    common = ["alpha", "beta", "gamma", "delta", "omega"]
+    titles = ["alpha beta gamma"] * 1100 + ["alpha beta gamma delta omega kappa lambda"] * 3
+    titles += [" ".join(rng.choice(common) for _ in range(rng.randrange(2, 9))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(titles)), "doc_id long, title string")
+    vectors = dedup.tfidf(docs, "title").localCheckpoint()
+    by_id = {}
+    for r in vectors.collect():
+        by_id.setdefault(r.id, {})[r.term] = r.w
+    first = {}
+    for i in sorted(by_id):
+        first.setdefault(tuple(sorted((t, round(w, 7)) for t, w in by_id[i].items())), i)
+    ones = sorted(first.values())
+    want = {}
+    for k, a in enumerate(ones):
+        for b in ones[k + 1 :]:
+            sim = sum(w * by_id[b].get(t, 0.0) for t, w in by_id[a].items())
+            if sim >= 0.85:
+                want[a, b] = sim
+    assert want
+    for i in by_id:
+        f = first[tuple(sorted((t, round(w, 7)) for t, w in by_id[i].items()))]
+        if f != i:
+            want[f, i] = 1.0
+    got = {(r.a, r.b): r.similarity for r in dedup.tfidf_pairs(vectors).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert sum(a == 0 for a, _ in got) >= 1099
