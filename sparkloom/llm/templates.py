@@ -2,13 +2,17 @@
 
 Words are stripped of punctuation at their ends and canonicalised: numbers, names and units
 become typed placeholders, all else is lower-cased.  A name is a word with a capital letter
-that does not begin a sentence; a placeholder keeps the word as its slot value.  Windows of
+that does not begin a sentence; a capitalised word that begins one is read both as a word and
+as a name, unless it is in COMMON.  A placeholder keeps the stripped word as its slot value.  Windows of
 WINDOW canonical words are hashed and joined with the benchmark's; of each document and item
 the matching windows are lined up by their offset (position in the document less position in
 the item), and the slots they cover must be consistent: one benchmark value always stands for
 one document value, and a re-parameterised item keeps equal values equal.
 
-Windows with more placeholders than plain words say too little and are left out.
+Windows of more than MAX_SLOTS placeholders, or of more numbers and units than other words, say
+too little as templates.  Windows with more placeholders than plain words, in some reading, are
+matched by their own stripped words as well.  A pair that templates of at most as many
+placeholders as plain words prove in the plain reading has their figures.
 
 A document is contaminated by an item if consistent windows cover MIN_COVER of the item's
 canonical words.  Items shorter than a window are one window of all their words.
@@ -43,11 +47,34 @@ UNITS = frozenset(
     "s sec second seconds min minute minutes h hour hours day days week weeks month months year years "
     "usd eur gbp dollar dollars euro euros pound pounds cent cents percent km/h mph kb mb gb tb".split()
 )
+# Words that are no names where they begin a sentence.
+COMMON = frozenset(
+    "a about after again all also although always among an and another any anyone are as at be because been before behind below between "
+    "both but by calculate can compute consider could determine did do does during each either else even every everyone evaluate "
+    "explain few finally find first for from given had has have he hence her here his how however i if in into is it its just last later "
+    "let many may maybe might more moreover most much must my near neither never next no nobody none nor not nothing now of often on "
+    "once one only or other others our out over perhaps please prove she should show simplify since so solve some someone sometimes "
+    "soon still such suppose than that the their them then there therefore these they this those though through thus to today together "
+    "tomorrow too two under unless until up upon use very was we were what when where whether which while who whom whose why will with "
+    "within without would write yes yesterday yet you your".split()
+)
 NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*%?$")
 EDGE = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
 NUMBER_H, NAME_H, UNIT_H = (np.uint64(h) for h in (0x1234567, 0x2345678, 0x3456789))
 
 
+#: A template may have this share of placeholders, if numbers and units are half of it at most.
+MAX_SLOTS = 5 / 8
+#: Windows that are matched by their own words hash apart from templates.
+OWN_SALT = np.uint64(0x5DEECE66D1234567)
+#: Words whose windows are under way at once; choices of names multiply them.
+CHUNK = 4096
+
+
+def stripped(word: str) -> str:
+    return word if word.isalpha() else EDGE.sub("", word)
+
+
 class Canon(dict):
     """raw word (bytes) -> number, with its canonical hashes in arrays; emptied between texts."""
 
@@ -64,13 +91,15 @@ class Canon(dict):
 
     def reset(self) -> None:
         self.clear()
-        # Columns: the hash inside a sentence and at its start, whether the word ends one, whether nothing is left of it.
-        self.table = np.zeros((1 << 14, 4), dtype=np.uint64)
+        # Columns: the hash inside a sentence and at its start, whether the word ends one, whether nothing is left of it,
+        # whether it may be a name at the start, the hash of the stripped word itself.
+        self.table = np.zeros((1 << 14, 6), dtype=np.uint64)
 
     def __missing__(self, raw: bytes) -> int:
         if raw.isalpha() and raw.islower():  # plain ASCII words, most of any English text
-            h = self.unit if raw in self.units else self.hash(raw)
-            row = (h, h, 0, 0)
+            own = self.hash(raw)
+            h = self.unit if raw in self.units else own
+            row = (h, h, 0, 0, 0, own)
         else:
             row = self.canonical_word(raw.decode("utf-8"))
         number = len(self)
@@ -80,10 +109,10 @@ class Canon(dict):
         self[raw] = number
         return number
 
-    def canonical_word(self, word: str) -> tuple[int, int, int, int]:
-        core = word if word.isalpha() else EDGE.sub("", word)
+    def canonical_word(self, word: str) -> tuple[int, int, int, int, int, int]:
+        core = stripped(word)
         low = core.lower()
-        start = self.hash(low.encode("utf-8"))
+        own = start = self.hash(low.encode("utf-8"))
         if low in UNITS:
             mid = start = self.unit
         elif core.isalpha():
@@ -92,67 +121,111 @@ class Canon(dict):
             mid = start = self.number
         else:
             mid = self.name if core[:1].isupper() and not core.isupper() else start
-        return mid, start, int(word[-1] in ".!?:" or word[-2:-1] in (".", "!", "?")), int(not core)
+        either = mid == self.name and low not in COMMON
+        return mid, start, int(word[-1] in ".!?:" or word[-2:-1] in (".", "!", "?")), int(not core), int(either), own
 
 
-def canonical(text: str | None, cache: Canon) -> tuple[np.ndarray, np.ndarray, Callable[[int], str]]:
-    """Canonical hashes of the words, whether each is a slot, and the word at each place."""
+def readings(text: str | None, cache: Canon) -> tuple[np.ndarray, np.ndarray, Callable[[int], str], np.ndarray, np.ndarray]:
+    """canonical(), then whether each word may be a name as well, and the hashes of the words themselves."""
     if len(cache) > cache.LIMIT:
         cache.reset()
     words = text.encode("utf-8").split() if text else []
     if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, bool), str
+        return np.zeros(0, np.uint64), np.zeros(0, bool), str, np.zeros(0, bool), np.zeros(0, np.uint64)
     ids = np.fromiter(map(cache.__getitem__, words), dtype=np.int64, count=len(words))
     table = cache.table[ids]
     first = np.concatenate([[True], table[:-1, 2] == 1])
     h = np.where(first, table[:, 1], table[:, 0])
     there = np.flatnonzero(table[:, 3] == 0)
     h = h[there]
-    return h, (h == NUMBER_H) | (h == NAME_H) | (h == UNIT_H), lambda i: words[there[i]].decode("utf-8")
+    slot = (h == NUMBER_H) | (h == NAME_H) | (h == UNIT_H)
+    return h, slot, lambda i: stripped(words[there[i]].decode("utf-8")), (first & (table[:, 4] == 1))[there], table[there, 5]
+
+
+def canonical(text: str | None, cache: Canon) -> tuple[np.ndarray, np.ndarray, Callable[[int], str]]:
+    """Canonical hashes of the words, whether each is a slot, and the stripped word at each place."""
+    return readings(text, cache)[:3]
 
 
-def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
+def rolled(h: np.ndarray, size: int) -> np.ndarray:
     spread = mixed(h)
     acc = np.full(len(h) - size + 1, size, dtype=np.uint64)
     for i in range(size):
         acc = acc * MIX_A + spread[i : len(h) - size + 1 + i]
-    return mixed(acc)
+    return acc
+
+
+def variants(h: np.ndarray, slot: np.ndarray, either: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, position, names and slots of the windows that say enough as templates: one for each
+    choice of the words that may be names (bit o of names: the word at o is read as one)."""
+    acc, at = rolled(h, size), np.arange(len(h) - size + 1)
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        total = np.cumsum(np.concatenate([[0], x]))
+        return total[size:] - total[:-size]
+
+    most = int(size * MAX_SLOTS)
+    count, names = sums(slot), np.zeros(len(at), dtype=np.int64)
+    fits = (count <= most) & (2 * sums(slot & (h != NAME_H)) <= size)
+    acc, at, count, names = acc[fits], at[fits], count[fits], names[fits]
+    if either.any():
+        with np.errstate(over="ignore"):
+            change = mixed(np.full(1, NAME_H)) - mixed(h)
+            for o in range(size):
+                m = np.flatnonzero(either[at + o] & (count < most))
+                acc = np.concatenate([acc, acc[m] + change[at[m] + o] * np.uint64(pow(int(MIX_A), size - 1 - o, 1 << 64))])
+                at, count, names = (np.concatenate([x, y]) for x, y in ((at, at[m]), (count, count[m] + 1), (names, names[m] | 1 << o)))
+    return mixed(acc), at, names, count
 
 
 def template_windows(rows: DataFrame, sizes: tuple[int, ...], probe: object | None, whole: bool) -> DataFrame:
     """rows(id, text) -> id, window, pos, size, slots: the canonical windows of every text.
 
     With whole, a text shorter than a window gives one window of all its words.  With probe,
-    only windows that it holds are given.  slots are the words at the window's placeholders.
+    only windows that it holds are given.  slots are the words at the window's placeholders; a
+    window matched by its own words has own set, and its slots are given with whole only.
     """
-    schema = pa.schema([("id", pa.int64()), ("window", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("n_words", pa.int32()), ("slots", pa.list_(pa.string()))])
+    schema = pa.schema([("id", pa.int64()), ("window", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("n_words", pa.int32()), ("own", pa.bool_()), ("plain", pa.bool_()), ("slots", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Canon()
         known = probe.value if probe is not None else None
+
+        def there(w: np.ndarray) -> np.ndarray:
+            if known is None:
+                return np.arange(len(w))
+            return np.flatnonzero(known[np.minimum(np.searchsorted(known, w), len(known) - 1)] == w) if len(known) else np.zeros(0, np.int64)
+
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[] for _ in schema]
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text")):
-                h, slot, word = canonical(text.as_py(), cache)
+                h, slot, word, either, own = readings(text.as_py(), cache)
                 for size in [min(WINDOW, len(h))] if whole else sizes:
                     if not 0 < size <= len(h):
                         continue
-                    w = window_hashes(h, size)
-                    n_slots = np.cumsum(np.concatenate([[0], slot]))
-                    at = np.flatnonzero(2 * (n_slots[size:] - n_slots[:-size]) <= size)
-                    if known is not None:
-                        near = np.searchsorted(known, w)
-                        at = at[known[np.minimum(near[at], len(known) - 1)] == w[at]] if len(known) else at[:0]
-                    for p in at.tolist():
-                        values = [word(p + int(k)) for k in np.flatnonzero(slot[p : p + size])]
-                        for column, x in zip(out, (doc, int(w[p].astype(np.int64)), p, size, len(h), values)):
-                            column.append(x)
-                    if len(out[0]) > 20_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
-                        out = [[], [], [], [], [], []]
+                    for low in range(0, len(h) - size + 1, CHUNK):
+                        part = slice(low, low + CHUNK + size - 1)
+                        w, at, names, count = variants(h[part], slot[part], either[part], size)
+                        for k in there(w).tolist():
+                            p, chosen = low + int(at[k]), int(names[k])
+                            values = [word(p + o) for o in range(size) if slot[p + o] or chosen >> o & 1]
+                            for column, x in zip(out, (doc, int(w[k].astype(np.int64)), p, size, len(h), False, not chosen and 2 * int(count[k]) <= size, values)):
+                                column.append(x)
+                        total = np.cumsum(np.concatenate([[0], slot[part] | either[part]]))
+                        dense = np.flatnonzero(2 * (total[size:] - total[:-size]) > size)
+                        if len(dense):
+                            w = mixed(rolled(own[part], size)[dense] ^ OWN_SALT)
+                            for k in there(w).tolist():
+                                p = low + int(dense[k])
+                                values = [word(p + o) for o in range(size) if slot[p + o] or either[p + o]] if whole else []
+                                for column, x in zip(out, (doc, int(w[k].astype(np.int64)), p, size, len(h), True, False, values)):
+                                    column.append(x)
+                        if len(out[0]) > 20_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+                            out = [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
-    return rows.mapInArrow(run, "id long, window long, pos int, size int, n_words int, slots array<string>")
+    return rows.mapInArrow(run, "id long, window long, pos int, size int, n_words int, own boolean, plain boolean, slots array<string>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_cover: float = MIN_COVER) -> DataFrame:
@@ -168,13 +241,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         found = np.array([r.window for r in keys.collect()], dtype=np.int64).astype(np.uint64)
         probe = spark.sparkContext.broadcast(np.sort(found))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    hits = template_windows(texts, sizes, probe, False).drop("n_words")
+    hits = template_windows(texts, sizes, probe, False).drop("n_words", "own")
     hits = stored(hits.distinct(), "leak-hits")
-    there = item.select("item", "window", "size", F.col("pos").alias("item_pos"), "n_words", F.col("slots").alias("item_slots"))
+    there = item.select("item", "window", "size", F.col("pos").alias("item_pos"), "n_words", "own", F.col("plain").alias("item_plain"), F.col("slots").alias("item_slots"))
     match = hits.join(there.hint("broadcast" if item.count() <= BROADCAST_ROWS // 10 else "shuffle_merge"), ["window", "size"])
     match = match.withColumn("line", F.col("pos") - F.col("item_pos"))
+    match = match.withColumn("slots", F.when(F.col("own"), F.col("item_slots")).otherwise(F.col("slots")))
+    match = stored(match.select("id", "item", "line", "item_pos", "size", "n_words", (F.col("plain") & F.col("item_plain")).alias("plain"), "slots", "item_slots"), "leak-matches")
+    # Where templates in the plain reading prove a pair, it has their figures; all windows together add the pairs they miss.
+    sure = stored(leaks(match.where("plain"), min_cover), "leak-plain")
+    more = leaks(match, min_cover).join(sure.select("id", "item").hint("shuffle_merge"), ["id", "item"], "left_anti")
+    return sure.unionByName(more).withColumnRenamed("id", id_col).withColumnRenamed("item", item_col)
+
+
+def leaks(match: DataFrame, min_cover: float) -> DataFrame:
+    """(id, item, n_windows, covered, item_words, n_slots, exact_slots) of the pairs whose matches cover enough."""
     # Windows on one line repeat each other's slots; a slot is named by its place in the item.
-    match = stored(match.select("id", "item", "line", "item_pos", "size", "n_words", "slots", "item_slots"), "leak-matches")
     slots = match.select("id", "item", "line", F.explode(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))).alias("s")).select("id", "item", "line", "s.*").distinct()
     slots = slots.groupBy("id", "item", "line", "a").agg(F.count("*").alias("values"), F.max(F.col("a") == F.col("b")).alias("same"))
     slots = slots.groupBy("id", "item", "line").agg(F.count("*").alias("n_slots"), F.count_if(F.col("values") > 1).alias("clashes"), F.count_if(F.col("same") & (F.col("values") == 1)).alias("exact_slots"))
@@ -191,8 +273,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.sum("n_slots").alias("n_slots"),
         F.sum("exact_slots").alias("exact_slots"),
     )
-    leaked = total.where(F.col("covered") >= F.ceil(F.col("item_words") * min_cover))
-    return leaked.withColumnRenamed("id", id_col).withColumnRenamed("item", item_col)
+    return total.where(F.col("covered") >= F.ceil(F.col("item_words") * min_cover))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

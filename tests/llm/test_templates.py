@@ -64,3 +64,23 @@ def test_inconsistent_slots_are_no_leak(spark):
     docs = spark.createDataFrame([(1, "We " + bad), (2, "We " + item.replace("Anna", "Lena"))], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "We " + item)], "item_id long, text string")
     assert [r.doc_id for r in op5_templates(docs, bench).collect()] == [2]
+
+
+def leaked(spark, docs, items):
+    docs = spark.createDataFrame(list(enumerate(docs, 1)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(items, 101)), "item_id long, text string")
+    return sorted((r.doc_id, r.item_id) for r in op5_templates(docs, items).collect())
+
+
+def test_names_first_dense_windows_and_punctuated_slots(spark):
+    names = "Alice has 3 apples. Bob gives Alice 2."
+    dense = "12 + 7 = 19, 19 + 5 = 24, 24 + 9 = 33, 33 + 8 = 41, 41 + 6 = 47"
+    slots = "we sent the old box to Boston, and then he came back from Boston with a new one"
+    docs = [
+        "Carol has 7 apples. Dan gives Carol 5.",
+        "See below: " + dense + " and so on",
+        "13 + 7 = 20, 20 + 4 = 24, 24 + 8 = 32, 32 + 7 = 39, 39 + 5 = 44",
+        slots.replace("Boston", "Denver"),
+        "Carol has 7 apples. Dan gives Erin 5.",
+    ]
+    assert leaked(spark, docs, [names, dense, slots]) == [(1, 101), (2, 102), (4, 103)]
