@@ -262,18 +262,21 @@ def leaks(match: DataFrame, min_cover: float) -> DataFrame:
     slots = slots.groupBy("id", "item", "line").agg(F.count("*").alias("n_slots"), F.count_if(F.col("values") > 1).alias("clashes"), F.count_if(F.col("same") & (F.col("values") == 1)).alias("exact_slots"))
     places = F.explode(F.sequence("item_pos", F.col("item_pos") + F.col("size") - 1)).alias("p")
     lines = match.select("id", "item", "line", "n_words", "item_pos", places)
-    lines = lines.groupBy("id", "item", "line").agg(F.countDistinct("p").alias("covered"), F.countDistinct("item_pos").alias("n_windows"), F.max("n_words").alias("item_words"))
+    lines = lines.groupBy("id", "item", "line").agg(F.collect_set("p").alias("places"), F.countDistinct("item_pos").alias("n_windows"), F.max("n_words").alias("item_words"))
     scored = stored(lines, "leak-lines").join(stored(slots, "leak-slots").hint("shuffle_merge"), ["id", "item", "line"], "left").fillna(0, ["n_slots", "clashes", "exact_slots"])
-    # A line may break where a word was put in or left out: its pieces add up, each if consistent.
+    # A line may break where a word was put in or left out: its pieces add up, each if consistent,
+    # and a place of the item counts once however many lines hold it.
     sound = scored.where((F.col("clashes") == 0) | (F.col("clashes") * 10 <= F.col("n_slots")))
+    sound = stored(sound, "leak-sound")
+    held = sound.select("id", "item", F.explode("places").alias("p")).groupBy("id", "item").agg(F.countDistinct("p").alias("covered"))
     total = sound.groupBy("id", "item").agg(
         F.sum("n_windows").alias("n_windows"),
-        F.least(F.sum("covered"), F.max("item_words")).cast("long").alias("covered"),
         F.max("item_words").cast("long").alias("item_words"),
         F.sum("n_slots").alias("n_slots"),
         F.sum("exact_slots").alias("exact_slots"),
     )
-    return total.where(F.col("covered") >= F.ceil(F.col("item_words") * min_cover))
+    total = total.join(held.hint("shuffle_merge"), ["id", "item"]).where(F.col("covered") >= F.ceil(F.col("item_words") * min_cover))
+    return total.select("id", "item", "n_windows", "covered", "item_words", "n_slots", "exact_slots")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

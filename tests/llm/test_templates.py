@@ -84,3 +84,11 @@ def test_names_first_dense_windows_and_punctuated_slots(spark):
         "Carol has 7 apples. Dan gives Erin 5.",
     ]
     assert leaked(spark, docs, [names, dense, slots]) == [(1, 101), (2, 102), (4, 103)]
+
+
+def test_a_repeated_stretch_counts_once(spark):
+    item = " ".join(f"{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(30))
+    first = " ".join(item.split()[:8])
+    twice = f"{first} other words stand here {first} and {first} at the end"
+    half = f"{first} other words stand here " + " ".join(item.split()[12:20])
+    assert leaked(spark, [twice, half], [item]) == [(2, 101)]
