@@ -39,16 +39,21 @@ IMPLIED = {
     "dd": ({"dt", "dd"}, {"dl"}),
     "option": ({"option"}, {"select", "datalist", "optgroup"}),
     "optgroup": ({"option", "optgroup"}, {"select", "datalist"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "tr": ({"tr"}, {"table"}),
+    "td": ({"td", "th", "caption", "colgroup"}, {"tr", "table"}),
+    "th": ({"td", "th", "caption", "colgroup"}, {"tr", "table"}),
+    "tr": ({"tr", "caption", "colgroup"}, {"table"}),
     "tbody": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
     "thead": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
 }
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-HIDES = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)(?!\s*=\s*[\"']?until-found)|style\s*=\s*(?:\"[^\"]*|'[^']*|\S*)(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)))", re.I)
-START = re.compile(r"(?:^|\s)start\s*=\s*[\"']?(-?\d{1,9})", re.I)
+# Parts of a table that hold its rows; a form between them leaves them in the table.
+SECTIONS = frozenset("tbody thead tfoot colgroup form".split())
+ATTR = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?|\"[^\"]*\"?|'[^']*'?")
+HINT = re.compile(r"hidden|style", re.I)
+HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+START = re.compile(r"\s*(-?\d{1,9})")
+RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 SPACES = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -64,7 +69,6 @@ def build(page: str) -> Node:
     root = Node("html")
     stack, at, n = [root], 0, len(page)
     depth_limit = 512  # deeper elements are siblings at this depth
-    for_raw = page.lower() if any(f"<{t}" in page.lower() for t in RAW) else page
     while at < n:
         m = MARKUP.search(page, at)
         text = page[at : m.start() if m else n]
@@ -106,11 +110,16 @@ def build(page: str) -> Node:
                     break
                 if stack[i].tag in stops:
                     break
+        if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot", "form") and len(stack) < depth_limit:
+            if stack[-1].tag != "form" or any(x.tag == "table" for x in stack):
+                row = Node("tr")
+                stack[-1].kids.append(row)
+                stack.append(row)
         node = Node(tag, m[3])
         stack[-1].kids.append(node)
         if tag in RAW:
-            end = for_raw.find(f"</{tag}", at)
-            end = n if end < 0 else end
+            end = RAW_END[tag].search(page, at)
+            end = end.start() if end else n
             node.kids.append(page[at:end] if tag not in ("textarea", "title") else html.unescape(page[at:end]))
             close = page.find(">", end)
             at = n if close < 0 else close + 1
@@ -121,10 +130,22 @@ def build(page: str) -> Node:
     return root
 
 
+def attributes(raw: str) -> dict[str, str]:
+    """Names in lower case with their values; the first of a name counts."""
+    found: dict[str, str] = {}
+    for m in ATTR.finditer(raw):
+        if m[1]:
+            found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return found
+
+
 def visible(node: Node) -> bool:
-    if node.tag in HIDDEN or node.tag == "dialog" and "open" not in node.attrs:
+    if node.tag in HIDDEN or node.tag == "dialog" and "open" not in attributes(node.attrs):
         return False
-    return not (node.attrs and HIDES.search(node.attrs))
+    if not node.attrs or not HINT.search(node.attrs):
+        return True
+    named = attributes(node.attrs)
+    return named.get("hidden", "until-found").strip().lower() == "until-found" and not HIDES.search(named.get("style", ""))
 
 
 class Page:
@@ -182,7 +203,7 @@ def render(node: Node, page: Page, pre: bool = False) -> None:
 
 
 def items(node: Node, page: Page) -> None:
-    start = START.search(node.attrs) if node.tag == "ol" else None
+    start = START.match(attributes(node.attrs).get("start", "")) if node.tag == "ol" else None
     number, outer = int(start[1]) if start else 1, page.rest
     for kid in node.kids:
         if isinstance(kid, Node) and kid.tag == "li":
@@ -207,17 +228,25 @@ def rows_of(node: Node) -> Iterator[Node]:
         if isinstance(kid, Node) and visible(kid):
             if kid.tag == "tr":
                 yield kid
-            elif kid.tag in ("tbody", "thead", "tfoot"):
+            elif kid.tag in SECTIONS:
                 yield from rows_of(kid)
 
 
+def strays(node: Node) -> Iterator[Node | str]:
+    """What stands in a table or its sections and is no row."""
+    for kid in node.kids:
+        if isinstance(kid, str) or kid.tag != "tr" and kid.tag not in SECTIONS:
+            yield kid
+        elif kid.tag != "tr" and visible(kid):
+            yield from strays(kid)
+
+
 def table(node: Node, page: Page) -> None:
     rows = []
-    for kid in node.kids:  # captions and stray text come before the rows
-        if isinstance(kid, str) or kid.tag not in ("tr", "tbody", "thead", "tfoot", "colgroup"):
-            other = Node("div")
-            other.kids = [kid]
-            render(other, page)
+    for kid in strays(node):  # captions and stray text come before the rows
+        other = Node("div")
+        other.kids = [kid]
+        render(other, page)
     page.gap(False)
     for tr in rows_of(node):
         cells = []

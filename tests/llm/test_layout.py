@@ -54,3 +54,16 @@ def test_edge_cases(spark):
     assert len(got) == len(rows)
     assert (out[1], out[2], out[3], out[4], out[None], out[5], out[7], out[8], out[9]) == (None, "", "plain", "deep", "x", "y", "a < b", "", "z")
     assert op8_layout(pages.limit(0)).count() == 0
+
+
+def test_visible_text_is_kept():
+    assert text_of('<p class="nav hidden md:flex">menu</p><a title="the hidden valley">link</a>') == "menu\n\nlink"
+    assert text_of("<p hidden>a</p><p HIDDEN=''>b</p><p style='x:y; display: none'>c</p><p data-style='display:none'>d</p><p hidden=until-found>e</p>") == "d\n\ne"
+    assert text_of("<dialog class='open'>a</dialog><dialog open>b</dialog>") == "b"
+    assert text_of("<table><tbody><td>x</td><td>y</td></tbody></table>") == "x | y"
+    assert text_of("<table><tbody><form><tr><td>x</td><td>y</td></tr></form></tbody></table>") == "x | y"
+    assert text_of("<table><tbody>stray<tr><td>x</td></tr></tbody></table>") == "stray\nx"
+    assert text_of("<table><colgroup><col><tr><td>x</td></tr><tr><td>y</td></tr></table>") == "x\ny"
+    assert text_of("<table><caption>c<tr><td>x</td></tr></table>") == "c\nx"
+    page = "<p>" + "\u0130" * 9 + "</p><script>var a = 1;</SCRIPT><p>seen</p>"
+    assert text_of(page) == "\u0130" * 9 + "\n\nseen"
