@@ -135,11 +135,12 @@ def entity_arrays(c: Column) -> Column:
     return F.struct(*(tidy(raw[k]).alias(k) for k in ("persons", "orgs", "locations")))
 
 
-def names_in(c: Column, skip: list[str], limit: int = 10, chars: int = 2000) -> Column:
-    """Names of two to four capitalised words, without those that begin with a word to skip."""
-    found = F.regexp_extract_all(F.substring(c, 1, chars), F.lit(r"\b([A-Z][a-z]+(?:\s[A-Z][a-z]+){1,3})\b"), 1)
+def names_in(c: Column, skip: list[str], limit: int | None = None, chars: int | None = None) -> Column:
+    """Names of two to four capitalised words, without those that begin with a word to skip: all of
+    the whole text, or the first limit of its first chars characters."""
+    found = F.regexp_extract_all(F.substring(c, 1, chars) if chars else c, F.lit(r"\b([A-Z][a-z]+(?:\s[A-Z][a-z]+){1,3})\b"), 1)
     good = F.filter(found, lambda x: (F.length(x) > 4) & ~F.substring_index(x, " ", 1).isin(skip))
-    return F.slice(F.array_distinct(good), 1, limit)
+    return F.slice(F.array_distinct(good), 1, limit) if limit else F.array_distinct(good)
 
 
 def gazetteer(docs: DataFrame, entries: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 10, chars: int = 2000) -> DataFrame:

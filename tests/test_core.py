@@ -197,3 +197,11 @@ def test_tfidf_pairs_against_brute_force_with_a_hot_group(spark):
     got = {(r.a, r.b): r.similarity for r in dedup.tfidf_pairs(vectors).collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert sum(a == 0 for a, _ in got) >= 1099
+
+
+def test_names_in_reads_whole_texts(spark):
+    names = [f"Anna {chr(65 + i)}{'x' * 3}" for i in range(15)]
+    text = ". ".join(names) + " " + "word " * 1000 + "Jane Goodall"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert docs.select(T.names_in(F.col("text"), ["The"])).first()[0] == [*names, "Jane Goodall"]
+    assert docs.select(T.names_in(F.col("text"), ["The"], limit=2, chars=2000)).first()[0] == names[:2]
