@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 # Fixed values of the word rule: a word is a run of characters other than these six.
 SEPARATORS = " \t\n\x0b\x0c\r"
@@ -22,12 +22,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which the driver and all executors share.
 
-    A temporary folder stands in only where the setting is missing, as in local tests.
+    A temporary folder stands in only in local mode, where driver and tasks are one process;
+    a cluster without the setting is an error, as its machines would not see each other's files.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-loom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -52,36 +53,73 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.hint("broadcast" if few else "shuffle_merge"), key, "left_semi")
 
 
-def marked(text: Column, pattern: str | Column) -> Column:
-    """Split text at the matches of pattern: elements 1, 3, 5, ... are the matches.
+def quoted(name: str) -> str:
+    """A column's name inside SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(text: str) -> str:
+    """A string inside SQL text."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+# The expressions below are SQL text: as lambdas inside lambdas, thousands of Column objects would take seconds to build.
+# transform(array(x), v -> ...)[0] works x out once however often v is named.
+
+#: Elements that one running total steps through: arrays grow by copies, so they are kept this short.
+BLOCK = 64
 
-    U+0001 is the marker; where the text holds one it counts as U+0002, which no pattern
-    of this library tells from it, so lengths and matches stay as they are.
+
+def running(values: str, combine: str) -> str:
+    """SQL: for each of an array of ints >= 0, combine (of x and y) of all before it, 0 for the first.
+
+    Blocks of BLOCK elements are combined first, then their totals, then each block on its
+    own, so that work grows with the array and not with its square.
+    """
+    both = combine.replace("x", "acc.at")
+    step = f"(acc, y) -> struct({both} AS at, concat(acc.out, array(acc.at)) AS out), acc -> acc.out"
+    totals = f"transform(sequence(0, int((size(items) - 1) div {BLOCK})), b -> aggregate(slice(items, b * {BLOCK} + 1, {BLOCK}), 0, (x, y) -> {combine}))"
+    starts = f"aggregate({totals}, struct(0 AS at, cast(array() AS array<int>) AS out), {step})"
+    inside = f"aggregate(slice(items, b * {BLOCK} + 1, {BLOCK}), struct(start AS at, cast(array() AS array<int>) AS out), {step})"
+    return f"transform(array({values}), items -> IF(size(items) > 0, flatten(transform({starts}, (start, b) -> {inside})), cast(array() AS array<int>)))[0]"
+
+
+def spans_of(text: str, pattern: str) -> str:
+    """SQL: array<struct<start,end,value>> of the leftmost non-overlapping matches of pattern in
+    the SQL expression text, in code points, end exclusive.  Empty without a match; null text
+    counts as empty.
+
+    The text is split at the matches, so that odd-numbered parts are the matches; they are
+    located by adding up the parts' lengths.  U+0001 is the marker; where the text holds one
+    it counts as U+0002, which no pattern of this library tells from it, so lengths and
+    matches stay as they are.
     """
-    clean = F.replace(text, F.lit("\x01"), F.lit("\x02"))
-    return F.split(F.regexp_replace(clean, pattern, "\x01$0\x01"), "\x01", -1)
+    parts = f"split(regexp_replace(replace(coalesce({text}, ''), '\\u0001', '\\u0002'), {literal(pattern)}, '\\u0001$0\\u0001'), '\\u0001', -1)"
+    starts = running("transform(parts, p -> char_length(p))", "x + y")
+    span = "struct(starts[i] AS start, starts[i] + char_length(parts[i]) AS end, parts[i] AS value)"
+    found = f"transform(array({starts}), starts -> transform(sequence(1, size(parts) - 1, 2), i -> {span}))[0]"
+    return f"transform(array({parts}), parts -> IF(size(parts) > 1, {found}, cast(array() AS array<struct<start:int,end:int,value:string>>)))[0]"
 
 
-def spans_of(text: Column, pattern: str | Column) -> Column:
-    """array<struct<start,end,value>> of the leftmost non-overlapping matches of pattern,
-    in code points, end exclusive.  Empty without a match; null text counts as empty.
+#: Code points of the pieces that texts are cut into before spans of them are taken.
+PIECE = 512
 
-    Matches between two odd-numbered parts are located by adding up the parts' lengths.
+
+def replaced(text: str, spans: str) -> str:
+    """SQL: text with spans (array<struct<start,end,put>>, by start) replaced by what they put.
+
+    Of spans that overlap the first one's put stands for all.  Texts are cut into pieces, so
+    that taking a stretch costs its own length and no walk from the text's beginning.
     """
-    parts = marked(F.coalesce(text, F.lit("")), pattern)
-    start = F.struct(
-        F.lit(0).alias("at"),
-        F.lit(False).alias("odd"),
-        F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"),
-    )
-
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.char_length(part)
-        hit = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("value")))
-        return F.struct(
-            end.alias("at"),
-            (~acc["odd"]).alias("odd"),
-            F.when(acc["odd"], F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"),
-        )
-
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+
+    def stretch(a: str, b: str) -> str:
+        near = f"array_join(slice(pieces, int({a} div {PIECE}) + 1, int(({b} - 1) div {PIECE}) - int({a} div {PIECE}) + 1), '')"
+        return f"IF({b} > {a}, substr({near}, {a} % {PIECE} + 1, {b} - {a}), '')"
+
+    one = f"transform(array(ends[i]), e -> IF(x.start >= e, concat({stretch('e', 'x.start')}, x.put), ''))[0]"
+    rest = f"transform(array(greatest(ends[size(ends) - 1], s[size(s) - 1].end)), e -> {stretch('e', 'char_length(t)')})[0]"
+    built = f"concat(array_join(transform(s, (x, i) -> {one}), ''), {rest})"
+    ends = running("transform(s, x -> x.end)", "greatest(x, y)")
+    pieces = f"regexp_extract_all(t, '(?s).{{1,{PIECE}}}', 0)"
+    whole = f"transform(array({pieces}), pieces -> transform(array({ends}), ends -> {built})[0])[0]"
+    return f"transform(array({text}), t -> transform(array({spans}), s -> IF(size(s) > 0, {whole}, t))[0])[0]"

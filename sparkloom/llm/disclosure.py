@@ -1,31 +1,38 @@
 """Operator 2, personal data: base patterns plus information-theoretic sanitisation.
 
 The base patterns find e-mail addresses, IP addresses, card and telephone numbers.  Their
-values are the protected entities.  A term is a word of three letters or more within WINDOW
-words of a mention.  Over all documents,
+values are the protected entities.  A term is a word of three letters or more.  Over all
+documents,
 
     disclosure(term, entity) = PMI(term; entity) / IC(entity),
     PMI = log2(N * n(term, entity) / (n(term) * n(entity))),  IC = log2(N / n(entity)),
 
-where n counts documents and n(term, entity) those with the term near the entity.  It is 1 if
-the term names the entity as well as the entity itself does, and 0 if the two are independent.
-Pairs seen in fewer than MIN_TEXTS different texts say nothing and are left.  In documents
-that mention the entity, terms at GENERALISE or more give way to a placeholder and those at
-REMOVE or more to nothing.
+where n counts the documents that hold the term, the entity, or both, anywhere in the text.
+It is 1 if the term names the entity as well as the entity itself does, and 0 if the two are
+independent.  Pairs seen in fewer than MIN_TEXTS different texts say nothing and are left.  In
+every document, whether it mentions the entity or not, terms at GENERALISE or more give way to
+a placeholder and those at REMOVE or more to nothing.
 
-Only DataFrame functions are used.  Pairs are linear in the mentions; the patterns are written
-possessively, so that no text makes them backtrack or recurse.
+All terms of a document meet all entities of it, after an exact bound: as n(term, entity) is at
+most n(entity), a term can reach the threshold t only if n(term) <= N * (n(entity) / N) ** t.
+That leaves rare terms to rare entities, and copies of a text are counted as one row.
 
-Defined results: null and empty texts have no spans; null ids get base spans only; repeated
-rows are each judged; extra columns are ignored or passed through; empty tables give none.
+Only DataFrame functions are used.  The patterns are written possessively, so that no text
+makes them backtrack or recurse.
+
+Defined results: null and empty texts have no spans; results depend on texts alone, so that ids
+may be null or repeat; repeated rows are each judged; extra columns are ignored or passed
+through (a column named as the output is replaced); empty tables give none.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import BROADCAST_ROWS, spans_of, stored
+from sparkloom.llm.common import BROADCAST_ROWS, quoted, replaced, running, spans_of, stored
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns.  A start inside a run of the same class cannot match where the run's own start did not.
@@ -38,12 +45,15 @@ PATTERNS = {
 BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])?"
 BELOW_256 = rf"^(?:{BYTE})(?:\.{BYTE}){{3}}$"
 
-WINDOW = 5
-WINDOW_CHARS = 160
+# What a text must hold for a match of the kind that passes; cheaper than the pattern itself.
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
+
 MIN_TEXTS = 3
 GENERALISE = 0.8
 REMOVE = 0.95
 TERM = r"(?<![^\s])[\p{P}\p{S}]*+\p{L}{3,}+[\p{P}\p{S}]*+(?![^\s])"
+#: The letters of a term, also where punctuation ties it to others.
+TERM_LETTERS = r"(?<![\p{L}\p{M}\p{N}])\p{L}{3,}+(?![\p{L}\p{M}\p{N}])"
 
 
 def luhn(digits: Column) -> Column:
@@ -71,10 +81,15 @@ def passes(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    """Per kind, array<struct<start,end,value>> of the matches that pass."""
+def base_spans(text: str) -> dict[str, Column]:
+    """Per kind, array<struct<start,end,value>> of the matches that pass in a column."""
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+
     def good(kind: str) -> Column:
-        return F.filter(spans_of(text, PATTERNS[kind]), lambda s: passes(kind, s["value"]))
+        found = F.expr(spans_of(quoted(text), PATTERNS[kind]))
+        found = found if kind == "email" else F.filter(found, lambda s: passes(kind, s["value"]))
+        may = F.contains(F.col(text), F.lit("@")) if kind == "email" else F.col(text).rlike(NEEDS[kind])
+        return F.when(may, found).otherwise(none)
 
     return {kind: good(kind) for kind in KINDS}
 
@@ -83,120 +98,122 @@ def label(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
 
 
-def _terms(context: Column) -> Column:
-    words = F.regexp_extract_all(context, F.lit(TERM), 0)
-    return F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}]+", "")))
+def terms_of(text: Column) -> Column:
+    """The text's different terms, in lower case."""
+    words = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    return F.array_distinct(F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}]+", ""))))
 
 
-def mentions(docs: DataFrame) -> DataFrame:
-    """docs(id, text) -> id, text_hash, entity, terms: one row per base span, with the terms around it."""
+def entities_of(docs: DataFrame) -> DataFrame:
+    """docs(key, text) -> key, entity, n_docs: how many documents of one text hold an entity."""
+
     def named(kind: str, spans: Column) -> Column:
-        return F.transform(spans, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lower(x["value"]).alias("value")))
-
-    found = F.concat(*(named(k, s) for k, s in base_spans(F.col("text")).items()))
-    rows = docs.select("id", "text", F.xxhash64("text").alias("text_hash"), F.explode(found).alias("s"))
-    before = F.substr("text", F.greatest(F.col("s.start") - WINDOW_CHARS, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(WINDOW_CHARS)))
-    # A word that the window's edge cuts is no word.
-    before = F.when(F.col("s.start") > WINDOW_CHARS, F.regexp_replace(before, r"^\S*+", "")).otherwise(before)
-    after = F.regexp_replace(F.substr("text", F.col("s.end") + 1, F.lit(WINDOW_CHARS)), r"\S*$", "")
-    after = F.when(F.col("s.end") + WINDOW_CHARS >= F.length("text"), F.substr("text", F.col("s.end") + 1, F.lit(WINDOW_CHARS))).otherwise(after)
-    left, right = _terms(before), _terms(after)
-    near = F.array_distinct(F.concat(F.slice(left, F.greatest(F.size(left) - WINDOW + 1, F.lit(1)), F.lit(WINDOW)), F.slice(right, 1, WINDOW)))
-    return rows.select("id", "text_hash", F.concat_ws(":", "s.kind", "s.value").alias("entity"), near.alias("terms"))
-
-
-def disclosing_pairs(docs: DataFrame, found: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
-    """(entity, term, disclosure) of every pair with enough support; found = mentions(docs), stored."""
-    pairs = found.select("id", "text_hash", "entity", F.explode("terms").alias("term"))
-    per_text = pairs.groupBy("entity", "term", "text_hash").agg(F.countDistinct("id").alias("n"))
-    counted = per_text.groupBy("entity", "term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("texts"))
-    counted = stored(counted.where(F.col("texts") >= min_texts), "pii-pairs")
-    entities = found.select("entity", "id").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    entities = stored(entities, "pii-entities")
-    wanted = stored(counted.select("term").distinct(), "pii-terms")
-    # Words are counted before they meet the wanted terms: a row a word joins, not one a document.
-    words = docs.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    seen = stored(words.groupBy("term").agg(F.count("*").alias("n_term")), "pii-words")
-    seen = stored(seen.join(wanted.hint("shuffle_merge"), "term", "left_semi"), "pii-seen")
-    total = docs.count()
-    scored = counted.join(entities.hint("shuffle_merge"), "entity")
-    scored = stored(scored, "pii-scored").join(seen.hint("shuffle_merge"), "term")
-    information = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    pmi = F.log2(F.lit(float(total)) * F.col("n_pair") / F.col("n_term") / F.col("n_entity"))
-    return scored.select("entity", "term", F.when(information > 0, F.least(pmi / information, F.lit(1.0))).otherwise(0.0).alias("disclosure"))
+        return F.transform(spans, lambda x: F.concat(F.lit(f"{kind}:"), F.lower(x["value"])))
 
+    found = F.concat(*(named(k, s) for k, s in base_spans("text").items()))
+    return docs.select("key", F.explode(F.array_distinct(found)).alias("entity")).groupBy("key", "entity").agg(F.count("*").alias("n_docs"))
+
+
+def of_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of docs whose key is in keys (stored): the keys go to every executor if they are few."""
+    few = keys.count() <= BROADCAST_ROWS // 4
+    return docs.join(keys.hint("broadcast" if few else "shuffle_merge"), "key", "left_semi")
 
-def disclosing_terms(docs: DataFrame, min_texts: int = MIN_TEXTS, threshold: float = GENERALISE) -> DataFrame:
-    """docs(id, text) -> id, terms: array<struct<term,disclosure>> that reveal an entity of that document."""
-    found = stored(mentions(docs.where(F.col("id").isNotNull())), "pii-mentions")
-    strong = stored(disclosing_pairs(docs, found, min_texts).where(F.col("disclosure") >= threshold), "pii-strong")
-    own = stored(found.select("id", "entity", F.explode("terms").alias("term")).distinct(), "pii-own")
-    hits = own.join(strong.hint("shuffle_merge"), ["entity", "term"]).groupBy("id", "term").agg(F.max("disclosure").alias("disclosure"))
-    return stored(hits.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term", "disclosure"))).alias("terms")), "pii-by-document")
 
+def disclosing_pairs(docs: DataFrame, held: DataFrame, min_texts: int = MIN_TEXTS, threshold: float = GENERALISE) -> DataFrame:
+    """(entity, term, disclosure) of every pair with enough support that reaches the threshold.
 
-def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_texts: int = MIN_TEXTS, threshold: float = GENERALISE, out: str = "__pii") -> DataFrame:
+    docs(key, text), where equal texts have equal keys; held = entities_of(docs), stored.
+    """
+    total = float(docs.count())
+    counted = held.groupBy("entity").agg(F.sum("n_docs").alias("n_entity"), F.count("*").alias("texts"))
+    counted = stored(counted.where((F.col("texts") >= min_texts) & (F.col("n_entity") < total)).drop("texts"), "pii-entities")
+    # The most documents that may hold a term, with room for rounding.
+    most = F.lit(total * (1 + 1e-9)) * F.pow(F.col("n_entity") / total, F.lit(threshold))
+    widest = counted.agg(F.max(most)).first()[0] or 0.0
+    protected = stored(held.join(counted.hint("shuffle_merge"), "entity").withColumn("most", most), "pii-protected")
+    words = docs.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    words = stored(words.where((F.col("n_term") >= min_texts) & (F.col("n_term") <= widest)), "pii-words")
+    near = of_keys(docs, stored(protected.select("key").distinct(), "pii-keys"))
+    near = stored(near.select("key", F.explode(terms_of(F.col("text"))).alias("term")).distinct(), "pii-near")
+    near = stored(near.join(words.hint("shuffle_merge"), "term"), "pii-own")
+    both = protected.join(near.hint("shuffle_merge"), "key").where(F.col("n_term") <= F.col("most"))
+    pairs = both.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("n_docs").alias("n_pair"), F.count("*").alias("texts"))
+    pmi = F.log2(F.lit(total) * F.col("n_pair") / F.col("n_term") / F.col("n_entity"))
+    scored = pairs.where(F.col("texts") >= min_texts).select("entity", "term", (pmi / F.log2(F.lit(total) / F.col("n_entity"))).alias("disclosure"))
+    return scored.withColumn("disclosure", F.least("disclosure", F.lit(1.0))).where(F.col("disclosure") >= threshold)
+
+
+def disclosing_terms(docs: DataFrame, min_texts: int = MIN_TEXTS, threshold: float = GENERALISE) -> DataFrame:
+    """(term, disclosure): the most that a term reveals of any entity, where that reaches the threshold."""
+    held = stored(entities_of(docs), "pii-held")
+    pairs = disclosing_pairs(docs, held, min_texts, threshold)
+    return stored(pairs.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "pii-strong")
+
+
+def term_spans(docs: DataFrame, strong: DataFrame) -> DataFrame:
+    """docs(key, text) -> key, terms: array<struct<start,end,disclosure>> where strong terms stand."""
+    strong = strong.hint("broadcast" if strong.count() <= BROADCAST_ROWS // 4 else "shuffle_merge")
+    holds = docs.select("key", F.explode(terms_of(F.col("text"))).alias("term")).join(strong, "term", "left_semi")
+    texts = of_keys(docs, stored(holds.select("key").distinct(), "pii-holding")).dropDuplicates(["key"])
+    base = F.concat(*(F.transform(v, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("").alias("term"))) for v in base_spans("text").values()))
+    found = F.transform(F.expr(spans_of("text", TERM_LETTERS)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("term")))
+    texts = stored(texts.select("key", F.array_sort(F.concat(base, found)).alias("all")), "pii-base")
+    # A term that begins inside a base span goes with it.
+    covered = F.expr(running("transform(all, x -> IF(x.term = '', x.end, 0))", "greatest(x, y)"))
+    free = F.arrays_zip(F.col("all").alias("word"), covered.alias("to"))
+    words = texts.select("key", F.explode(F.filter(free, lambda x: (x["word"]["term"] != "") & (x["to"] <= x["word"]["start"]))).alias("s")).select("key", "s.word.*")
+    hits = stored(words, "pii-places").join(strong, "term")
+    return stored(hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms")), "pii-terms")
+
+
+def with_spans(docs: DataFrame, text_col: str = "text", min_texts: int = MIN_TEXTS, threshold: float = GENERALISE, out: str = "__pii") -> DataFrame:
     """docs with one more column, a struct of span arrays: email, ip, card, phone, term."""
-    terms = disclosing_terms(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), min_texts, threshold)
-    n = terms.agg(F.sum(F.size("terms"))).first()[0] or 0
-    terms = terms.select(F.col("id").alias("__id"), F.col("terms").alias("__terms"))
-    both = docs.join(terms.hint("broadcast" if n <= BROADCAST_ROWS else "shuffle_merge"), docs[id_col] == F.col("__id"), "left")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    spans = base_spans(text)
-    any_of = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("__terms", lambda t: t["term"]), "|"), F.lit(r")(?!\p{L})"))
-    term = F.when(F.col("__terms").isNotNull(), spans_of(text, any_of)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
-    # A term inside a base span goes with that span.
-    known = F.concat(*spans.values())
-    term = F.filter(term, lambda t: ~F.exists(known, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    strength = F.transform(term, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"), F.coalesce(F.filter("__terms", lambda x: x["term"] == F.lower(t["value"]))[0]["disclosure"], F.lit(threshold)).alias("disclosure")))
-    return both.withColumn(out, F.struct(*(s.alias(k) for k, s in spans.items()), strength.alias("term"))).drop("__id", "__terms")
-
-
-def _put(span: Column, put: Column) -> Column:
-    return F.struct(span["start"].alias("start"), span["end"].alias("end"), put.alias("put"))
-
-
-def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    columns = dict(zip(docs.columns, names))
+    rows = docs.toDF(*names).withColumn("key", F.md5(F.col(columns[text_col])))
+    texts = rows.where(F.col(columns[text_col]).isNotNull()).select("key", F.col(columns[text_col]).alias("text"))
+    found = term_spans(texts, disclosing_terms(texts, min_texts, threshold))
+    n = found.agg(F.sum(F.size("terms"))).first()[0] or 0
+    rows = rows.join(found.hint("broadcast" if n <= BROADCAST_ROWS // 4 else "shuffle_merge"), "key", "left")
+    spans = base_spans(columns[text_col])
+    terms = F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,disclosure:double>>"))
+    kept = [F.col(x).alias(c) for c, x in columns.items() if c != out]
+    return rows.select(*kept, F.struct(*(s.alias(k) for k, s in spans.items()), terms.alias("term")).alias(out))
+
+
+def sanitised(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """docs whose texts have placeholders in place of personal data and revealing terms.
 
     Spans that overlap are replaced from the left; the rest of a later one goes with it.
     Null texts stay null.
     """
-    marked = with_spans(docs, id_col, text_col, out="__pii", **options)
-
-    def piece(kind: str, put: Column) -> Column:
-        return F.transform(f"__pii.{kind}", lambda s: _put(s, put))
-
-    every = F.array_sort(
-        F.concat(
-            *(piece(k, F.lit(f"[{k.upper()}]")) for k in KINDS),
-            F.transform("__pii.term", lambda s: _put(s, F.when(s["disclosure"] >= REMOVE, F.lit("")).otherwise(F.lit("[TERM]")))),
-        )
-    )
-    text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    out = "__pii"
+    while out in docs.columns:
+        out += "_"
+    marked = with_spans(docs, text_col, out=out, **options)
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substr(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], gap, s["put"])).otherwise(acc["out"]).alias("out"),
-        )
+    def piece(kind: str, put: Callable[[Column], Column]) -> Column:
+        return F.transform(f"{out}.{kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), put(s).alias("put")))
 
-    new = F.aggregate(every, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    return marked.withColumn(text_col, F.when(F.size(every) > 0, new).otherwise(text)).select(*docs.columns)
+    base = [piece(k, lambda s, k=k: F.lit(f"[{k.upper()}]")) for k in KINDS]
+    terms = piece("term", lambda s: F.when(s["disclosure"] >= REMOVE, "").otherwise("[TERM]"))
+    marked = marked.select(*docs.columns, F.array_sort(F.concat(*base, terms)).alias(out))
+    new = F.expr(replaced(quoted(text_col), quoted(out)))
+    return marked.select(*(new.alias(c) if c == text_col else c for c in docs.columns))
 
 
 def op2_disclosure(docs: DataFrame) -> DataFrame:
-    """One row per document: base counts and digest, and all spans."""
+    """One row per document: base counts and digest, and all spans; terms by what becomes of them."""
     found = with_spans(docs.select("doc_id", "text"))
-    names = {k: label(k, F.col(f"__pii.{k}")) for k in (*KINDS, "term")}
-    base = F.concat(*(names[k] for k in KINDS))
+    base = F.concat(*(label(k, F.col(f"__pii.{k}")) for k in KINDS))
+    gone = F.filter("__pii.term", lambda s: s["disclosure"] >= REMOVE)
+    general = F.filter("__pii.term", lambda s: s["disclosure"] < REMOVE)
     return found.select(
         "doc_id",
         *(F.size(f"__pii.{k}").cast("long").alias(f"n_{k}") for k in KINDS),
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
-        F.array_join(F.concat(base, names["term"]), ",").alias("spans"),
-        F.size("__pii.term").cast("long").alias("n_term"),
+        F.array_join(F.concat(base, label("generalise", general), label("remove", gone)), ",").alias("spans"),
+        F.size(general).cast("long").alias("n_generalise"),
+        F.size(gone).cast("long").alias("n_remove"),
     )

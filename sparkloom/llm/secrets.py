@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import spans_of, stored
+from sparkloom.llm.common import quoted, spans_of, stored
 
 # The base kinds and their patterns, then the weak ones.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
@@ -36,14 +36,23 @@ SCOPE = 400
 MIN_ASSIGNED = 12
 
 
+def packed(span: Column) -> Column:
+    """Start and end in one long: sets of longs are compared by hashing."""
+    return span["start"].cast("long") * F.lit(1 << 32) + span["end"]
+
+
+def unpacked(x: Column) -> Column:
+    return F.struct(F.shiftright(x, 32).cast("int").alias("start"), x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("end"))
+
+
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per row of docs: its id, a key of id and text, and the spans of each kind."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    assign = F.filter(spans_of(text, ASSIGN), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= MIN_ASSIGNED)
-    kinds = [assign.alias("assign")] + [spans_of(text, p).alias(k) for k, p in [*BASE.items(), *WEAK.items()] if k != "assign"]
+    text = quoted(text_col)
+    assign = F.filter(F.expr(spans_of(text, ASSIGN)), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= MIN_ASSIGNED)
+    kinds = [assign.alias("assign")] + [F.expr(spans_of(text, p)).alias(k) for k, p in [*BASE.items(), *WEAK.items()] if k != "assign"]
     # A secret that the base pattern reports as it stands is not weak.
-    weak = F.filter("weak_secret", lambda s: ~F.exists("assign", lambda a: (a["start"] == s["start"]) & (a["end"] == s["end"])))
-    bare = [F.transform(weak if k == "weak_secret" else F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in ORDER]
+    weak = F.transform(F.array_except(F.transform("weak_secret", packed), F.transform("assign", packed)), unpacked)
+    bare = [(weak if k == "weak_secret" else F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias(k) for k in ORDER]
     key = [F.xxhash64(F.col(id_col), F.col(text_col)).alias("k1"), F.hash(F.col(text_col)).alias("k2")]
     return docs.select(F.col(id_col).alias("id"), *key, *kinds).select("id", "k1", "k2", *bare)
 
