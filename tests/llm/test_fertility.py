@@ -1,8 +1,9 @@
+import random
 import re
 from collections import Counter
 
 from sparkloom.llm.common import read
-from sparkloom.llm.fertility import op1_fertility
+from sparkloom.llm.fertility import fertility, main_script, op1_fertility
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, script string, n_words long"
@@ -48,3 +49,29 @@ def test_clean_prose_stays_and_noise_goes(spark):
     assert out.where("not kept").count() <= 0.005 * out.count()
     noise = spark.createDataFrame([(1, " ".join("\U0001f600꧂" + str(i) for i in range(80)), "en")], "doc_id long, text string, lang string")
     assert [r.kept for r in op1_fertility(noise).collect()] == [False]
+
+
+def test_long_words_are_encoded_whole(spark):
+    import base64
+
+    import sentencepiece
+    import tiktoken
+
+    rng = random.Random(4)
+    folder = "/opt/tokenizers"
+    pieces = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/piece_bpe_32k.model")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(f"{folder}/byte_bpe_50k.tiktoken", "rb"))}
+    split = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    bpe = tiktoken.Encoding("whole", pat_str=split, mergeable_ranks=ranks, special_tokens={})
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/é你"
+    words = ["".join(rng.choice(letters) for _ in range(n)) for n in (1999, 2001, 6002, 100_000)] + ["a" * 1_000_000]
+    docs = spark.createDataFrame([(i, f"see {w} here", "en") for i, w in enumerate(words)], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.f.n_tokens, r.f.n_bpe_tokens) for r in fertility(docs, out="f").collect()}
+    for i, w in enumerate(words):
+        line = ["see", w, "here"]
+        assert got[i] == (sum(len(pieces.encode(x)) for x in line), sum(len(bpe.encode_ordinary(" " + x)) for x in line))
+
+
+def test_scripts():
+    texts = {"latin": "plain Łódź", "cyrillic": "привет мир", "greek": "καλημέρα", "arabic": "مرحبا", "indic": "नमस्ते", "cjk": "你好 こんにちは 안녕", "other": "שלום"}
+    assert {name: main_script(t) for name, t in texts.items()} == {name: name for name in texts}
