@@ -73,3 +73,12 @@ def test_edge_cases(spark):
     sound([r for r in out if r.doc_id != 4], {1: 0, 2: 0, 3: 9000, 5: 4096})
     assert op10_packing(docs.limit(0)).count() == 0
     assert packed(docs.withColumn("n", F.lit(7)), length_col="n").agg(F.sum("length")).first()[0] == 49
+
+
+def test_equal_and_null_ids_spread_over_shards(spark):
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same text " * 20).alias("text"))
+    out = packed(rows.union(spark.range(5_000).select(F.lit(7).cast("long"), F.lit("w " * 30))), shard_rows=1000)
+    sizes = [r["count"] for r in out.groupBy("shard").count().collect()]
+    assert len(sizes) == 25 and max(sizes) < 1200 and sum(sizes) == 25_000
+    names = spark.createDataFrame([("a", "x y z"), (None, "u v"), ("a", None)], "doc_id string, text string")
+    assert sorted((str(r.doc_id), r.length) for r in packed(names).collect()) == [("None", 2), ("a", 0), ("a", 3)]
