@@ -1,15 +1,17 @@
 """Operator 3, URL filters: allow and block rules, and boosted trees for the URLs without one.
 
 The longest rule whose host is the URL's host or a parent of it, and whose path begins the
-URL's path, decides.  URLs with a rule are the labelled ones; gradient-boosted trees learn from
-at most TRAIN_ROWS of them (chosen by a hash of the URL, the documented bound of the model) the
-lexical features: lengths, depth, digit ratio, character entropy, parameter counts, and how
+URL's path, decides.  URLs with a rule are the labelled ones; gradient-boosted trees learn the
+lexical features from at most TRAIN_ROWS different ones (the documented bound of the model: up
+to half of each verdict, those with the least hashes, weighted by what their verdict has in
+all): lengths, depth, digit ratio, character entropy, parameter counts, and how
 often URLs of the same suffix are blocked, counted over all labelled rows.
 
 DataFrame functions and Spark's own trees only.  Defined results: a null URL or one without
 `://` has empty host and path, no rule, and the trees' verdict on it; with one class of label
-that class is the verdict, with none `allow`; each row is judged; extra columns are passed
-through; an empty table gives an empty one.
+that class is the verdict, with none `allow`; each row is judged; a URL that fills the table is
+one example; extra columns are passed through (a column named as the output is replaced); an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -63,11 +65,13 @@ def entropy(text: Column) -> Column:
 
 
 def lexical(pages: DataFrame, url_col: str, rules: tuple[tuple[str, str], ...]) -> DataFrame:
-    """pages with struct __url: host, path, rule, label (1.0 block, 0.0 allow) and raw features."""
-    url = F.coalesce(F.col(url_col), F.lit(""))
-    host, path = host_and_path(F.col(url_col))
+    """The columns of pages as in0, in1, ... and struct __url: host, path, rule, label (1.0 block, 0.0 allow), raw features."""
+    at = pages.columns.index(url_col)
+    df = pages.toDF(*(f"in{i}" for i in range(len(pages.columns))))
+    url = F.coalesce(F.col(f"in{at}"), F.lit(""))
+    host, path = host_and_path(url)
     verdicts = F.create_map(*(F.lit(x) for r in rules for x in r))
-    df = pages.withColumn("__url", F.struct(host.alias("host"), path.alias("path")))
+    df = df.withColumn("__url", F.struct(host.alias("host"), path.alias("path")))
     df = df.withColumn("__rule", rule_of(F.col("__url.host"), F.col("__url.path"), rules))
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     number = lambda c: c.cast("double")
@@ -89,45 +93,78 @@ def lexical(pages: DataFrame, url_col: str, rules: tuple[tuple[str, str], ...])
             entropy(url).alias("entropy"),
             F.when(query == "", 0.0).otherwise(number(F.size(F.split(query, "&")))).alias("params"),
             number(F.array_max(F.transform(F.split(url, r"[/.?#&=]"), lambda p: F.char_length(p)))).alias("longest_part"),
-            F.xxhash64(url).alias("hash"),
+            F.xxhash64(url).bitwiseAND((1 << 53) - 1).alias("hash"),
         ),
     ).drop("__rule")
 
 
-def judged(pages: DataFrame, url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES, train_rows: int = TRAIN_ROWS, seed: int = 7) -> DataFrame:
-    """pages with struct __url: host, path, rule, verdict and the trees' block score."""
+#: Classes of hashes per verdict that the bound of the sample is counted in.
+BINS = 4096
+
+
+def sample_bounds(labelled: DataFrame, train_rows: int) -> dict[float, tuple[int, float]]:
+    """Per label: the hash below which different URLs are taken, and the weight of each of them.
+
+    Hashes (0 to 2^53 - 1) of a stretch that should hold twice the rows wanted are counted in
+    BINS classes; the classes from below that stay within the bound are taken.
+    """
+    urls = stored(labelled.groupBy("label", "hash").agg(F.count("*").alias("n")), "url-hashes")
+    most, space, found = train_rows // 2, 1 << 53, {}
+    for label, n in ((r.label, r.n) for r in urls.groupBy("label").agg(F.count("*").alias("n")).collect()):
+        if n <= most:
+            found[label] = (space, 1.0)
+            continue
+        wide = max(1, int(space * min(1.0, 2 * most / n)) // BINS)
+        low = urls.where((F.col("label") == label) & (F.col("hash") < wide * BINS))
+        counts = {r.bin: r.n for r in low.groupBy(F.floor(F.col("hash") / wide).cast("long").alias("bin")).agg(F.count("*").alias("n")).collect()}
+        taken = bins = 0
+        while bins < BINS and taken + counts.get(bins, 0) <= most:
+            taken += counts.get(bins, 0)
+            bins += 1
+        found[label] = (wide * bins, n / max(1, taken))
+    return found
+
+
+def judged(pages: DataFrame, url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES, train_rows: int = TRAIN_ROWS, seed: int = 7, out: str = "__url") -> DataFrame:
+    """pages with one more column, a struct: host, path, rule, verdict and the trees' block score."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     df = lexical(pages, url_col, rules)
-    bare = df.select("__url.*")
-    labelled = bare.where("label is not null")
+    kept = [F.col(f"in{i}").alias(c) for i, c in enumerate(pages.columns) if c != out]
+
+    def verdicts(other: Column, score: Column) -> Column:
+        by_rule = F.when(F.col("__url.label") == 1, "block").when(F.col("__url.label") == 0, "allow").otherwise(other)
+        return F.struct("__url.host", "__url.path", "__url.rule", by_rule.alias("verdict"), score.alias("score")).alias(out)
+
+    labelled = df.select("__url.*").where("label is not null")
     suffixes = labelled.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
     suffixes = stored(suffixes, "url-suffixes")
     n, blocked = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0.0))).first()
-    verdict = F.lit("block" if n and blocked == n else "allow")
     if not 0 < blocked < n:
-        rule_verdict = F.when(F.col("__url.label") == 1, "block").when(F.col("__url.label") == 0, "allow").otherwise(verdict)
-        return df.withColumn("__url", F.struct("__url.host", "__url.path", "__url.rule", rule_verdict.alias("verdict"), F.lit(blocked / n if n else 0.0).alias("score")))
-    share = min(1.0, train_rows / n)
-    sample = labelled.where(F.pmod("hash", F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+        one = "block" if n and blocked == n else "allow"
+        return df.select(*kept, verdicts(F.lit(one), F.lit(blocked / n if n else 0.0)))
+    bounds = sample_bounds(labelled, train_rows)
+    below, weight = F.lit(0), F.lit(1.0)
+    for label, (hash_bound, each) in bounds.items():
+        below, weight = F.when(F.col("label") == label, hash_bound).otherwise(below), F.when(F.col("label") == label, each).otherwise(weight)
+    sample = labelled.where(F.col("hash") < below).dropDuplicates(["label", "hash"])
     prior = float(blocked) / n
     rate = (F.col("blocked") + prior * SMOOTH) / (F.col("n") + SMOOTH)
     # Suffixes of the bounded sample only: at most that many rows.
+    sample = stored(sample.withColumn("weight", weight), "url-urls")
     known = stored(sample.select("suffix").distinct().join(suffixes.hint("shuffle_merge"), "suffix").select("suffix", rate.alias("suffix_block")), "url-known")
-    sample = sample.join(F.broadcast(known), "suffix").select("label", "hash", *FEATURES)
+    sample = sample.join(F.broadcast(known), "suffix").select("label", "weight", "hash", *FEATURES)
     sample = stored(sample.repartition(8, "hash").sortWithinPartitions("hash", *FEATURES), "url-sample")
     pack = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=15, maxDepth=4, stepSize=0.2, seed=seed)
+    trees = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=15, maxDepth=4, stepSize=0.2, seed=seed)
     model = trees.fit(pack.transform(sample))
     rows = df.join(F.broadcast(known).withColumnRenamed("suffix", "__suffix"), F.col("__url.suffix") == F.col("__suffix"), "left")
-    rows = rows.select(*(F.col(c).alias(f"__in{i}") for i, c in enumerate(pages.columns)), "__url", *(F.col(f"__url.{c}") for c in FEATURES[:-1]), F.coalesce("suffix_block", F.lit(prior)).alias("suffix_block"))
+    rows = rows.select(*(f"in{i}" for i in range(len(pages.columns))), "__url", *(F.col(f"__url.{c}") for c in FEATURES[:-1]), F.coalesce("suffix_block", F.lit(prior)).alias("suffix_block"))
     scored = model.transform(pack.transform(rows))
     by_trees = F.when(F.col("prediction") == 1, "block").otherwise("allow")
-    by_rule = F.when(F.col("__url.label") == 1, "block").when(F.col("__url.label") == 0, "allow").otherwise(by_trees)
-    out = F.struct("__url.host", "__url.path", "__url.rule", by_rule.alias("verdict"), F.round(vector_to_array("probability")[1], 6).alias("score"))
-    return scored.select(*(F.col(f"__in{i}").alias(c) for i, c in enumerate(pages.columns)), out.alias("__url"))
+    return scored.select(*kept, verdicts(by_trees, F.round(vector_to_array("probability")[1], 6)))
 
 
 def op3_urls(pages: DataFrame) -> DataFrame:

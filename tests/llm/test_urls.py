@@ -1,8 +1,10 @@
 import math
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from sparkloom.llm.common import read
-from sparkloom.llm.urls import RULES, entropy, op3_urls
+from sparkloom.llm.urls import RULES, entropy, judged, lexical, op3_urls, sample_bounds
 
 SF01 = "/root/testdata/sf0.01"
 
@@ -55,5 +57,23 @@ def test_entropy(spark):
     for text in ["", "a", "abca", "http://x.y/z?é"]:
         n = len(text)
         want = -sum(c / n * math.log2(c / n) for c in Counter(text).values())
-        got = spark.createDataFrame([(text,)], "t string").select(entropy(spark.range(1).select().sparkSession and __import__("pyspark.sql.functions", fromlist=["col"]).col("t"))).first()[0]
+        got = spark.createDataFrame([(text,)], "t string").select(entropy(F.col("t"))).first()[0]
         assert abs(got - want) < 1e-9
+
+
+def test_many_rows_of_few_urls(spark):
+    urls = ["http://a.com/x", "http://b.net/es/y", "http://c.org/z", "http://d.com/1?q=2"]
+    rows = spark.range(100_000).select(F.col("id").alias("page_id"), F.element_at(F.array(*map(F.lit, urls)), (F.col("id") % 4 + 1).cast("int")).alias("url"), F.lit(1).alias("__url"))
+    out = {(r.url, r["v"].verdict, r["count"]) for r in judged(rows, out="v").groupBy("url", "v").count().collect()}
+    assert {(u, v) for u, v, _ in out if ".org" not in u} == {(urls[0], "allow"), (urls[1], "block"), (urls[3], "allow")} and {n for *_, n in out} == {25_000}
+
+
+def test_the_sample_keeps_its_bound(spark):
+    rows = [(i, f"http://h{i % 977}.{'com' if i % 10 else 'net'}/{'' if i % 10 else 'es/'}p{i}") for i in range(30_000)]
+    pages = spark.createDataFrame(rows + rows[:500] * 8, "page_id long, url string")
+    labelled = lexical(pages, "url", RULES).select("__url.*").where("label is not null")
+    for most in (2_000, 20_000, 100_000):
+        n = {0.0: 27_000, 1.0: 3_000}
+        for label, (below, weight) in sample_bounds(labelled, most).items():
+            taken = labelled.where((F.col("label") == label) & (F.col("hash") < below)).select("hash").distinct().count()
+            assert min(n[label], 0.97 * most / 2) <= taken <= most / 2 and abs(taken * weight - n[label]) < 1e-6 * n[label]
