@@ -1,10 +1,14 @@
 import re
+import time
 from html.parser import HTMLParser
 
 from sparkloom.llm.common import read
-from sparkloom.llm.layout import HIDDEN, VOID, op8_layout, text_of
+from sparkloom.llm.layout import op8_layout, text_of
 
 SF = "/root/testdata/sf0.001"
+# What no browser shows of a page, by the HTML standard.
+HIDDEN = {"head", "script", "style", "template", "title", "iframe", "object", "datalist", "audio", "video", "canvas"}
+VOID = {"meta", "link", "base", "br", "hr", "img", "input"}
 
 
 class Words(HTMLParser):
@@ -67,3 +71,32 @@ def test_visible_text_is_kept():
     assert text_of("<table><caption>c<tr><td>x</td></tr></table>") == "c\nx"
     page = "<p>" + "\u0130" * 9 + "</p><script>var a = 1;</SCRIPT><p>seen</p>"
     assert text_of(page) == "\u0130" * 9 + "\n\nseen"
+
+
+def test_columns_of_spanning_cells():
+    assert text_of("<table><tr><td rowspan=2>aa<td>b<tr><td>c<tr><td>d<td>e</table>") == "aa | b\n   | c\nd  | e"
+    assert text_of("<table><tr><th colspan=2>both<th>n<tr><td>x<td>yy<td>1<tr><td colspan='2'>z<td>22</table>") == "both   | n\nx | yy | 1\nz      | 22"
+    assert text_of("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>") == "a | b\n  | c\n  | d"
+    assert text_of("<table><tr><td colspan=bad>a<td colspan=0>b</table>") == "a | b"
+
+
+def test_text_of_pictures_and_formulas():
+    assert text_of("<p>see <svg><title>no</title><desc>no</desc><style>x</style><g><text>axis</text></g><path d='m'/></svg> here") == "see axis here"
+    assert text_of("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math>").split() == ["x=2"]
+
+
+def test_quotes_count_only_after_an_equals_sign():
+    assert text_of("""<p class=a"b>one</p><p title="x > y">two</p><p '>three""") == "one\n\ntwo\n\nthree"
+    assert text_of("kept <a href='open>lost") == "kept" and text_of("a </ b> c <? d> e") == "a c e"
+
+
+def test_deep_and_broken_pages(spark):
+    n = 10_000
+    pages = ["<ul><li>a" * n, "<ol><li>" * n + "x", "<table><tr><td>" * n + "x", "<b>" * n + "x", "<a " * n + '"', "<a b=" * n + '"', "<span>" * n + "<p>q" * n]
+    pages += ["<table><tr>" + "<td rowspan=9999>x" * 2000 + "<tr><td>y" * 2000, "<" * n, "<!" * n, "<div hidden " * n, "<td>" * n, "</p>" * n]
+    start = time.time()
+    got = [len(text_of(p).split()) for p in pages]
+    assert time.time() - start < 30
+    assert got[:4] == [2 * n, 2, 1, 1] and got[6] == n
+    docs = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    assert [len(r.text.split()) for r in op8_layout(docs).orderBy("page_id").collect()] == got
