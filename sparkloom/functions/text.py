@@ -7,10 +7,12 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from sparkloom.sources.scratch import side
+
 # Boilerplate patterns, title stop words, sensational words.
 BOILERPLATE = [
     r"click here to subscribe", r"subscribe to our newsletter", r"sign up for our newsletter", r"read more", r"related stories",
@@ -121,7 +123,7 @@ def sentiment(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: st
     """key, pos, neg, neu, compound from a word table lexicon(word, weight): shares of words, and
     the sum of weights squashed to (-1, 1).  Words without an entry are neutral."""
     words = docs.select(key, F.explode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("word"))
-    s = words.join(lexicon, "word", "left").groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("weight") > 0).alias("p"), F.count_if(F.col("weight") < 0).alias("m"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w"))
+    s = words.join(side(lexicon), "word", "left").groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("weight") > 0).alias("p"), F.count_if(F.col("weight") < 0).alias("m"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w"))
     out = docs.select(key).join(s, key, "left")
     n = F.greatest(F.coalesce("n", F.lit(0)), F.lit(1))
     p, m, w = (F.coalesce(c, F.lit(0)) for c in ("p", "m", "w"))
@@ -143,16 +145,37 @@ def names_in(c: Column, skip: list[str], limit: int | None = None, chars: int |
     return F.slice(F.array_distinct(good), 1, limit) if limit else F.array_distinct(good)
 
 
-def gazetteer(docs: DataFrame, entries: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 10, chars: int = 2000) -> DataFrame:
-    """key, etype, name for entries(name, etype) contained in the text, the first limit of a type.
+#: Entries of a dictionary that each text is searched for one by one; larger ones meet the texts' stretches by a hash join.
+MAX_SEARCHED = 2_000
+
 
-    entries is a dimension table; each text is checked against its rows.
+def containing(rows: DataFrame, text: str, entries: DataFrame, name: str, most: int = MAX_SEARCHED) -> DataFrame:
+    """rows joined with the entries whose name their text contains.
+
+    Up to most entries go to every executor and are searched for in each text.  Beyond that the
+    stretches of each text, in the lengths that names have, are joined with the names.
     """
-    from pyspark.sql import Window
+    if entries.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(entries), F.contains(text, name))
+    lengths = sorted(r.n for r in entries.select(F.char_length(name).alias("n")).distinct().collect() if r.n)
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+
+    def stretches(n: int):
+        return lambda c: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, F.lit(n)), ""))).otherwise(F.array().cast("array<string>"))
 
-    hit = docs.select(key, F.lower(F.substring(text, 1, chars)).alias("t")).join(entries, F.col("t").contains(F.lower("name")))
+    every = F.transform(F.array(chars), lambda c: F.array_distinct(F.concat(*(stretches(n)(c) for n in lengths))))[0]
+    return rows.withColumn("__part", F.explode(every)).join(entries.withColumn("__part", F.col(name)).hint("shuffle_merge"), "__part").drop("__part")
+
+
+def gazetteer(docs: DataFrame, entries: DataFrame, key: str = "doc_id", text: str = "text", limit: int | None = None, chars: int | None = None) -> DataFrame:
+    """key, etype, name for entries(name, etype) contained in the text: all of the whole text, or
+    the first limit of a type in its first chars characters."""
+    low = F.lower(F.substring(text, 1, chars) if chars else F.col(text))
+    hit = containing(docs.select(key, low.alias("__t")), "__t", entries.withColumn("__n", F.lower("name")), "__n").select(key, "etype", "name").distinct()
+    if limit is None:
+        return hit
     rank = F.row_number().over(Window.partitionBy(key, "etype").orderBy("name"))
-    return hit.select(key, "etype", "name").distinct().withColumn("r", rank).where(F.col("r") <= limit).drop("r")
+    return hit.withColumn("r", rank).where(F.col("r") <= limit).drop("r")
 
 
 def mentions_of(articles: DataFrame, entities: str = "entities", min_length: int = 1) -> DataFrame:
@@ -177,8 +200,6 @@ def pick_time_column(df: DataFrame, names: tuple[str, ...] = ("published", "scra
 
 def summary(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: int = 3) -> DataFrame:
     """key, summary: the sentences with the highest mean word frequency, in their own order."""
-    from pyspark.sql import Window
-
     parts = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
     s = docs.select(key, F.col(text).alias("whole"), parts.alias("parts"))
     short = s.where((F.size("parts") <= keep) | (F.length("whole") < 50) | F.col("whole").isNull()).select(key, F.coalesce("whole", F.lit("")).alias("summary"))
@@ -186,9 +207,9 @@ def summary(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: int
     words = long_.select(key, "pos", F.explode(F.regexp_extract_all(F.lower("sentence"), F.lit(r"(?U)(\p{Alpha}+)"), 1)).alias("w"))
     good = words.where(F.length("w") > 2)
     freq = good.groupBy(key, "w").agg(F.count("*").alias("f"))
-    score = good.join(freq, [key, "w"]).groupBy(key, "pos").agg((F.sum("f") / F.count("*")).alias("score"))
+    score = good.join(freq.hint("shuffle_merge"), [key, "w"]).groupBy(key, "pos").agg((F.sum("f") / F.count("*")).alias("score"))
     order = F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last("score"), "pos"))
-    top = long_.join(score, [key, "pos"], "left").withColumn("r", order).where(F.col("r") <= keep)
+    top = long_.join(score.hint("shuffle_merge"), [key, "pos"], "left").withColumn("r", order).where(F.col("r") <= keep)
     return short.unionByName(top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("x")).select(key, F.array_join(F.transform("x", lambda v: v["sentence"]), " ").alias("summary")))
 
 

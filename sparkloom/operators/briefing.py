@@ -23,7 +23,7 @@ def sector_situation(links: DataFrame, sectors: DataFrame, partners: int = 3) ->
     r = F.row_number().over(Window.partitionBy("sector").orderBy(F.desc("n"), "partner"))
     top = s.groupBy("sector", "partner").agg(F.count("*").alias("n")).withColumn("r", r).where(F.col("r") <= partners).groupBy("sector").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "partner"))), lambda x: x["partner"]), ",").alias("partners"))
     names = sectors.groupBy("sector").agg(F.count("*").alias("n_entities"))
-    out = names.join(base, "sector", "left").join(top, "sector", "left").fillna(0, ["n_links", "high_confidence", "cooccurrences"])
+    out = names.join(base.hint("shuffle_merge"), "sector", "left").join(top.hint("shuffle_merge"), "sector", "left").fillna(0, ["n_links", "high_confidence", "cooccurrences"])
     status = F.when(F.col("n_links") == 0, "stable").when((F.col("avg_confidence") > 0.6) | (F.col("high_confidence") > 3), "active").otherwise("monitoring")
     return out.withColumn("status", status)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.text import containing
+
 
 def per_document(mentions: DataFrame) -> DataFrame:
     """One row for each (document, entity)."""
@@ -132,22 +134,25 @@ def classify_sectors(entities: DataFrame, keywords: DataFrame, contexts: DataFra
     """entity, sector, confidence by keywords contained in the name (+1), organisation words in the
     names of organisations (+1.5) and, given contexts(entity, text), keywords in any context (+0.3).
 
-    keywords(sector, rank, keyword, kind): kind is 'keyword' or 'org'; it is a small dimension
-    table, and is checked row by row against each entity.  Ties go to the sector of lower rank;
-    entities without any score get global_events at 0.1.
+    keywords(sector, rank, keyword, kind): kind is 'keyword' or 'org'.  With whole_word, keywords
+    stand between spaces.  Ties go to the sector of lower rank; entities without any score get
+    global_events at 0.1.
     """
-    name = F.lower("entity")
-    held = lambda text: F.concat(F.lit(" "), text, F.lit(" ")).contains(F.concat(F.lit(" "), F.col("keyword"), F.lit(" "))) if whole_word else text.contains(F.col("keyword"))
-    rows = entities.join(keywords, held(name) & ((F.col("kind") == "keyword") | (F.col("etype") == "orgs")))
+    gap = F.lit(" " if whole_word else "")
+    words = keywords.select("*", F.concat(gap, "keyword", gap).alias("__word"))
+
+    def held(rows: DataFrame, text: str) -> DataFrame:
+        return containing(rows.withColumn("__text", F.concat(gap, F.lower(text), gap)), "__text", words, "__word")
+
+    rows = held(entities, "entity").where((F.col("kind") == "keyword") | (F.col("etype") == "orgs"))
     hits = rows.select("entity", "sector", "rank", F.when(F.col("kind") == "org", 1.5).otherwise(1.0).alias("points"))
     if contexts is not None:
-        words = keywords.where("kind = 'keyword'")
-        near = contexts.join(words, held(F.lower("text"))).select("entity", "sector", "rank", "keyword").distinct()
+        near = held(contexts.select("entity", "text"), "text").where("kind = 'keyword'").select("entity", "sector", "rank", "keyword").distinct()
         hits = hits.unionByName(near.select("entity", "sector", "rank", F.lit(0.3).alias("points")))
     scored = hits.groupBy("entity", "sector", "rank").agg(F.sum("points").alias("score"))
     best = scored.groupBy("entity").agg(F.min(F.struct((-F.col("score")).alias("s"), "rank", "sector")).alias("b"))
     out = entities.select("entity").join(best, "entity", "left")
-    return out.select("entity", F.coalesce("b.sector", F.lit("global_events")).alias("sector"), F.coalesce(F.round(F.least(-F.col("b.s") / 5.0, F.lit(1.0)), 3), F.lit(0.1)).alias("confidence"))
+    return out.select("entity", F.coalesce("b.sector", F.lit("global_events")).alias("sector"), F.when(F.col("b.s").isNull(), 0.1).otherwise(F.round(F.least(-F.col("b.s") / 5.0, F.lit(1.0)), 3)).alias("confidence"))
 
 
 def sector_map(mentions: DataFrame, sectors: DataFrame) -> DataFrame:

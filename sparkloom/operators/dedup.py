@@ -10,8 +10,9 @@ from sparkloom.sources.scratch import stored
 
 
 def keep_first(df: DataFrame, key: Column, order: str = "doc_id") -> DataFrame:
-    r = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return df.withColumn("__r", r).where("__r = 1").drop("__r")
+    """The row of least order of each key: rows are aggregated where they are before they are shuffled."""
+    first = F.min_by(F.struct(*df.columns), F.struct(order)).alias("__row")
+    return df.groupBy(key.alias("__key")).agg(first).select("__row.*")
 
 
 def dedup_exact(df: DataFrame, column: str = "title", order: str = "doc_id") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators.cooccur import entity_pairs, important_entities, only_important, weighted_pairs
-from sparkloom.sources.scratch import stored
+from sparkloom.sources.scratch import side, stored
 
 # Patterns of sector pairs.
 CAUSAL_PATTERNS = [
@@ -46,7 +46,7 @@ def candidate_graph(candidates: DataFrame, sectors: DataFrame, patterns: DataFra
     j = candidates.join(s, "source", "left").join(t, "target", "left")
     ahead = patterns.select(F.col("p1").alias("s1"), F.col("p2").alias("s2"), F.col("pattern").alias("f"))
     back = patterns.select(F.col("p2").alias("s1"), F.col("p1").alias("s2"), F.col("pattern").alias("b"))
-    j = j.join(F.broadcast(ahead), ["s1", "s2"], "left").join(F.broadcast(back), ["s1", "s2"], "left")  # ten rows each
+    j = j.join(side(ahead), ["s1", "s2"], "left").join(side(back), ["s1", "s2"], "left")
     best = F.row_number().over(Window.partitionBy("source", "target").orderBy(F.desc("causal_score"), "mean_lag_hours"))
     return j.withColumn("r", best).where("r = 1").select("source", "target", F.col("causal_score").alias("weight"), F.coalesce("f", "b", F.lit("general")).alias("pattern"), "mean_lag_hours")
 
@@ -115,7 +115,7 @@ def impact_chains(pairs: DataFrame, sectors: DataFrame, ranked: DataFrame, per_s
     ends = lead.select(F.col("entity").alias("node"), F.col("sector").alias("end_sector"))
     starts = lead.select(F.col("entity").alias("root"), F.col("sector").alias("start_sector"))
     mine = found.join(ends, "node").join(starts, "root").where("start_sector < end_sector").where(F.size("path").between(3, 4))
-    steps = mine.select("root", "node", "dist", "path", F.posexplode("path").alias("pos", "entity")).join(sectors, "entity")
+    steps = mine.select("root", "node", "dist", "path", F.posexplode("path").alias("pos", "entity")).join(sectors.hint("shuffle_merge"), "entity")
     line = steps.groupBy("root", "node", "dist", "path").agg(F.array_sort(F.collect_list(F.struct("pos", "sector"))).alias("s")).withColumn("sectors", F.transform("s", lambda x: x["sector"]))
     hops = F.size(F.filter(F.arrays_zip(F.slice("sectors", 1, F.size("sectors") - 1).alias("a"), F.slice("sectors", 2, F.size("sectors") - 1).alias("b")), lambda p: p["a"] != p["b"]))
     line = line.withColumn("hops", hops.cast("long")).withColumn("chain_key", F.array_join("sectors", "->")).withColumn("chain", F.array_join("path", "->"))

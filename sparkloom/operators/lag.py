@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators.cooccur import per_document
+from sparkloom.sources.scratch import stored
 
 
 def lag_samples(mentions: DataFrame, pairs: DataFrame, min_hours: float = 6, max_days: int = 14) -> DataFrame:
@@ -20,19 +21,41 @@ def lag_samples(mentions: DataFrame, pairs: DataFrame, min_hours: float = 6, max
     left = way.join(m.select(F.col("entity").alias("a"), F.col("t").alias("ta")), "a").withColumn("bucket", F.explode(F.array(F.floor(F.col("ta") / width), F.floor(F.col("ta") / width) + 1)))
     right = m.select(F.col("entity").alias("b"), F.col("t").alias("tb"), F.floor(F.col("t") / width).alias("bucket"))
     gap = F.col("tb") - F.col("ta")
-    hit = left.join(right, ["b", "bucket"]).where(gap.between(int(min_hours * 3_600_000_000), width))
+    hit = left.join(right.hint("shuffle_merge"), ["b", "bucket"]).where(gap.between(int(min_hours * 3_600_000_000), width))
     return hit.select("e1", "e2", "ahead", (gap / 3_600_000_000).alias("lag_hours"))
 
 
+def lag_sums(mentions: DataFrame, pairs: DataFrame, min_hours: float = 6, max_days: int = 14) -> DataFrame:
+    """e1, e2, n1, n2, l1, l2: how many lags there are ahead and behind, and their means in hours.
+
+    The lags of lag_samples are added up without being made.  In the order of time, a mention of
+    the one end opens min_hours after itself and closes after max_days; each mention of the other
+    end adds what is open: running sums over a bucket of one pair, linear in its mentions.
+    """
+    low, width = int(min_hours * 3_600_000_000), max_days * 86_400_000_000
+    m = stored(per_document(mentions).where(F.col("ts").isNotNull()).select("entity", F.unix_micros("ts").alias("t")), "lag-times")
+    way = pairs.select("e1", "e2", F.explode(F.array(F.struct(F.lit(True).alias("ahead"), F.col("e1").alias("a"), F.col("e2").alias("b")), F.struct(F.lit(False).alias("ahead"), F.col("e2").alias("a"), F.col("e1").alias("b")))).alias("w"))
+    way = stored(way.select("e1", "e2", "w.*"), "lag-ways")
+    bucket = F.floor(F.col("t") / width)
+    # Times count from the bucket's beginning, so that their sums stay small; closing comes after what it still covers.
+    from_ = (F.col("t") - F.col("bucket") * width).alias("at")
+    a = way.join(m.withColumnRenamed("entity", "a").hint("shuffle_merge"), "a").select("e1", "e2", "ahead", "t", F.explode(F.array(bucket, bucket + 1)).alias("bucket")).select("e1", "e2", "ahead", "bucket", from_)
+    step = lambda time, rank, sign: F.struct(time.alias("time"), F.lit(rank).alias("rank"), F.lit(sign).alias("n"), (F.col("at") * sign).alias("sum"))
+    a = a.select("e1", "e2", "ahead", "bucket", F.explode(F.array(step(F.col("at") + low, 0, 1), step(F.col("at") + width, 2, -1))).alias("s"))
+    b = way.join(m.withColumnRenamed("entity", "b").hint("shuffle_merge"), "b").withColumn("bucket", bucket).select("e1", "e2", "ahead", "bucket", from_).select("e1", "e2", "ahead", "bucket", step(F.col("at"), 1, 0).alias("s"))
+    so_far = Window.partitionBy("e1", "e2", "ahead", "bucket").orderBy("time", "rank").rowsBetween(Window.unboundedPreceding, 0)
+    every = a.unionByName(b).select("e1", "e2", "ahead", "bucket", "s.*").withColumn("open", F.sum("n").over(so_far)).withColumn("opened", F.sum("sum").over(so_far))
+    lag = (F.col("time") * F.col("open") - F.col("opened")).cast("decimal(38,0)")
+    s = every.where((F.col("rank") == 1) & (F.col("open") > 0)).groupBy("e1", "e2").agg(*(x for i, way_ in ((1, F.col("ahead")), (2, ~F.col("ahead"))) for x in (F.coalesce(F.sum(F.when(way_, F.col("open"))), F.lit(0)).alias(f"n{i}"), F.sum(F.when(way_, lag)).cast("double").alias(f"s{i}"))))
+    return s.select("e1", "e2", "n1", "n2", *(F.try_divide(F.col(f"s{i}") / 3_600_000_000, F.col(f"n{i}")).alias(f"l{i}") for i in (1, 2)))
+
+
 def lag_candidates(mentions: DataFrame, pairs: DataFrame, min_hours: float = 6, max_days: int = 14, min_samples: int = 2, min_docs: int = 5) -> DataFrame:
     """Directed candidates: the direction with more than twice the samples of the other."""
     m = per_document(mentions).where(F.col("ts").isNotNull())
     dated = m.agg(F.countDistinct("doc_id").alias("docs"))
     seen = m.groupBy("entity").agg(F.count("*").alias("k"))
-    side = F.col("ahead")
-    s = lag_samples(mentions, pairs, min_hours, max_days).groupBy("e1", "e2").agg(
-        F.count_if(side).alias("n1"), F.count_if(~side).alias("n2"), F.avg(F.when(side, F.col("lag_hours"))).alias("l1"), F.avg(F.when(~side, F.col("lag_hours"))).alias("l2")
-    )
+    s = stored(lag_sums(mentions, pairs, min_hours, max_days), "lag-sums")
     s = s.join(seen.select(F.col("entity").alias("e1"), F.col("k").alias("k1")), "e1").join(seen.select(F.col("entity").alias("e2"), F.col("k").alias("k2")), "e2").crossJoin(F.broadcast(dated))  # one row
     s = s.where((F.col("k1") >= 2) & (F.col("k2") >= 2) & (F.greatest("n1", "n2") >= min_samples) & (F.col("docs") >= min_docs))
     fwd, rev = F.col("n1") > 2 * F.col("n2"), F.col("n2") > 2 * F.col("n1")

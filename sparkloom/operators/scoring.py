@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.sources.scratch import side
+
 # Sector baselines, source reliability, phase and signal priors, impact patterns.
 SECTOR_BASELINES = {"politics": 0.55, "finance": 0.60, "technology": 0.50, "energy": 0.55, "military": 0.50, "startups": 0.45, "social": 0.50, "global_events": 0.40}
 SOURCE_RELIABILITY = {
@@ -90,11 +92,19 @@ def impact_table(spark) -> DataFrame:
     return spark.createDataFrame(IMPACT_PATTERNS, "p1 string, p2 string, likelihood double, timeframe string, effect string")
 
 
+def _either_way(links: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """links with the columns of table(p1, p2, ...) for their pair of sectors: the forward row wins,
+    then the backward one; of rows that repeat a pair one counts."""
+    one = table.groupBy("p1", "p2").agg(F.min(F.struct(*columns)).alias("__x"))
+    ahead = one.select(F.col("p1").alias("source_sector"), F.col("p2").alias("target_sector"), F.col("__x").alias("__f"))
+    back = one.select(F.col("p2").alias("source_sector"), F.col("p1").alias("target_sector"), F.col("__x").alias("__b"))
+    j = links.join(side(ahead), ["source_sector", "target_sector"], "left").join(side(back), ["source_sector", "target_sector"], "left")
+    return j.withColumn("__x", F.coalesce("__f", "__b")).select(*links.columns, *(F.col(f"__x.{c}").alias(c) for c in columns))
+
+
 def predict_impact(links: DataFrame, patterns: DataFrame) -> DataFrame:
-    """links with struct impact: the sector pair's pattern in either order, or the default."""
-    p = patterns.select(F.least("p1", "p2").alias("k1"), F.greatest("p1", "p2").alias("k2"), "likelihood", "timeframe", "effect")
-    own = links.withColumn("k1", F.least("source_sector", "target_sector")).withColumn("k2", F.greatest("source_sector", "target_sector"))
-    joined = own.join(F.broadcast(p), ["k1", "k2"], "left")  # at most one row a pair of sectors
+    """links with struct impact: the sector pair's pattern (the forward one wins), or the default."""
+    joined = _either_way(links, patterns, ["likelihood", "timeframe", "effect"])
     adjusted = F.coalesce(F.col("likelihood") * F.least(F.col("confidence") * 1.2, F.lit(1.0)), F.lit(0.5) * F.col("confidence"))
     weighted = F.when(F.col("likelihood").isNotNull(), adjusted * F.col("confidence")).otherwise(adjusted)
     impact = F.struct(F.coalesce("effect", F.lit(DEFAULT_EFFECT)).alias("predicted_effect"), F.round(adjusted, 3).alias("likelihood"), F.coalesce("timeframe", F.lit("medium")).alias("timeframe"), F.round(weighted, 3).alias("confidence_weighted"))
@@ -122,11 +132,9 @@ def explain_links(links: DataFrame) -> DataFrame:
 def downstream_effects(links: DataFrame, effects: DataFrame) -> DataFrame:
     """links with the array downstream: the sector pair's effects in either order (the forward one
     wins), or a sentence made of the two sectors."""
-    ahead = effects.select(F.col("p1").alias("source_sector"), F.col("p2").alias("target_sector"), F.col("effects").alias("__f"))
-    back = effects.select(F.col("p2").alias("source_sector"), F.col("p1").alias("target_sector"), F.col("effects").alias("__b"))
-    j = links.join(F.broadcast(ahead), ["source_sector", "target_sector"], "left").join(F.broadcast(back), ["source_sector", "target_sector"], "left")  # a table of sector pairs
+    j = _either_way(links, effects, ["effects"])
     plain = F.array(F.format_string("Cross-domain propagation between %s and %s", "source_sector", "target_sector"))
-    return j.select(*links.columns, F.coalesce("__f", "__b", plain).alias("downstream"))
+    return j.select(*links.columns, F.coalesce("effects", plain).alias("downstream"))
 
 
 def narrative_sentence(name: str = "entity") -> Column:

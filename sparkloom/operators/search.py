@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators.cooccur import cosine
-from sparkloom.sources.scratch import stored
+from sparkloom.sources.scratch import side, stored
 
 MAX_QUERIES = 10_000
 
@@ -43,8 +43,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: f
     raw = stored(df.select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")), "bm25-idf")
     mean = raw.agg(F.avg("idf").alias("mean"))
     q = queries.select("query_id", F.explode(words(F.col("text"))).alias("term"))
-    idf = raw.join(q.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
-    hit = q.join(idf, "term").join(tf, "term")
+    idf = raw.join(side(q.select("term").distinct()), "term", "left_semi").crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+    known = stored(q.join(idf.hint("shuffle_merge"), "term"), "bm25-queries")
+    hit = tf.join(side(known), "term")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     s = hit.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     return _ranked(s, k)

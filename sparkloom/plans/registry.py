@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from sparkloom.operators import briefing, cooccur, dedup, graph, lag, scoring, s
 from sparkloom.operators import narratives as N
 from sparkloom.plans.bindings import ARTICLES, EVENTS, MENTIONS, SECTORS, articles, event_mentions, mentions, read, sectors
 from sparkloom.sources import ingest
-from sparkloom.sources.scratch import stored
+from sparkloom.sources.scratch import folder, side, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -118,13 +119,24 @@ KEYWORD_VALUES = ", ".join(f"('{s}', {r}, '{k}', '{t}')" for s, r, k, t in KEYWO
 @query(f"""WITH kw(sector, rank, keyword, kind) AS (VALUES {KEYWORD_VALUES}), ent AS (SELECT DISTINCT p_type AS entity FROM part),
   sc AS (SELECT entity, sector, rank, sum(CASE WHEN kind = 'org' THEN 1.5 ELSE 1.0 END) AS s FROM ent JOIN kw ON contains(lower(entity), keyword) GROUP BY ALL),
   b AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY s DESC, rank) AS r FROM sc)
-  SELECT ent.entity, coalesce(sector, 'global_events') AS sector, CAST(coalesce(round(least(s / 5.0, 1.0), 3), 0.1) AS DOUBLE) AS confidence FROM ent LEFT JOIN b ON b.entity = ent.entity AND r = 1""")
+  SELECT ent.entity, coalesce(sector, 'global_events') AS sector, CAST(CASE WHEN s IS NULL THEN 0.1 ELSE round(least(s / 5.0, 1.0), 3) END AS DOUBLE) AS confidence FROM ent LEFT JOIN b ON b.entity = ent.entity AND r = 1""")
 def sector_classes(spark, d):
     keywords = spark.createDataFrame(KEYWORDS, "sector string, rank int, keyword string, kind string")
     names = read(spark, d, "part").select(F.col("p_type").alias("entity")).distinct().withColumn("etype", F.lit("orgs"))
     return cooccur.classify_sectors(names, keywords)
 
 
+@query(f"""WITH kw(sector, rank, keyword, kind) AS (VALUES {KEYWORD_VALUES}), ent AS (SELECT DISTINCT p_brand AS entity FROM part), ctx AS (SELECT DISTINCT p_brand AS entity, lower(p_type) AS t FROM part WHERE p_size <= 10),
+  sc AS (SELECT entity, sector, rank, 0.3 * count(DISTINCT keyword) AS s FROM ctx JOIN kw ON kind = 'keyword' AND contains(t, keyword) GROUP BY ALL),
+  b AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY s DESC, rank) AS r FROM sc)
+  SELECT ent.entity, coalesce(sector, 'global_events') AS sector, CAST(CASE WHEN s IS NULL THEN 0.1 ELSE round(least(s / 5.0, 1.0), 3) END AS DOUBLE) AS confidence FROM ent LEFT JOIN b ON b.entity = ent.entity AND r = 1""")
+def sector_contexts(spark, d):
+    keywords = spark.createDataFrame(KEYWORDS, "sector string, rank int, keyword string, kind string")
+    parts = read(spark, d, "part")
+    names = parts.select(F.col("p_brand").alias("entity")).distinct().withColumn("etype", F.lit("orgs"))
+    return cooccur.classify_sectors(names, keywords, parts.where("p_size <= 10").select(F.col("p_brand").alias("entity"), F.col("p_type").alias("text")))
+
+
 @query(f"WITH {LINKS} SELECT * FROM links")
 def links_npmi(spark, d):
     return cooccur.sector_links(mentions(spark, d), sectors(spark, d))
@@ -521,9 +533,9 @@ def name_mentions(spark, d):
 GAZETTEER = [("the", "orgs"), ("ation", "orgs"), ("keit", "locations"), ("ción", "locations"), ("eau", "orgs")]
 
 
-@query(f"""WITH gz(name, etype) AS (VALUES {', '.join(str(g) for g in GAZETTEER)}), h AS (SELECT DISTINCT doc_id, etype, name FROM documents JOIN gz ON contains(lower(substring(text, 1, 2000)), name)), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, etype ORDER BY name) AS r FROM h) SELECT doc_id, etype, name FROM r WHERE r <= 2""")
+@query(f"""WITH gz(name, etype) AS (VALUES {', '.join(str(g) for g in GAZETTEER)}), h AS (SELECT DISTINCT doc_id, etype, name FROM documents JOIN gz ON contains(lower(text), name)) SELECT doc_id, etype, name FROM h""")
 def gazetteer(spark, d):
-    return T.gazetteer(read(spark, d, "documents"), spark.createDataFrame(GAZETTEER, "name string, etype string"), limit=2)
+    return T.gazetteer(read(spark, d, "documents"), spark.createDataFrame(GAZETTEER, "name string, etype string"))
 
 
 @query(f"""WITH {ARTICLES} SELECT lang, source, count(*) AS n FROM articles WHERE length(title || '. ' || text) > 20 GROUP BY lang, source""")
@@ -537,7 +549,7 @@ LANGS = [("en", "English"), ("fr", "French"), ("de", "German"), ("hi", "Hindi")]
 @query(f"""WITH ln(lang, name) AS (VALUES {', '.join(str(x) for x in LANGS)}) SELECT lang, coalesce(name, lang) AS name, count(*) AS n, count(*) FILTER (lang <> 'en') AS non_english FROM documents LEFT JOIN ln USING (lang) GROUP BY 1, 2""")
 def language_names(spark, d):
     names = spark.createDataFrame(LANGS, "lang string, name string")
-    j = read(spark, d, "documents").select("lang").join(F.broadcast(names), "lang", "left")  # a table of codes
+    j = read(spark, d, "documents").select("lang").join(side(names), "lang", "left")
     return j.groupBy("lang", F.coalesce("name", "lang").alias("name")).agg(F.count("*").alias("n"), F.count_if(F.col("lang") != "en").alias("non_english"))
 
 
@@ -832,12 +844,18 @@ def explorer_stats(spark, d):
     return briefing.entity_stats(calibrated(spark, d))
 
 
-@query(None)
+def top(name: str, columns: str, order: str, n: int) -> str:
+    """The first n rows of another query's twin."""
+    return f"(SELECT {columns} FROM ({ORACLES[name]}) q ORDER BY {order} LIMIT {n})"
+
+
+@query(f"""WITH {LINKS}, w AS (SELECT source_entity, target_entity, confidence - 0.2 AS confidence FROM lk WHERE confidence - 0.2 < 0.5 AND cooccurrence_count >= 3 ORDER BY 3, 1, 2 LIMIT 5),
+  e AS (SELECT 'weak_link' AS kind, source_entity || ' - ' || target_entity AS item, 2 AS priority, confidence AS value FROM w UNION ALL {top('velocity_anomaly', "'anomaly', entity, 1, z_score", "abs(z_score) DESC, entity", 5)} UNION ALL {top('phase_transitions', "'transition', entity, 3, confidence", "confidence DESC, entity", 5)}) SELECT * FROM e ORDER BY priority, item LIMIT 20""")
 def watch_items(spark, d):
     return briefing.watch_items(calibrated(spark, d).withColumn("confidence", F.col("confidence") - 0.2), velocity_anomaly(spark, d), phase_transitions(spark, d))
 
 
-@query(None)
+@query(f"""WITH e AS (SELECT 'impact' AS kind, source_entity || ' - ' || target_entity AS item, predicted_effect AS prediction, likelihood FROM ({ORACLES['links_impact']}) q WHERE likelihood > 0.5 UNION ALL {top('phase_transitions', "'transition', entity, predicted_phase, confidence", "confidence DESC, entity", 5)}) SELECT * FROM e ORDER BY likelihood DESC, kind, item LIMIT 20""")
 def predictions(spark, d):
     patterns = spark.createDataFrame(REGIONS, "p1 string, p2 string, likelihood double, timeframe string, effect string")
     return briefing.predictions(scoring.predict_impact(calibrated(spark, d), patterns), phase_transitions(spark, d))
@@ -849,7 +867,7 @@ def feed(spark, d):
     return briefing.discovery_feed(calibrated(spark, d), spikes, emerging(spark, d))
 
 
-@query(None)
+@query(f"SELECT * FROM (SELECT 'entity' AS kind, CAST(entity AS VARCHAR) AS topic, acceleration, phase FROM ({ORACLES['entity_narratives']}) q UNION ALL SELECT 'cluster', CAST(cluster AS VARCHAR), acceleration, phase FROM ({ORACLES['cluster_narratives']}) q) ORDER BY abs(acceleration) DESC, kind, topic LIMIT 25")
 def timeline(spark, d):
     return briefing.timeline(entity_narratives(spark, d), cluster_narratives(spark, d))
 
@@ -863,7 +881,7 @@ def source_reliability(spark, d):
 # ---- languages, places, profiles, single lookups
 
 @query(r"""WITH w AS (SELECT lang, doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[ \t\n\x0b\f\r]+'))) AS word FROM documents WHERE lang IS NOT NULL), c AS (SELECT lang, word, count(*) AS n FROM w WHERE word <> '' GROUP BY ALL),
-  p AS (SELECT lang, word FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM c) WHERE r <= 200), f AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(substring(text, 1, 500)), '[ \t\n\x0b\f\r]+'))) AS word FROM documents),
+  p AS (SELECT lang, word FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM c) WHERE r <= 200), f AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[ \t\n\x0b\f\r]+'))) AS word FROM documents),
   h AS (SELECT doc_id, p.lang, count(*) AS n FROM f JOIN p USING (word) WHERE word <> '' GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lang) AS r FROM h) SELECT doc_id, coalesce(b.lang, 'unknown') AS detected, coalesce(n, 0) AS hits FROM documents LEFT JOIN (FROM b WHERE r = 1) b USING (doc_id)""")
 def lang_id(spark, d):
     docs = read(spark, d, "documents")
@@ -908,10 +926,6 @@ def subjectivity(spark, d):
 
 def _drained(df: DataFrame, name: str) -> DataFrame:
     """What an append stream writes until its input is used up, read back from its file sink."""
-    import uuid
-
-    from sparkloom.sources.scratch import folder
-
     spark = df.sparkSession
     base = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     q = df.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
@@ -961,3 +975,84 @@ def narrative_sentences(spark, d):
 @query(f"WITH {E_SPIKES} SELECT entity, printf('anomaly: %s (%d mentions, burst %.1fx)', entity, n, round(b, 1)) AS sentence FROM es WHERE b > 1.2")
 def signal_sentences(spark, d):
     return signals.entity_spikes(event_mentions(spark, d), min_burst=1.2).select("entity", scoring.signal_sentence().alias("sentence"))
+
+
+# ---- entity lists, times, tables on disk, stateful streams
+
+ENTITY_JSON = """CASE WHEN p_size % 9 = 0 THEN '{broken' ELSE '{"persons": ["' || p_name || '", "  "], "orgs": [" ' || p_brand || ' ", "' || p_type || '"]}' END"""
+
+
+def listed(spark: SparkSession, d: str) -> DataFrame:
+    """part as articles that carry their entities as JSON."""
+    parts = read(spark, d, "part").select("p_partkey", F.expr(ENTITY_JSON).alias("json"))
+    start = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    return parts.select(F.col("p_partkey").alias("doc_id"), F.lit("parts").alias("source"), start.alias("ts"), T.entity_arrays(F.col("json")).alias("entities"))
+
+
+@query("SELECT p_partkey AS doc_id, CASE WHEN p_size % 9 = 0 THEN 0 ELSE 1 END AS n_persons, CASE WHEN p_size % 9 = 0 THEN 0 ELSE 2 END AS n_orgs, 0 AS n_locations, CASE WHEN p_size % 9 <> 0 THEN trim(p_brand) || '|' || trim(p_type) ELSE '' END AS orgs FROM part")
+def entity_json(spark, d):
+    e = listed(spark, d)
+    return e.select("doc_id", *(F.size(f"entities.{k}").alias(f"n_{k}") for k in ("persons", "orgs", "locations")), F.array_join("entities.orgs", "|").alias("orgs"))
+
+
+@query("SELECT p_partkey AS doc_id, lower(trim(unnest([p_name, p_brand, p_type]))) AS entity, unnest(['persons', 'orgs', 'orgs']) AS etype, CAST(unnest([0, 1, 2]) AS BIGINT) AS ord FROM part WHERE p_size % 9 <> 0")
+def mention_rows(spark, d):
+    return T.mentions_of(listed(spark, d)).select("doc_id", "entity", "etype", "ord")
+
+
+TIME_TEXT = "CASE WHEN event_id % 3 = 0 THEN 'soon' WHEN event_id % 3 = 1 THEN CAST(CAST(ts AS DATE) AS STRING) ELSE NULL END"
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 1 THEN CAST(CAST(ts AS DATE) AS TIMESTAMP) END AS parsed FROM events")
+def parsed_times(spark, d):
+    return read(spark, d, "events").select("event_id", T.parse_time(F.expr(TIME_TEXT)).cast("timestamp_ntz").alias("parsed"))
+
+
+@query("SELECT CASE WHEN count(*) FILTER (event_id % 7 = 0) > 0.3 * count(*) THEN 'published' WHEN count(*) FILTER (event_id % 3 = 1) > 0.3 * count(*) THEN 'scraped_at' END AS picked, count(*) AS n FROM events")
+def time_column(spark, d):
+    rare = F.expr("CASE WHEN event_id % 7 = 0 THEN CAST(ts AS STRING) ELSE 'unknown' END")
+    e = read(spark, d, "events").select(rare.alias("published"), F.expr(TIME_TEXT).alias("scraped_at"), F.lit("x").alias("analyzed_at"))
+    return e.agg(F.lit(T.pick_time_column(e)).alias("picked"), F.count("*").alias("n"))
+
+
+@query(f"WITH {ARTICLES} SELECT source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, min(title) AS first_title FROM articles GROUP BY source")
+def raw_csv(spark, d):
+    path = f"{folder(spark)}/raw-{uuid.uuid4().hex}"
+    a = articles(spark, d)
+    raw = a.select("source", "title", F.col("text").alias("full_text"))
+    columns = [c.split()[0] for c in ingest.RAW_SCHEMA.split(", ")]
+    ingest.save_raw(raw.select(*(F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in columns)), path)
+    back = ingest.load_raw(spark, path)
+    return back.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("full_text")).alias("chars"), F.min("title").alias("first_title"))
+
+
+@query(f"WITH {ARTICLES} SELECT CAST(ts AS DATE) AS day, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM articles GROUP BY 1")
+def analysed_parquet(spark, d):
+    path = f"{folder(spark)}/analysed-{uuid.uuid4().hex}"
+    ingest.save_analyzed(articles(spark, d), path)
+    return ingest.load_analyzed(spark, path).groupBy("day").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query(None)
+def stream_phases(spark, d):
+    """Phases of entities as the daily counts of the event files come in."""
+    from sparkloom.streaming import streams
+
+    path = f"{folder(spark)}/daily-{uuid.uuid4().hex}"
+    events_daily(spark, d).select(F.col("entity").cast("string").alias("entity"), F.col("day").cast("date").alias("day"), F.col("n").cast("long").alias("n")).write.parquet(path)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    daily = spark.readStream.schema("entity string, day date, n long").parquet(path)
+    return _drained(streams.phase_changes(daily), "phases")
+
+
+@query(f"SELECT type, title, severity FROM ({ORACLES['alerts_bursts']}) q ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, type, title LIMIT 5")
+def stream_alerts(spark, d):
+    """The first alerts of a batch, as the fan-out writes them."""
+    from sparkloom.streaming import streams
+
+    base = f"{folder(spark)}/alerts-{uuid.uuid4().hex}"
+    alerts = alerts_bursts(spark, d).select("type", "title", "severity")
+    alerts.coalesce(1).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(alerts.schema).parquet(f"{base}/in")
+    streams.fan_out(stream, f"{base}/out", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("type string, title string, severity string, batch_id long").parquet(f"{base}/out").drop("batch_id")

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a side table that may be sent to every executor; larger ones are shuffled.
+SMALL_ROWS = 100_000
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
+    """The folder in spark.checkpoint.dir; a temporary one only in local mode, where all runs in one
+    process.  A cluster without the setting is an error: its machines share no temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-loom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -24,3 +30,8 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = f"{folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """df, a join's side, with the hint that its counted size allows: broadcast, or shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("shuffle_merge")

@@ -205,3 +205,43 @@ def test_names_in_reads_whole_texts(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert docs.select(T.names_in(F.col("text"), ["The"])).first()[0] == [*names, "Jane Goodall"]
     assert docs.select(T.names_in(F.col("text"), ["The"], limit=2, chars=2000)).first()[0] == names[:2]
+
+
+def test_impact_takes_the_forward_pattern_of_a_pair_once(spark):
+    links = spark.createDataFrame([("x", "y", "A", "B", 0.5), ("y", "z", "B", "A", 0.5), ("x", "z", "A", "C", 0.5)], "source_entity string, target_entity string, source_sector string, target_sector string, confidence double")
+    patterns = [("A", "B", 0.4, "short", "ahead"), ("B", "A", 0.8, "long", "back"), ("A", "B", 0.4, "short", "ahead"), ("C", "A", 0.2, "long", "only back")]
+    out = scoring.predict_impact(links, spark.createDataFrame(patterns, "p1 string, p2 string, likelihood double, timeframe string, effect string")).collect()
+    assert sorted((r.source_entity, r.target_entity, r.impact.predicted_effect) for r in out) == [("x", "y", "ahead"), ("x", "z", "only back"), ("y", "z", "back")]
+
+
+def test_large_dictionaries_give_the_same_hits(spark):
+    words = ["an", "ana", "banana", "é😀", "x y", "q"]
+    rows = spark.createDataFrame([(1, "banana é😀"), (2, "x y"), (3, ""), (4, None), (5, "an")], "id long, t string")
+    entries = spark.createDataFrame([(w,) for w in words], "w string")
+    hits = [sorted((r.id, r.w) for r in T.containing(rows, "t", entries, "w", most).collect()) for most in (100, 2)]
+    assert hits[0] == hits[1] == sorted((r, w) for r, t in ((1, "banana é😀"), (2, "x y"), (5, "an")) for w in words if w in t)
+
+
+def test_sums_of_lags_equal_the_lags(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sparkloom.operators import lag
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice("abcd"), "s", rng.randrange(90 * 24) * 3600 + rng.choice([0, 0, 1])) for i in range(300)]
+    m = spark.createDataFrame(rows, "doc_id long, entity string, source string, t long").withColumn("ts", F.timestamp_seconds("t"))
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("c", "d"), ("b", "none")], "e1 string, e2 string")
+    s = lag.lag_samples(m, pairs).groupBy("e1", "e2").agg(F.count_if("ahead").alias("n1"), F.count_if(~F.col("ahead")).alias("n2"), F.avg(F.when(F.col("ahead"), F.col("lag_hours"))).alias("l1"), F.avg(F.when(~F.col("ahead"), F.col("lag_hours"))).alias("l2"))
+    want = {(r.e1, r.e2): (r.n1, r.n2, round(r.l1, 6), round(r.l2, 6)) for r in s.collect()}
+    got = {(r.e1, r.e2): (r.n1, r.n2, round(r.l1, 6), round(r.l2, 6)) for r in lag.lag_sums(m, pairs).collect()}
+    assert got == want and len(want) == 3
+
+
+def test_contexts_add_to_sectors(spark):
+    keywords = spark.createDataFrame([("metals", 0, "steel", "keyword"), ("finish", 1, "polished", "keyword")], "sector string, rank int, keyword string, kind string")
+    names = spark.createDataFrame([("steel mill", "orgs"), ("mill", "orgs"), ("none", "orgs")], "entity string, etype string")
+    contexts = spark.createDataFrame([("mill", "a Polished floor"), ("mill", "polished again"), ("steel mill", "made of steel")], "entity string, text string")
+    out = {(r.entity, r.sector, r.confidence) for r in cooccur.classify_sectors(names, keywords, contexts).collect()}
+    assert out == {("steel mill", "metals", 0.26), ("mill", "finish", 0.06), ("none", "global_events", 0.1)}
