@@ -9,13 +9,17 @@ documents,
 
 where n counts the documents that hold the term, the entity, or both, anywhere in the text.
 It is 1 if the term names the entity as well as the entity itself does, and 0 if the two are
-independent.  Pairs seen in fewer than MIN_TEXTS different texts say nothing and are left.  In
-every document, whether it mentions the entity or not, terms at GENERALISE or more give way to
-a placeholder and those at REMOVE or more to nothing.
+independent.  What the term leaves open, IC - PMI = log2(n(term) / n(term, entity)) bits, is the
+surprise of whoever guesses the entity from the term.  A term discloses if its disclosure is
+GENERALISE or more and it leaves LEFT_BITS or fewer open (one bit: the guess is right every
+second time); the share alone would mean less and less as N grows.  Pairs seen in fewer than
+MIN_TEXTS different texts say nothing and are left.  In every document, whether it mentions the
+entity or not, such terms give way to a placeholder, and to nothing at REMOVE or more.
 
 All terms of a document meet all entities of it, after an exact bound: as n(term, entity) is at
-most n(entity), a term can reach the threshold t only if n(term) <= N * (n(entity) / N) ** t.
-That leaves rare terms to rare entities, and copies of a text are counted as one row.
+most n(entity), a term can reach the threshold t only if n(term) <= N * (n(entity) / N) ** t and
+n(term) <= n(entity) * 2 ** LEFT_BITS.  That leaves rare terms to rare entities, and copies of a
+text are counted as one row.
 
 Only DataFrame functions are used.  The patterns are written possessively, so that no text
 makes them backtrack or recurse.
@@ -50,6 +54,7 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){1
 
 MIN_TEXTS = 3
 GENERALISE = 0.8
+LEFT_BITS = 1.0
 REMOVE = 0.95
 TERM = r"(?<![^\s])[\p{P}\p{S}]*+\p{L}{3,}+[\p{P}\p{S}]*+(?![^\s])"
 #: The letters of a term, also where punctuation ties it to others.
@@ -120,8 +125,8 @@ def of_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return docs.join(keys.hint("broadcast" if few else "shuffle_merge"), "key", "left_semi")
 
 
-def disclosing_pairs(docs: DataFrame, held: DataFrame, min_texts: int = MIN_TEXTS, threshold: float = GENERALISE) -> DataFrame:
-    """(entity, term, disclosure) of every pair with enough support that reaches the threshold.
+def disclosing_pairs(docs: DataFrame, held: DataFrame, min_texts: int = MIN_TEXTS, threshold: float = GENERALISE, left_bits: float = LEFT_BITS) -> DataFrame:
+    """(entity, term, disclosure) of every pair with enough support that reaches the thresholds.
 
     docs(key, text), where equal texts have equal keys; held = entities_of(docs), stored.
     """
@@ -129,7 +134,7 @@ def disclosing_pairs(docs: DataFrame, held: DataFrame, min_texts: int = MIN_TEXT
     counted = held.groupBy("entity").agg(F.sum("n_docs").alias("n_entity"), F.count("*").alias("texts"))
     counted = stored(counted.where((F.col("texts") >= min_texts) & (F.col("n_entity") < total)).drop("texts"), "pii-entities")
     # The most documents that may hold a term, with room for rounding.
-    most = F.lit(total * (1 + 1e-9)) * F.pow(F.col("n_entity") / total, F.lit(threshold))
+    most = F.lit(1 + 1e-9) * F.least(total * F.pow(F.col("n_entity") / total, F.lit(threshold)), F.col("n_entity") * 2.0**left_bits)
     widest = counted.agg(F.max(most)).first()[0] or 0.0
     protected = stored(held.join(counted.hint("shuffle_merge"), "entity").withColumn("most", most), "pii-protected")
     words = docs.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
@@ -140,14 +145,15 @@ def disclosing_pairs(docs: DataFrame, held: DataFrame, min_texts: int = MIN_TEXT
     both = protected.join(near.hint("shuffle_merge"), "key").where(F.col("n_term") <= F.col("most"))
     pairs = both.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("n_docs").alias("n_pair"), F.count("*").alias("texts"))
     pmi = F.log2(F.lit(total) * F.col("n_pair") / F.col("n_term") / F.col("n_entity"))
-    scored = pairs.where(F.col("texts") >= min_texts).select("entity", "term", (pmi / F.log2(F.lit(total) / F.col("n_entity"))).alias("disclosure"))
-    return scored.withColumn("disclosure", F.least("disclosure", F.lit(1.0))).where(F.col("disclosure") >= threshold)
+    scored = pairs.where(F.col("texts") >= min_texts).select("entity", "term", "n_term", "n_pair", (pmi / F.log2(F.lit(total) / F.col("n_entity"))).alias("disclosure"))
+    scored = scored.where(F.log2(F.col("n_term") / F.col("n_pair")) <= left_bits + 1e-9)
+    return scored.select("entity", "term", "disclosure").withColumn("disclosure", F.least("disclosure", F.lit(1.0))).where(F.col("disclosure") >= threshold)
 
 
-def disclosing_terms(docs: DataFrame, min_texts: int = MIN_TEXTS, threshold: float = GENERALISE) -> DataFrame:
-    """(term, disclosure): the most that a term reveals of any entity, where that reaches the threshold."""
+def disclosing_terms(docs: DataFrame, min_texts: int = MIN_TEXTS, threshold: float = GENERALISE, left_bits: float = LEFT_BITS) -> DataFrame:
+    """(term, disclosure): the most that a term reveals of any entity, where that reaches the thresholds."""
     held = stored(entities_of(docs), "pii-held")
-    pairs = disclosing_pairs(docs, held, min_texts, threshold)
+    pairs = disclosing_pairs(docs, held, min_texts, threshold, left_bits)
     return stored(pairs.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "pii-strong")
 
 
@@ -167,13 +173,13 @@ def term_spans(docs: DataFrame, strong: DataFrame) -> DataFrame:
     return stored(hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms")), "pii-terms")
 
 
-def with_spans(docs: DataFrame, text_col: str = "text", min_texts: int = MIN_TEXTS, threshold: float = GENERALISE, out: str = "__pii") -> DataFrame:
+def with_spans(docs: DataFrame, text_col: str = "text", min_texts: int = MIN_TEXTS, threshold: float = GENERALISE, left_bits: float = LEFT_BITS, out: str = "__pii") -> DataFrame:
     """docs with one more column, a struct of span arrays: email, ip, card, phone, term."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     columns = dict(zip(docs.columns, names))
     rows = docs.toDF(*names).withColumn("key", F.md5(F.col(columns[text_col])))
     texts = rows.where(F.col(columns[text_col]).isNotNull()).select("key", F.col(columns[text_col]).alias("text"))
-    found = term_spans(texts, disclosing_terms(texts, min_texts, threshold))
+    found = term_spans(texts, disclosing_terms(texts, min_texts, threshold, left_bits))
     n = found.agg(F.sum(F.size("terms"))).first()[0] or 0
     rows = rows.join(found.hint("broadcast" if n <= BROADCAST_ROWS // 4 else "shuffle_merge"), "key", "left")
     spans = base_spans(columns[text_col])
