@@ -157,18 +157,27 @@ def disclosing_terms(docs: DataFrame, min_texts: int = MIN_TEXTS, threshold: flo
     return stored(pairs.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "pii-strong")
 
 
+def one_bit(term: Column) -> Column:
+    """A long with one bit set, chosen by the term's hash."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(term), F.lit(64)).cast("int"))
+
+
 def term_spans(docs: DataFrame, strong: DataFrame) -> DataFrame:
     """docs(key, text) -> key, terms: array<struct<start,end,disclosure>> where strong terms stand."""
     strong = strong.hint("broadcast" if strong.count() <= BROADCAST_ROWS // 4 else "shuffle_merge")
     holds = docs.select("key", F.explode(terms_of(F.col("text"))).alias("term")).join(strong, "term", "left_semi")
-    texts = of_keys(docs, stored(holds.select("key").distinct(), "pii-holding")).dropDuplicates(["key"])
+    masks = stored(holds.groupBy("key").agg(F.bit_or(one_bit(F.col("term"))).alias("mask")), "pii-holding")
+    few = masks.count() <= BROADCAST_ROWS // 4
+    texts = docs.join(masks.hint("broadcast" if few else "shuffle_merge"), "key").dropDuplicates(["key"])
     base = F.concat(*(F.transform(v, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("").alias("term"))) for v in base_spans("text").values()))
     found = F.transform(F.expr(spans_of("text", TERM_LETTERS)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("term")))
-    texts = stored(texts.select("key", F.array_sort(F.concat(base, found)).alias("all")), "pii-base")
+    texts = stored(texts.select("key", "mask", F.array_sort(F.concat(base, found)).alias("all")), "pii-base")
     # A term that begins inside a base span goes with it.
     covered = F.expr(running("transform(all, x -> IF(x.term = '', x.end, 0))", "greatest(x, y)"))
     free = F.arrays_zip(F.col("all").alias("word"), covered.alias("to"))
-    words = texts.select("key", F.explode(F.filter(free, lambda x: (x["word"]["term"] != "") & (x["to"] <= x["word"]["start"]))).alias("s")).select("key", "s.word.*")
+    # The mask turns away nearly all words that the join would turn away, before they become rows.
+    may = lambda x: (x["word"]["term"] != "") & (x["to"] <= x["word"]["start"]) & (F.col("mask").bitwiseAND(one_bit(x["word"]["term"])) != 0)
+    words = texts.select("key", F.explode(F.filter(free, may)).alias("s")).select("key", "s.word.*")
     hits = stored(words, "pii-places").join(strong, "term")
     return stored(hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms")), "pii-terms")
 
