@@ -59,6 +59,22 @@ def test_group_of_edited_copies(spark):
     assert found(op4_minmax(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
+def test_bucket_of_many_components(spark):
+    """Pairs linked with each other only, all in the buckets of one shared passage."""
+    rng = random.Random(8)
+    shared = [f"s{rng.randrange(5000)}" for _ in range(150)]
+    rows = []
+    for i in range(260):
+        tail = [f"t{i // 2}y{k}" for k in range(50)]
+        if i % 2:
+            for k in rng.sample(range(50), 6):
+                tail[k] = f"u{i}y{k}"
+        rows.append((5000 - i, " ".join(shared + tail)))
+    expected = brute(rows)
+    assert len({c for _, c, _ in expected.values()}) == 130
+    assert found(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2)) == expected
+
+
 def test_edge_cases(spark):
     rows = [(1, None, 5), (2, "", 5), (3, " \n", 5), (4, "One", 5), (5, "one", 5), (6, "a b", 5), (7, "A\tb", 5), (8, "b a", 5), (9, "z " * 60000, 5), (6, "a b", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, component long")
