@@ -7,9 +7,9 @@ candidate pairs; candidates are confirmed on the full shingle sets.
 The plan never lists all pairs of a bucket:
 1. documents with equal shingle sets form one class (aggregated before anything is shuffled);
 2. every member of a bucket is compared with one leader, the member that shares most buckets;
-3. of the buckets that still hold two components, pairs are compared only where a bound allows
-   a link: what each member lost of the leader's shingles, and has beside them, is kept as a set
-   of bins, and two members share at most what most_shared() works out from those bins.
+3. where members of one leader are still in two components, pairs are compared only if they
+   share one of the rarest shingles in which they differ from the leader, and where in both
+   lists it stands allows a link (rarest_first(), possible_pairs()); this loses no link.
 Links lost by banding alone: (1 - s^rows)^bands for similarity s, 5 in a million at s = 0.8.
 
 Defined results: null texts and texts without a word have an empty set and stay alone; equal
@@ -19,11 +19,11 @@ id takes the component of its class; extra columns are ignored; an empty table g
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import only_ids, stored
@@ -126,55 +126,61 @@ def shingle_table(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, shingles array<long>")
 
 
-WORDS_OF_BITS = 4
-
-
-def bits(values: Column) -> Column:
-    """A 256-bit set of hashes modulo 256, as a struct of four longs."""
-
-    def step(acc: Column, h: Column) -> Column:
-        one = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
-        word = F.call_function("shiftrightunsigned", h, F.lit(6)).bitwiseAND(WORDS_OF_BITS - 1)
-        return F.struct(*(F.when(word == i, acc[f"w{i}"].bitwiseOR(one)).otherwise(acc[f"w{i}"]).alias(f"w{i}") for i in range(WORDS_OF_BITS)))
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs(a, b) with linked, by the full sets.
 
-    return F.aggregate(values, F.struct(*(F.lit(0).cast("long").alias(f"w{i}") for i in range(WORDS_OF_BITS))), step)
+    pairs and sets are stored tables, so that Spark can split the joins of a hot id.
+    """
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return with_sets(pairs, sets).select("a", "b", (100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).alias("linked"))
 
 
-def count_bits(x: str, y: str, op: Callable[[Column, Column], Column]) -> Column:
-    return sum((F.bit_count(op(F.col(f"{x}.w{i}"), F.col(f"{y}.w{i}"))) for i in range(1, WORDS_OF_BITS)), F.bit_count(op(F.col(f"{x}.w0"), F.col(f"{y}.w0"))))
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs with the full sets of a and b, as sa and sb."""
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    return pairs.join(left.hint("shuffle_merge"), "a").join(right.hint("shuffle_merge"), "b")
 
 
-def most_shared(x: str, y: str) -> Column:
-    """No pair of members x, y of a leader's bucket shares more shingles than this.
+def rarest_first(group: DataFrame, sets: DataFrame) -> DataFrame:
+    """group(a, b, n, component) -> one row for each shingle e in which member a and leader b
+    differ and another member of b differs too, with n, component, d and rank.
 
-    They share at most what neither has lost of the leader's, and of what each has beside the
-    leader's at most those in bins that the other fills too.
+    d counts all shingles in which a and b differ; rank is e's place among them, those first that
+    the fewest members of b have.  Shingles of one member alone are counted, not listed: they
+    come before all others.
     """
-    kept = F.col(f"{x}.nb") - count_bits(f"{x}.lost", f"{y}.lost", lambda p, q: p.bitwiseOR(q))
-    own = F.col(f"{x}.n_extra") - count_bits(f"{x}.extra", f"{y}.extra", lambda p, q: p.bitwiseAND(F.bitwise_not(q)))
-    other = F.col(f"{y}.n_extra") - count_bits(f"{y}.extra", f"{x}.extra", lambda p, q: p.bitwiseAND(F.bitwise_not(q)))
-    return kept + F.least(own, other)
-
-
-def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs(a, b) with linked, by the full sets; and how a differs from b where that tells much.
-
-    pairs and sets are stored tables, so that Spark can split the joins of a hot id.
+    differ = F.array_union(F.array_except("sa", "sb"), F.array_except("sb", "sa"))
+    each = with_sets(group, sets).withColumn("differ", differ).select("a", "b", "n", "component", F.size("differ").alias("d"), F.explode("differ").alias("e"))
+    each = stored(each, "dup-differ")
+    often = stored(each.groupBy("b", "e").agg(F.count("*").alias("often")).where("often > 1"), "dup-often")
+    common = stored(each.join(often.hint("shuffle_merge"), ["b", "e"]), "dup-common")
+    one = Window.partitionBy("b", "a")
+    rank = F.col("d") - F.count("*").over(one) + F.row_number().over(one.orderBy("often", "e"))
+    return common.select("a", "b", "n", "component", "d", "e", rank.alias("rank"))
+
+
+def possible_pairs(ranked: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one leader that may be linked, from rarest_first().
+
+    Two members differ where exactly one of them differs from the leader, so linked members
+    share at least (d + d' - h) / 2 of their differences, h being what linked texts of their
+    sizes may differ in.  If one of the two isn't linked with the leader, that is above 0:
+    they meet in the first of the differences they share, which is early in the shorter list.
     """
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left.hint("shuffle_merge"), "a").join(right.hint("shuffle_merge"), "b")
-    both = both.withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-    total = F.size("sa") + F.size("sb") - F.col("shared")
-    alike = 200 * F.col("shared") >= percent * total
-    return both.select(
-        "a",
-        "b",
-        (100 * F.col("shared") >= percent * total).alias("linked"),
-        F.when(alike, bits(F.array_except("sb", "sa"))).alias("lost"),
-        F.when(alike, bits(F.array_except("sa", "sb"))).alias("extra"),
-        (F.size("sa") - F.col("shared")).alias("n_extra"),
+    early = ranked.where(2 * percent * (F.col("rank") - 1) <= (100 - percent) * F.col("n"))
+    x, y = early.alias("x"), ranked.alias("y")
+    most = 1 + F.least(F.col("x.d") - F.col("x.rank"), F.col("y.d") - F.col("y.rank"))
+    pair = x.join(
+        y.hint("shuffle_merge"),
+        (F.col("x.b") == F.col("y.b"))
+        & (F.col("x.e") == F.col("y.e"))
+        & (F.col("x.component") != F.col("y.component"))
+        & ((F.col("x.d") < F.col("y.d")) | ((F.col("x.d") == F.col("y.d")) & (F.col("x.a") < F.col("y.a"))))
+        & fair("x.n", "y.n", percent)
+        & ((100 + percent) * (F.col("x.d") + F.col("y.d") - 2 * most) <= (100 - percent) * (F.col("x.n") + F.col("y.n"))),
     )
+    return pair.select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b")).distinct()
 
 
 def near_duplicate_links(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -188,35 +194,23 @@ def near_duplicate_links(classes: DataFrame, docs: DataFrame, words: int, percen
     weighed = stored(held.join(weight.hint("shuffle_merge"), "id"), "dup-weighed")
     leader = weighed.groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), "id", "n")).alias("top"))
     leader = stored(leader.select("key", F.col("top.id").alias("b"), F.col("top.n").alias("nb")), "dup-leaders")
-    led = weighed.join(leader.hint("shuffle_merge"), "key").where("id <> b").where(fair("n", "nb", percent))
-    first = stored(led.select(F.col("id").alias("a"), "b").distinct(), "dup-pairs")
+    led = weighed.join(leader.hint("shuffle_merge"), "key").where("id <> b")
+    group = stored(led.select(F.col("id").alias("a"), "b", "n", "nb").distinct(), "dup-groups")
+    first = group.where(fair("n", "nb", percent)).select("a", "b")
     tried = stored(compared(first, sets, percent), "dup-compared")
     links = tried.where("linked").select("a", "b")
 
-    # The rest: buckets that still hold more than one component.
+    # The rest: leaders whose members are still in more than one component.
     parts = stored(connected_components(links), "dup-parts")
-    placed = held.join(parts.withColumnRenamed("node", "id").hint("shuffle_merge"), "id", "left")
-    placed = stored(placed.withColumn("component", F.coalesce("component", "id")), "dup-placed")
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    split = stored(split.select("key"), "dup-split")
-    open_ = stored(placed.join(split.hint("shuffle_merge"), "key").join(leader.hint("shuffle_merge"), "key"), "dup-open")
-    differ = tried.select(F.col("a").alias("id"), "b", "lost", "extra", "n_extra")
-    rest = stored(open_.join(differ.hint("shuffle_merge"), ["id", "b"], "left"), "dup-rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    shared = F.coalesce(most_shared("x", "y"), F.least("x.n", "y.n"))
-    pair = x.join(
-        y.hint("shuffle_merge"),
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.id") < F.col("y.id"))
-        & (F.col("x.component") != F.col("y.component"))
-        & (F.col("x.id") != F.col("x.b"))
-        & (F.col("y.id") != F.col("y.b"))
-        & fair("x.n", "y.n", percent)
-        & ((100 + percent) * shared >= percent * (F.col("x.n") + F.col("y.n"))),
-    )
+    for end, part in (("a", "component"), ("b", "top")):
+        of_end = parts.select(F.col("node").alias(end), F.col("component").alias(part))
+        group = group.join(of_end.hint("shuffle_merge"), end, "left").withColumn(part, F.coalesce(part, end))
+    placed = stored(group.select("a", "b", "n", "component", "top"), "dup-placed")
+    split = stored(placed.where("component <> top").select("b").distinct(), "dup-split")
+    open_ = stored(placed.join(split.hint("shuffle_merge"), "b").select("a", "b", "n", "component"), "dup-open")
+    ranked = stored(rarest_first(open_, sets), "dup-ranked")
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = pair.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    second = stored(second.join(done.hint("shuffle_merge"), ["a", "b"], "left_anti"), "dup-pairs")
+    second = stored(possible_pairs(ranked, percent).join(done.hint("shuffle_merge"), ["a", "b"], "left_anti"), "dup-pairs")
     more = compared(second, sets, percent).where("linked").select("a", "b")
     return stored(links.unionByName(more).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "dup-links")
 

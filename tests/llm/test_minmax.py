@@ -3,7 +3,7 @@ import re
 
 from sparkloom.llm.common import read
 from sparkloom.llm.components import connected_components
-from sparkloom.llm.minmax import near_duplicates, op4_minmax, without_near_duplicates
+from sparkloom.llm.minmax import near_duplicates, op4_minmax, possible_pairs, rarest_first, without_near_duplicates
 
 SF01 = "/root/testdata/sf0.01"
 
@@ -75,6 +75,43 @@ def test_bucket_of_many_components(spark):
     assert found(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2)) == expected
 
 
+def test_possible_pairs_lose_no_link(spark):
+    """Members of one leader, of many sizes and distances: every link that is not with the leader is proposed."""
+    rng = random.Random(13)
+    for percent in (80, 60):
+        top = set(range(100))
+        sets = [top]
+        for i in range(150):
+            near = rng.choice(sets)
+            s = {x for x in near if rng.random() > rng.choice((0.0, 0.05, 0.2))}
+            s |= {rng.choice((1000 + rng.randrange(60), 10000 * (i + 1) + k)) for k in range(rng.randrange(40))}
+            if s - top or top - s:
+                sets.append(s)
+
+        def alike(x, y):
+            return 100 * len(x & y) >= percent * len(x | y)
+
+        ids = range(1, len(sets))
+        component = {i: 0 if alike(sets[i], top) else i for i in ids}
+        links = {(i, j) for i in ids for j in ids if i < j and component[i] != component[j] and sets[i] != sets[j] and alike(sets[i], sets[j])}
+        table = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id long, shingles array<long>")
+        group = spark.createDataFrame([(i, 0, len(sets[i]), component[i]) for i in ids], "a long, b long, n long, component long")
+        pairs = {(r.a, r.b) for r in possible_pairs(rarest_first(group, table), percent).collect()}
+        assert len(links) > 50 and links <= pairs
+        assert len(pairs) < len(sets) * len(sets) // 4
+
+
+def test_large_bucket_lists_few_pairs(spark):
+    """Texts that share most of their words and are linked in twos: pairs grow with the texts, not with their square."""
+    shared = set(range(160))
+    sets = {i: shared | {1000 * (i // 2 + 1) + k for k in range(36)} | {10**7 + i} for i in range(1, 2001)}
+    sets[0] = shared | set(range(200, 237))
+    table = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, shingles array<long>")
+    group = spark.createDataFrame([(i, 0, len(sets[i]), i) for i in sets if i], "a long, b long, n long, component long")
+    pairs = {(r.a, r.b) for r in possible_pairs(rarest_first(group, table), 80).collect()}
+    assert pairs == {(i, i + 1) for i in range(2, 2000, 2)}
+
+
 def test_edge_cases(spark):
     rows = [(1, None, 5), (2, "", 5), (3, " \n", 5), (4, "One", 5), (5, "one", 5), (6, "a b", 5), (7, "A\tb", 5), (8, "b a", 5), (9, "z " * 60000, 5), (6, "a b", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, component long")
