@@ -14,6 +14,7 @@ from sparkloom.llm.minmax import op4_minmax
 from sparkloom.llm.naive_bayes import op9_language
 from sparkloom.llm.packing import op10_packing
 from sparkloom.llm.secrets import op6_secrets
+from sparkloom.llm.spelling import op11_spelling
 from sparkloom.llm.templates import op5_templates
 from sparkloom.llm.urls import op3_urls
 from sparkloom.llm.viterbi import op7_viterbi
@@ -31,6 +32,7 @@ QUERIES: dict[str, Query] = {
     "op8_layout": lambda spark, d: op8_layout(read(spark, d, "pages")),
     "op9_language": lambda spark, d: op9_language(read(spark, d, "documents")),
     "op10_packing": lambda spark, d: op10_packing(read(spark, d, "documents")),
+    "op11_spelling": lambda spark, d: op11_spelling(read(spark, d, "documents")),
 }
 
 #: Operators whose whole result SQL can express: none; each is tested against brute force.
