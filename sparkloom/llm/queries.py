@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm.common import read
+from sparkloom.llm.compression import op12_compression
 from sparkloom.llm.disclosure import op2_disclosure
 from sparkloom.llm.fertility import op1_fertility
 from sparkloom.llm.layout import op8_layout
@@ -33,6 +34,7 @@ QUERIES: dict[str, Query] = {
     "op9_language": lambda spark, d: op9_language(read(spark, d, "documents")),
     "op10_packing": lambda spark, d: op10_packing(read(spark, d, "documents")),
     "op11_spelling": lambda spark, d: op11_spelling(read(spark, d, "documents")),
+    "op12_compression": lambda spark, d: op12_compression(read(spark, d, "documents"), read(spark, d, "labels")),
 }
 
 #: Operators whose whole result SQL can express: none; each is tested against brute force.
