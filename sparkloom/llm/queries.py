@@ -11,6 +11,7 @@ from sparkloom.llm.compression import op12_compression
 from sparkloom.llm.disclosure import op2_disclosure
 from sparkloom.llm.fertility import op1_fertility
 from sparkloom.llm.layout import op8_layout
+from sparkloom.llm.merkle import op13_merkle
 from sparkloom.llm.minmax import op4_minmax
 from sparkloom.llm.naive_bayes import op9_language
 from sparkloom.llm.packing import op10_packing
@@ -35,6 +36,7 @@ QUERIES: dict[str, Query] = {
     "op10_packing": lambda spark, d: op10_packing(read(spark, d, "documents")),
     "op11_spelling": lambda spark, d: op11_spelling(read(spark, d, "documents")),
     "op12_compression": lambda spark, d: op12_compression(read(spark, d, "documents"), read(spark, d, "labels")),
+    "op13_merkle": lambda spark, d: op13_merkle(read(spark, d, "documents")),
 }
 
 #: Operators whose whole result SQL can express: none; each is tested against brute force.
