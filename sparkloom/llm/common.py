@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 # Fixed values of the word rule: a word is a run of characters other than these six.
 SEPARATORS = " \t\n\x0b\x0c\r"
@@ -53,6 +55,47 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.hint("broadcast" if few else "shuffle_merge"), key, "left_semi")
 
 
+def ranked(leaves: DataFrame, *order: str) -> DataFrame:
+    """leaves(tree, ...) with at, each row's place in its tree by order, and size, the tree's rows.
+
+    Rows are ranged over all partitions; a row's place is its place in the partition plus the
+    tree's rows in the partitions before, of which there are as many as partitions.
+    """
+    ranged = leaves.repartitionByRange("tree", *order).sortWithinPartitions("tree", *order)
+    ranged = stored(ranged.withColumn("row", F.monotonically_increasing_id()).withColumn("part", F.shiftright("row", 33)), "ranged")
+    parts = stored(ranged.groupBy("tree", "part").agg(F.count("*").alias("n"), F.min("row").alias("first")), "ranged-counts")
+    tree = Window.partitionBy("tree")  # a row for each of the tree's partitions
+    place = parts.select("tree", "part", F.sum("n").over(tree).alias("size"), (F.col("first") - F.sum("n").over(tree.orderBy("part")) + F.col("n")).alias("start"))
+    placed = ranged.join(stored(place, "ranged-parts").hint("shuffle_merge"), ["tree", "part"])
+    return placed.withColumn("at", F.col("row") - F.col("start")).drop("row", "part", "start")
+
+
+def plain_names(docs: DataFrame, *used: str) -> DataFrame:
+    """docs with its columns named by their places, but for those used: whatever the others are called
+    (with dots or back-ticks, as something internal, as another one in other letters) is no matter then.
+    toDF(*docs.columns) brings the names back."""
+    return docs.toDF(*(c if c in used and docs.columns.index(c) == i else f"column {i}" for i, c in enumerate(docs.columns)))
+
+
+def numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """docs with integer ids: as they are, or if they are of another type their places in order,
+    with the stored table (number, id) that leads back."""
+    if isinstance(docs.schema[id_col].dataType, IntegralType):
+        return docs.withColumn(id_col, F.col(quoted(id_col)).cast("long")), None
+    ids = docs.select(F.lit("").alias("tree"), F.col(quoted(id_col)).alias("id")).where("id IS NOT NULL").distinct()
+    names = stored(ranked(ids, "id").select(F.col("at").alias("number"), "id"), "ids")
+    rows = docs.withColumnRenamed(id_col, "id").join(names.hint("shuffle_merge"), "id", "left")
+    return rows.select(*(F.col("number").alias(id_col) if c == id_col else F.col(quoted(c)) for c in docs.columns)), names
+
+
+def named(rows: DataFrame, names: DataFrame | None, *columns: str) -> DataFrame:
+    """rows with the ids that numbers in columns stand for, names being what numbered() gave."""
+    for c in columns if names is not None else ():
+        back = names.select(F.col("number").alias(c), F.col("id").alias("__id"))
+        rows = rows.join(back.hint("shuffle_merge"), c, "left").select(*(F.col("__id").alias(x) if x == c else F.col(quoted(x)) for x in rows.columns))
+    return rows
+
+
 def quoted(name: str) -> str:
     """A column's name inside SQL text."""
     return "`" + name.replace("`", "``") + "`"

@@ -36,7 +36,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import BROADCAST_ROWS, quoted, replaced, running, spans_of, stored
+from sparkloom.llm.common import BROADCAST_ROWS, plain_names, quoted, replaced, running, spans_of, stored
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns.  A start inside a run of the same class cannot match where the run's own start did not.
@@ -203,19 +203,17 @@ def sanitised(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     Spans that overlap are replaced from the left; the rest of a later one goes with it.
     Null texts stay null.
     """
-    out = "__pii"
-    while out in docs.columns:
-        out += "_"
-    marked = with_spans(docs, text_col, out=out, **options)
+    rows = plain_names(docs, text_col)
+    marked = with_spans(rows, text_col, **options)
 
     def piece(kind: str, put: Callable[[Column], Column]) -> Column:
-        return F.transform(f"{out}.{kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), put(s).alias("put")))
+        return F.transform(f"__pii.{kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), put(s).alias("put")))
 
     base = [piece(k, lambda s, k=k: F.lit(f"[{k.upper()}]")) for k in KINDS]
     terms = piece("term", lambda s: F.when(s["disclosure"] >= REMOVE, "").otherwise("[TERM]"))
-    marked = marked.select(*docs.columns, F.array_sort(F.concat(*base, terms)).alias(out))
-    new = F.expr(replaced(quoted(text_col), quoted(out)))
-    return marked.select(*(new.alias(c) if c == text_col else c for c in docs.columns))
+    marked = marked.select(*map(quoted, rows.columns), F.array_sort(F.concat(*base, terms)).alias("__pii"))
+    new = F.expr(replaced(quoted(text_col), "__pii"))
+    return marked.select(*(new.alias(c) if c == text_col else F.col(quoted(c)) for c in rows.columns)).toDF(*docs.columns)
 
 
 def op2_disclosure(docs: DataFrame) -> DataFrame:

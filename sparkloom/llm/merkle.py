@@ -24,10 +24,10 @@ from functools import lru_cache
 from hashlib import sha256
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import stored
+from sparkloom.llm.common import ranked, stored
 
 FANOUT, BLOCK = 16, 3
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -117,21 +117,6 @@ def record(text: str) -> str:
     return f"sha2(concat({', '.join(parts)}), 256)"
 
 
-def ranked(leaves: DataFrame, *order: str) -> DataFrame:
-    """leaves(tree, ...) with at, each row's place in its tree by order, and size, the tree's rows.
-
-    Rows are ranged over all partitions; a row's place is its place in the partition plus the
-    tree's rows in the partitions before, of which there are as many as partitions.
-    """
-    ranged = leaves.repartitionByRange("tree", *order).sortWithinPartitions("tree", *order)
-    ranged = stored(ranged.withColumn("row", F.monotonically_increasing_id()).withColumn("part", F.shiftright("row", 33)), "merkle-ranged")
-    parts = stored(ranged.groupBy("tree", "part").agg(F.count("*").alias("n"), F.min("row").alias("first")), "merkle-counts")
-    tree = Window.partitionBy("tree")  # a row for each of the tree's partitions
-    place = parts.select("tree", "part", F.sum("n").over(tree).alias("size"), (F.col("first") - F.sum("n").over(tree.orderBy("part")) + F.col("n")).alias("start"))
-    placed = ranged.join(stored(place, "merkle-parts").hint("shuffle_merge"), ["tree", "part"])
-    return placed.withColumn("at", F.col("row") - F.col("start")).drop("row", "part", "start")
-
-
 def block_of(layer: int) -> Column:
     """The layer's block that holds the layer's node at, in a tree of size leaves: at without its last digits."""
     tall = " + ".join(f"int(size > {FANOUT**k}L)" for k in range(HEIGHTS - 1))

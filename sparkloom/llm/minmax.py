@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import only_ids, stored
+from sparkloom.llm.common import named, numbered, only_ids, plain_names, quoted, stored
 from sparkloom.llm.components import connected_components
 
 BANDS, ROWS = 40, 6
@@ -223,8 +223,8 @@ def fair(n: str, m: str, percent: int) -> Column:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """One row per row of docs: id_col, n_shingles, component_id and kept."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    """One row per row of docs: id_col, n_shingles, component_id and kept; ids may be of any type that has an order."""
+    texts, names = numbered(docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")), "id")
     sig = stored(signatures(texts, words, bands, rows), "dup-signatures")
     full = sig.where("n > 0")
     classes = full.groupBy("lo", "hi").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.min_by("keys", "id").alias("keys"))
@@ -237,20 +237,23 @@ def near_duplicates(
     alone = sig.where("n = 0").select("id", "n", F.col("id").alias("component"))
     every = found.select("id", "n", "component").unionByName(alone)
     kept = F.coalesce(F.col("id") == F.col("component"), F.col("component").isNull())
-    return every.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
+    every = named(every.select("id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept")), names, "id", "component_id")
+    return every.withColumnRenamed("id", id_col)
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group: the one with the smallest id."""
-    verdict = stored(near_duplicates(docs, id_col, text_col, words, percent), "dup-verdict")
-    out = verdict.where("not kept").select(id_col).where(F.col(id_col).isNotNull()).distinct()
-    rest = docs.join(stored(out, "dup-dropped").hint("shuffle_merge"), id_col, "left_anti").select(*docs.columns)
+    rows = plain_names(docs, id_col, text_col)
+    verdict = stored(near_duplicates(rows.toDF(*("id" if c == id_col else "text" if c == text_col else c for c in rows.columns)), "id", "text", words, percent), "dup-verdict")
+    out = verdict.where("not kept AND id IS NOT NULL").select("id").distinct()
+    rows = rows.withColumnRenamed(id_col, "id")
+    rest = rows.join(stored(out, "dup-dropped").hint("shuffle_merge"), "id", "left_anti").select(*map(quoted, rows.columns))
     # Rows that repeat an id are one document; only those few are compared as whole rows.
-    twice = stored(verdict.where("kept").groupBy(id_col).count().where("count > 1").select(id_col), "dup-twice")
-    if twice.isEmpty():
-        return rest
-    once = rest.join(twice.hint("shuffle_merge"), id_col, "left_anti")
-    return once.select(*docs.columns).unionByName(rest.join(twice.hint("shuffle_merge"), id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns))
+    twice = stored(verdict.where("kept").groupBy("id").count().where("count > 1").select("id"), "dup-twice")
+    if not twice.isEmpty():
+        one = rest.join(twice.hint("shuffle_merge"), "id", "left_semi").dropDuplicates(["id"])
+        rest = rest.join(twice.hint("shuffle_merge"), "id", "left_anti").unionByName(one, allowMissingColumns=False).select(*map(quoted, rows.columns))
+    return rest.toDF(*docs.columns)
 
 
 def op4_minmax(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import WORD, stored
+from sparkloom.llm.common import WORD, plain_names, quoted, stored
 
 LENGTHS = (512, 1024, 2048, 4096)
 OVERHEAD = 16
@@ -76,8 +76,9 @@ def pieces(sized: DataFrame, longest: int) -> DataFrame:
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(id_col, piece, start, length, shard, bin, offset, bin_length), a row for each piece."""
     lengths = tuple(sorted(lengths))
-    size = F.col(length_col) if length_col else F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD))
-    sized = docs.select(F.col(id_col).alias("id"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
+    size = F.col(quoted(length_col)) if length_col else F.regexp_count(F.coalesce(F.col(quoted(text_col)), F.lit("")), F.lit(WORD))
+    rows = plain_names(docs, id_col, length_col or text_col)
+    sized = rows.select(F.col(quoted(id_col)).alias("id"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
     sized = stored(sized.withColumn("row", F.monotonically_increasing_id()), "pack-sizes")
     total = sized.agg(F.sum(F.ceil(F.col("size") / lengths[-1]))).first()[0] or 0
     shards = max(1, -(-int(total) // shard_rows))

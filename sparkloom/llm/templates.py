@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import BROADCAST_ROWS, stored
+from sparkloom.llm.common import BROADCAST_ROWS, named, numbered, plain_names, quoted, stored
 from sparkloom.llm.minmax import MIX_A, mixed
 
 WINDOW = 8
@@ -276,9 +276,11 @@ def template_windows(rows: DataFrame, sizes: tuple[int, ...], known: object | No
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_cover: float = MIN_COVER) -> DataFrame:
-    """(id_col, item_col, n_windows, covered, item_words, n_slots, exact_slots): contaminated documents."""
+    """(id_col, item_col, n_windows, covered, item_words, n_slots, exact_slots): contaminated documents; ids
+    may be of any type that has an order."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text")).where("id is not null").distinct()
+    items, item_names = numbered(benchmark.select(F.col(quoted(item_col)).alias("id"), F.col(quoted(item_text_col)).alias("text")), "id")
+    items = items.where("id is not null").distinct()
     item = stored(template_windows(items, (), None, True).withColumnRenamed("id", "item"), "leak-items")
     sizes = tuple(sorted(r.size for r in item.select("size").distinct().collect()))  # at most WINDOW values
     keys = stored(item.select("window").distinct(), "leak-windows")
@@ -286,12 +288,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if keys.count() <= MAX_PROBE:
         hashes = keys.toArrow().column("window").to_numpy().astype(np.uint64)
         known = spark.sparkContext.broadcast(np.sort(hashes))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    texts, names = numbered(docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")), "id")
+    texts = texts.where("id is not null")
     hits = stored(template_windows(texts, sizes, known, False).drop("n_words").distinct(), "leak-hits")
     there = item.select("item", "window", "size", F.col("pos").alias("item_pos"), "n_words", "own", F.col("slots").alias("item_slots"))
     match = hits.join(there.hint("broadcast" if item.count() <= BROADCAST_ROWS // 10 else "shuffle_merge"), ["window", "size", "own"])
     match = stored(match.select("id", "item", (F.col("pos") - F.col("item_pos")).alias("line"), "item_pos", "size", "n_words", "slots", "item_slots"), "leak-matches")
-    return leaks(match, min_cover).withColumnRenamed("id", id_col).withColumnRenamed("item", item_col)
+    found = named(named(leaks(match, min_cover), names, "id"), item_names, "item")
+    return found.withColumnRenamed("id", id_col).withColumnRenamed("item", item_col)
 
 
 def leaks(match: DataFrame, min_cover: float) -> DataFrame:
@@ -325,9 +329,12 @@ def leaks(match: DataFrame, min_cover: float) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the contaminated documents; rows with a null id stay."""
-    bad = stored(contamination(docs, benchmark, id_col, text_col).select(F.col(id_col)).distinct(), "leak-ids")
+    rows = plain_names(docs, id_col, text_col).withColumnRenamed(id_col, "id")
+    texts = rows.select("id", F.col(quoted(text_col)).alias("text"))
+    bad = stored(contamination(texts, benchmark, "id", "text").select("id").distinct(), "leak-ids")
     few = bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(bad.hint("broadcast" if few else "shuffle_merge"), id_col, "left_anti").select(*docs.columns)
+    kept = rows.join(bad.hint("broadcast" if few else "shuffle_merge"), "id", "left_anti")
+    return kept.select(*map(quoted, rows.columns)).toDF(*docs.columns)
 
 
 def op5_templates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

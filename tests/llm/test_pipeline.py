@@ -63,3 +63,21 @@ def test_stages_on_odd_rows(spark):
             assert len(found) == len(rows)
         else:
             assert len(found) == len(rows)
+
+
+ODD_NAMES = ["meta.url", "back`tick", "__fertility", "__pii", "id", "key", "component_id", "kept", "window", "column 1", "Text", "DOC_ID", "size"]
+
+
+def test_stages_on_odd_names_and_string_ids(spark):
+    good = corpus_pipeline.quality(spark, read(spark, SF, "documents").where("lang = 'en'"), SF)
+    one, other = [r.text for r in good.where("length(text) < 5000").orderBy("doc_id").limit(2).collect()]
+    rows = [("b", one, "en", "s", 9), ("a", one, "en", "s", 9), ("c", other + " a@b.co", "en", None, 9), (None, "", None, None, None)]
+    plain = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string, n_chars long")
+    left = {"quality": {"a", "b", "c"}, "near_dedup": {"a", "c", None}, "decontaminate": {"a", "b", "c", None}, "pii": {"a", "b", "c", None}}
+    docs = plain.select("*", *(plain.source.alias(f"x{i}") for i in range(len(ODD_NAMES)))).toDF(*plain.columns, *ODD_NAMES)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        found = out.collect()
+        if name != "packing":
+            assert out.columns == docs.columns and {r[0] for r in found} == left[name]
+            assert all(set(r[5:]) == {r[3]} for r in found)
