@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import ranked, stored
 
-FANOUT, BLOCK = 16, 3
+FANOUT, BLOCK = 16, 2
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 

@@ -78,8 +78,8 @@ def test_addresses_are_a_layout(spark):
     assert {address(3, d, i) for d in (0, 1) for i in range(16**d)} == set(range(17))
     for child in range(256):
         assert {address(3, 2, child)} | {address(3, 3, 16 * child + i) for i in range(16)} == set(range(17 + 17 * child, 34 + 17 * child))
-    assert [cuts(k) for k in (0, 3, 4, 5, 7, 10)] == [(0,), (3,), (2, 2), (3, 2), (2, 2, 3), (3, 2, 3, 2)]
-    assert all(sum(cuts(k)) == k and max(cuts(k)) <= 3 for k in range(17))
+    assert [cuts(k) for k in (0, 2, 3, 4, 5, 10)] == [(0,), (2,), (2, 1), (2, 2), (2, 1, 2), (2, 1, 2, 2, 1, 2)]
+    assert all(sum(cuts(k)) == k and max(cuts(k)) <= 2 for k in range(17))
     assert [height(n) for n in (0, 1, 2, 16, 17, 256, 257, 4097)] == [0, 0, 1, 1, 2, 2, 3, 4]
 
 
