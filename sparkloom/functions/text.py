@@ -5,13 +5,14 @@ from __future__ import annotations
 import html
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from sparkloom.sources.scratch import side
+from sparkloom.sources.scratch import side, stored
 
 # Boilerplate patterns, title stop words, sensational words.
 BOILERPLATE = [
@@ -101,9 +102,10 @@ def content_hash(c: Column) -> Column:
 
 
 def shingles(c: Column, k: int = 5) -> Column:
-    """Distinct character k-grams; none for shorter texts."""
-    n = F.char_length(c)
-    return F.when(n >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(k))))).otherwise(F.array().cast("array<string>"))
+    """Distinct character k-grams; none for shorter texts.  The text is split into characters once."""
+    chars = F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
+    grams = lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - k + 1), lambda i: F.array_join(F.slice(x, i, F.lit(k)), ""))
+    return F.when(F.char_length(c) >= k, F.array_distinct(F.transform(F.array(chars), grams)[0])).otherwise(F.array().cast("array<string>"))
 
 
 def sensationalism(c: Column, words: list[str] = SENSATIONAL) -> Column:
@@ -145,26 +147,45 @@ def names_in(c: Column, skip: list[str], limit: int | None = None, chars: int |
     return F.slice(F.array_distinct(good), 1, limit) if limit else F.array_distinct(good)
 
 
-#: Entries of a dictionary that each text is searched for one by one; larger ones meet the texts' stretches by a hash join.
+#: Entries of a dictionary that each text is searched for one by one; more are compiled into automata.
 MAX_SEARCHED = 2_000
+#: Characters of the names that one automaton holds, at most: some 100 MB in each task.
+AUTOMATON_CHARS = 4_000_000
 
 
-def containing(rows: DataFrame, text: str, entries: DataFrame, name: str, most: int = MAX_SEARCHED) -> DataFrame:
-    """rows joined with the entries whose name their text contains.
+def containing(rows: DataFrame, text: str, entries: DataFrame, name: str, most: int = MAX_SEARCHED, chars: int = AUTOMATON_CHARS) -> DataFrame:
+    """rows joined with the entries whose name their text contains; null and empty names are in no text.
 
     Up to most entries go to every executor and are searched for in each text.  Beyond that the
-    stretches of each text, in the lengths that names have, are joined with the names.
+    names are compiled into automata that find all of them in one pass over a text; a
+    dictionary of more than chars characters makes several, one pass each, so that each task's
+    memory is bounded whatever the dictionary.
     """
+    entries = entries.where(F.length(name) > 0)
     if entries.limit(most + 1).count() <= most:
         return rows.join(F.broadcast(entries), F.contains(text, name))
-    lengths = sorted(r.n for r in entries.select(F.char_length(name).alias("n")).distinct().collect() if r.n)
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    names = stored(entries.select(F.col(name).alias("__name")).distinct(), "names")
+    parts = -(-(names.agg(F.sum(F.length("__name"))).first()[0] or 0) // chars)
+    found = [rows.withColumn("__name", F.explode(names_found(F.col(text), names.where(F.pmod(F.xxhash64("__name"), F.lit(parts)) == i)))) for i in range(parts)]
+    return reduce(DataFrame.unionByName, found).join(entries.withColumn("__name", F.col(name)).hint("shuffle_merge"), "__name").drop("__name")
 
-    def stretches(n: int):
-        return lambda c: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, F.lit(n)), ""))).otherwise(F.array().cast("array<string>"))
 
-    every = F.transform(F.array(chars), lambda c: F.array_distinct(F.concat(*(stretches(n)(c) for n in lengths))))[0]
-    return rows.withColumn("__part", F.explode(every)).join(entries.withColumn("__part", F.col(name)).hint("shuffle_merge"), "__part").drop("__part")
+def names_found(text: Column, names: DataFrame) -> Column:
+    """array<string>: which of names(__name), a table of bounded size, the text contains."""
+    shared = names.sparkSession.sparkContext.broadcast([r[0] for r in names.collect()])
+
+    @F.pandas_udf("array<string>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for x in shared.value:
+            automaton.add_word(x, x)
+        automaton.make_automaton()
+        for texts in batches:
+            yield texts.map(lambda t: list({x for _, x in automaton.iter(t)}) if t else [])
+
+    return found(text)
 
 
 def gazetteer(docs: DataFrame, entries: DataFrame, key: str = "doc_id", text: str = "text", limit: int | None = None, chars: int | None = None) -> DataFrame:

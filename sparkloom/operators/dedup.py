@@ -23,26 +23,49 @@ def dedup_fuzzy(df: DataFrame, column: str = "title", order: str = "doc_id") ->
     return keep_first(df, fuzzy_hash(F.col(column)), order)
 
 
-def similar_pairs(df: DataFrame, column: str = "title", threshold: float = 0.85, k: int = 5, bands: int = 32, rows: int = 4, order: str = "doc_id") -> DataFrame:
-    """(a, b, similarity), a < b: pairs of distinct character k-gram sets that MinHash bands bring
-    together, verified by exact Jaccard similarity.
+def similar_pairs(df: DataFrame, column: str = "title", threshold: float = 0.85, k: int = 5, order: str = "doc_id") -> DataFrame:
+    """(a, b, similarity), a < b: all pairs of distinct character k-gram sets with that Jaccard similarity, exactly.
 
     Equal sets are compared once, through their first row; sets without a k-gram take no part.
     """
     s = df.select(F.col(order).alias("id"), F.array_sort(shingles(F.lower(F.col(column)), k)).alias("s")).where(F.size("s") > 0)
     s = stored(s.groupBy("s").agg(F.min("id").alias("id")), "sets")
-    seeds = F.sequence(F.lit(0), F.lit(bands * rows - 1))
-    sig = F.transform(seeds, lambda seed: F.array_min(F.transform("s", lambda x: F.xxhash64(x, seed))))
-    key = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * rows + 1, F.lit(rows))))
-    members = stored(s.select("id", sig.alias("sig")).select("id", F.explode(key).alias("key")), "bands")
-    a, b = members.alias("a"), members.alias("b")
-    pairs = a.join(b.hint("shuffle_merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    pairs = candidate_pairs(s.select("id", F.transform("s", lambda x: F.xxhash64(x)).alias("s")), threshold)
     both = pairs.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")).hint("shuffle_merge"), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")).hint("shuffle_merge"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     sim = shared / (F.size("sa") + F.size("sb") - shared)
     return both.select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def candidate_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """sets(id, s: array<long>) -> (a, b), a < b: pairs that may reach the Jaccard threshold; none is lost.
+
+    Prefix filtering: a set's elements stand from the rarest to the commonest.  Two sets of n <= m
+    elements that reach threshold t share at least t / (1 + t) * (n + m).  As m >= n that is
+    2t / (1 + t) * n at least, and as n >= t * m it is t * m: so the first element that they share
+    stands among the first n - 2t / (1 + t) * n + 1 of the smaller set and the first m - t * m + 1
+    of the larger one.  What is left behind that element must be enough, too.  Elements that
+    most sets have stand last, so sets meet on them only if they are similar.
+    """
+    slack = 1e-9
+    each = stored(sets.select("id", F.size("s").alias("n"), F.explode("s").alias("e")), "set-elements")
+    often = stored(each.groupBy("e").agg(F.count("*").alias("often")), "set-often")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("often", "e"))
+    placed = each.join(often.hint("shuffle_merge"), "e").withColumn("place", place)
+    first = stored(placed.where(F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n") - slack) + 1).select("id", "n", "e", "place"), "set-prefixes")
+    x = first.where(F.col("place") <= F.col("n") - F.ceil(2 * threshold / (1 + threshold) * F.col("n") - slack) + 1).alias("x")
+    y = first.alias("y")
+    need = F.ceil(threshold / (1 + threshold) * (F.col("x.n") + F.col("y.n")) - slack)
+    met = x.join(
+        y.hint("shuffle_merge"),
+        (F.col("x.e") == F.col("y.e"))
+        & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id"))))
+        & (F.col("x.n") >= threshold * F.col("y.n") - slack)
+        & (1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= need),
+    )
+    return stored(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "set-pairs")
+
+
 def greedy_drops(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """Ids dropped by keep-first: an id goes if a kept smaller one is similar to it.
 

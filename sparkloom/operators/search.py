@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from sparkloom.sources.scratch import side, stored
 MAX_QUERIES = 10_000
 
 
-def _ranked(df: DataFrame, k: int) -> DataFrame:
+def ranked(df: DataFrame, k: int) -> DataFrame:
     r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return df.withColumn("rank", r.cast("long")).where(F.col("rank") <= k)
 
@@ -19,17 +21,26 @@ def _ranked(df: DataFrame, k: int) -> DataFrame:
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, id, score, rank: the k nearest by cosine; score = 10 * (1 - distance), 0 beyond 1.
 
-    A stated query set meets all rows: the queries go to every task if there are at most
-    MAX_QUERIES of them, else the two sides are paired in blocks of queries.
-    Each task keeps its own best k of a query before anything is shuffled.
+    A stated query set meets all rows, exactly: in blocks of about MAX_QUERIES queries, each sent to
+    every task.  Each task keeps its own best k of a query before anything is shuffled.
+    `vector_index` finds nearly the same from an index.
     """
     q = queries.select("query_id", F.col("embedding").alias("q"))
-    few = q.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES
-    pairs = vectors.crossJoin(F.broadcast(q)) if few else vectors.join(q.hint("shuffle_replicate_nl"))
+    blocks = -(-q.count() // MAX_QUERIES)
+    if blocks <= 1:
+        return ranked(nearest_here(vectors, q, k), k)
+    q = stored(q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries")
+    best = [nearest_here(vectors, q.where(F.col("block") == b).drop("block"), k) for b in range(blocks)]
+    return ranked(reduce(DataFrame.unionByName, best), k)
+
+
+def nearest_here(vectors: DataFrame, q: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score: of each partition of vectors the k nearest of each query in q, a block of bounded size."""
+    pairs = vectors.crossJoin(F.broadcast(q))
     scored = pairs.select("query_id", "id", F.round(F.greatest(10 * cosine(F.col("embedding"), F.col("q")), F.lit(0.0)), 3).alias("score"))
     salted = scored.withColumn("__p", F.spark_partition_id())
     near = F.row_number().over(Window.partitionBy("query_id", "__p").orderBy(F.desc("score"), "id"))
-    return _ranked(salted.withColumn("__r", near).where(F.col("__r") <= k).drop("__r", "__p"), k)
+    return salted.withColumn("__r", near).where(F.col("__r") <= k).drop("__r", "__p")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
@@ -48,7 +59,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: f
     hit = tf.join(side(known), "term")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     s = hit.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-    return _ranked(s, k)
+    return ranked(s, k)
 
 
 def fuse(*ranked: DataFrame, k: int = 60, top: int = 10) -> DataFrame:
@@ -64,7 +75,7 @@ def fuse(*ranked: DataFrame, k: int = 60, top: int = 10) -> DataFrame:
 def rerank(results: DataFrame, scores: DataFrame, top: int = 10) -> DataFrame:
     """results re-ordered by scores(query_id, id, pair_score) where there is one."""
     s = results.join(scores, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("pair_score", "score").alias("score"))
-    return _ranked(s, top)
+    return ranked(s, top)
 
 
 def hybrid_search(vectors: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import language
 from sparkloom.functions import text as T
-from sparkloom.operators import briefing, cooccur, dedup, graph, lag, scoring, search, signals, trends
+from sparkloom.operators import briefing, cooccur, dedup, graph, lag, scoring, search, signals, trends, vector_index
 from sparkloom.operators import narratives as N
 from sparkloom.plans.bindings import ARTICLES, EVENTS, MENTIONS, SECTORS, articles, event_mentions, mentions, read, sectors
 from sparkloom.sources import ingest
@@ -754,6 +754,13 @@ def knn(spark, d):
     return search.vector_search(v, v.where("id % 50 = 0").withColumnRenamed("id", "query_id"))
 
 
+@query(None)
+def knn_indexed(spark, d):
+    """The same search by the index, which visits the cells that a sample of queries needs."""
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return vector_index.search(vector_index.build(v), v.where("id % 50 = 0").withColumnRenamed("id", "query_id"))
+
+
 BM25 = """d0 AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '') AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d0),
   tf AS (SELECT id, len(w) AS dl, unnest(w) AS term FROM d0), tc AS (SELECT id, dl, term, count(*) AS tf FROM tf GROUP BY ALL), dfs AS (SELECT term, ln((n - count(*) + 0.5) / (count(*) + 0.5)) AS idf, any_value(avgdl) AS avgdl FROM tc, st GROUP BY term, n),
   ix AS (SELECT term, avgdl, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM dfs) ELSE idf END AS idf FROM dfs), qs AS (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '')) AS term FROM benchmark),
@@ -1033,16 +1040,45 @@ def analysed_parquet(spark, d):
     return ingest.load_analyzed(spark, path).groupBy("day").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query(None)
-def stream_phases(spark, d):
-    """Phases of entities as the daily counts of the event files come in."""
+@query(f"WITH {EVENTS} SELECT DISTINCT source AS title, entity AS source FROM mentions")
+def stream_history(spark, d):
+    """Every title and source once, over all batches: the events land as files and come in one by one."""
+    from sparkloom.streaming import streams
+
+    base = f"{folder(spark)}/history-{uuid.uuid4().hex}"
+    e = event_mentions(spark, d).select("doc_id", F.col("source").alias("title"), F.col("entity").alias("source"), F.lit("").alias("link"))
+    e.repartition(4).write.parquet(f"{base}/in")
+    landed = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    streams.dedup_history(landed, f"{base}/store", ["doc_id"]).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return streams.history(spark, f"{base}/store").select("title", "source")
+
+
+def _phase_stream(spark: SparkSession, d: str, **quiet: int) -> DataFrame:
+    """Changes of phase as the daily counts come in; the state store is set for a session of its own."""
     from sparkloom.streaming import streams
 
     path = f"{folder(spark)}/daily-{uuid.uuid4().hex}"
     events_daily(spark, d).select(F.col("entity").cast("string").alias("entity"), F.col("day").cast("date").alias("day"), F.col("n").cast("long").alias("n")).write.parquet(path)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    daily = spark.readStream.schema("entity string, day date, n long").parquet(path)
-    return _drained(streams.phase_changes(daily), "phases")
+    own = spark.newSession()
+    for name, value in streams.ROCKSDB.items():
+        own.conf.set(name, value)
+    daily = own.readStream.schema("entity string, day date, n long").parquet(path)
+    base = f"{folder(spark)}/phases-{uuid.uuid4().hex}"
+    changes = streams.phase_changes(daily, **quiet)
+    changes.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(changes.schema).parquet(f"{base}/out")
+
+
+@query(None)
+def stream_phases(spark, d):
+    """Phases of entities as the daily counts of the event files come in."""
+    return _phase_stream(spark, d)
+
+
+@query(f"WITH {EVENTS}, {DAILY}, edge AS (SELECT max(day) - 1 AS mark FROM daily) SELECT entity, CAST(max(day) + 5 AS DATE) AS day FROM daily, edge GROUP BY entity, mark HAVING max(day) + 5 <= mark")
+def stream_quiet(spark, d):
+    """When entities went dormant after five quiet days, as the timers of the stream report it."""
+    return _phase_stream(spark, d, fade_days=2, idle_days=5).where("to_phase = 'dormant'").select("entity", "day")
 
 
 @query(f"SELECT type, title, severity FROM ({ORACLES['alerts_bursts']}) q ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, type, title LIMIT 5")
@@ -1052,7 +1088,7 @@ def stream_alerts(spark, d):
 
     base = f"{folder(spark)}/alerts-{uuid.uuid4().hex}"
     alerts = alerts_bursts(spark, d).select("type", "title", "severity")
-    alerts.coalesce(1).write.parquet(f"{base}/in")
+    alerts.write.parquet(f"{base}/in")
     stream = spark.readStream.schema(alerts.schema).parquet(f"{base}/in")
     streams.fan_out(stream, f"{base}/out", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("type string, title string, severity string, batch_id long").parquet(f"{base}/out").drop("batch_id")
