@@ -29,7 +29,7 @@ def detect_language(docs: DataFrame, profiles: DataFrame, key: str = "doc_id", t
     w = docs.select(key, F.explode(_words(text, chars)).alias("word"))
     hits = w.join(side(profiles), "word").groupBy(key, "lang").agg(F.count("*").alias("n"))
     best = hits.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("m"), "lang")).alias("b"))
-    return docs.select(key).join(best, key, "left").select(key, F.coalesce("b.lang", F.lit("unknown")).alias("detected"), F.coalesce(-F.col("b.m"), F.lit(0).cast("long")).alias("hits"))
+    return docs.select(key).join(best.hint("shuffle_merge"), key, "left").select(key, F.coalesce("b.lang", F.lit("unknown")).alias("detected"), F.coalesce(-F.col("b.m"), F.lit(0).cast("long")).alias("hits"))
 
 
 def locate(entities: DataFrame, countries: DataFrame) -> DataFrame:

@@ -126,7 +126,7 @@ def sentiment(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: st
     the sum of weights squashed to (-1, 1).  Words without an entry are neutral."""
     words = docs.select(key, F.explode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("word"))
     s = words.join(side(lexicon), "word", "left").groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("weight") > 0).alias("p"), F.count_if(F.col("weight") < 0).alias("m"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w"))
-    out = docs.select(key).join(s, key, "left")
+    out = docs.select(key).join(s.hint("shuffle_merge"), key, "left")
     n = F.greatest(F.coalesce("n", F.lit(0)), F.lit(1))
     p, m, w = (F.coalesce(c, F.lit(0)) for c in ("p", "m", "w"))
     return out.select(key, F.round(p / n, 4).alias("pos"), F.round(m / n, 4).alias("neg"), F.round(1 - (p + m) / n, 4).alias("neu"), F.round(w / F.sqrt(w * w + 15.0), 4).alias("compound"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import containing
+from sparkloom.sources.scratch import stored
 
 
 def per_document(mentions: DataFrame) -> DataFrame:
@@ -50,6 +51,14 @@ def weighted_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("e1", "e2").agg(F.count("*").alias("weight"))
 
 
+def flagged_pairs(pairs: DataFrame, sectors: DataFrame) -> DataFrame:
+    """e1, e2, weight, cross_domain: whether both ends have sectors and these differ."""
+    w = weighted_pairs(pairs)
+    s1, s2 = (sectors.select(F.col("entity").alias(e), F.col("sector").alias(s)) for e, s in (("e1", "s1"), ("e2", "s2")))
+    both = w.join(s1, "e1", "left").join(s2, "e2", "left")
+    return both.select("e1", "e2", "weight", F.coalesce(F.col("s1") != F.col("s2"), F.lit(False)).alias("cross_domain"))
+
+
 def with_sectors(pairs: DataFrame, sectors: DataFrame) -> DataFrame:
     """Both ends' sectors, looked up in the dimension table."""
     s1 = sectors.select(F.col("entity").alias("e1"), F.col("sector").alias("s1"))
@@ -96,17 +105,32 @@ def new_links(links: DataFrame, previous: DataFrame) -> DataFrame:
     return links.join(previous.select("source_entity", "target_entity"), ["source_entity", "target_entity"], "left_anti")
 
 
-def link_contexts(links: DataFrame, mentions: DataFrame, texts: DataFrame, keep: int = 5, chars: int = 1000) -> DataFrame:
-    """source_entity, target_entity, rank, doc_id, context: the first texts that hold both ends."""
+def link_documents(links: DataFrame, mentions: DataFrame, keep: int) -> DataFrame:
+    """source_entity, target_entity, rank, doc_id: the first documents that hold both ends."""
     m = per_document(mentions)
     a = m.select("doc_id", F.col("entity").alias("source_entity"))
     b = m.select("doc_id", F.col("entity").alias("target_entity"))
     both = links.select("source_entity", "target_entity").join(a, "source_entity").join(b, ["doc_id", "target_entity"])
     rank = F.row_number().over(Window.partitionBy("source_entity", "target_entity").orderBy("doc_id"))
-    first = both.withColumn("rank", rank).where(F.col("rank") <= keep)
+    return both.withColumn("rank", rank).where(F.col("rank") <= keep).select("source_entity", "target_entity", "rank", "doc_id")
+
+
+def link_contexts(links: DataFrame, mentions: DataFrame, texts: DataFrame, keep: int = 5, chars: int = 1000) -> DataFrame:
+    """source_entity, target_entity, rank, doc_id, context: the first texts that hold both ends."""
+    first = link_documents(links, mentions, keep)
     return first.join(texts, "doc_id").select("source_entity", "target_entity", "rank", "doc_id", F.substring("text", 1, chars).alias("context"))
 
 
+def semantic_links(links: DataFrame, mentions: DataFrame, vectors: DataFrame, keep: int = 20) -> DataFrame:
+    """links whose semantic_similarity is the mean cosine of the vectors(doc_id, embedding) of the first
+    keep documents that hold both ends; 0 with less than two."""
+    ends = ["source_entity", "target_entity"]
+    found = stored(link_documents(links, mentions, keep), "link-documents").join(vectors.hint("shuffle_merge"), "doc_id")
+    mean = mean_pairwise_cosine(found.withColumn("link", F.struct(*ends)), "link", digits=3).select("link.*", F.col("mean_cosine").alias("__mean"))
+    joined = links.join(stored(mean, "link-semantics").hint("shuffle_merge"), ends, "left")
+    return joined.withColumn("semantic_similarity", F.coalesce("__mean", F.lit(0.0))).select(*links.columns)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays; 0 if one is null or has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -114,13 +138,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
-def mean_pairwise_cosine(vectors: DataFrame, key: str, value: str = "embedding") -> DataFrame:
+def mean_pairwise_cosine(vectors: DataFrame, key: str, value: str = "embedding", digits: int = 4) -> DataFrame:
     """Mean cosine over all pairs of a group, from the sum of its unit vectors: no pair is made."""
     unit = vectors.withColumn("norm", F.sqrt(F.aggregate(value, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))).where("norm > 0")
     parts = unit.select(key, "norm", F.posexplode(value)).groupBy(key, "pos").agg(F.sum(F.col("col").cast("double") / F.col("norm")).alias("s"))
     counts = unit.groupBy(key).agg(F.count("*").alias("n"))
-    total = parts.groupBy(key).agg(F.sum(F.col("s") * F.col("s")).alias("sq")).join(counts, key).where("n > 1")
-    return total.select(key, "n", F.round((F.col("sq") - F.col("n")) / (F.col("n") * (F.col("n") - 1)), 4).alias("mean_cosine"))
+    total = parts.groupBy(key).agg(F.sum(F.col("s") * F.col("s")).alias("sq")).join(counts.hint("shuffle_merge"), key).where("n > 1")
+    return total.select(key, "n", F.round((F.col("sq") - F.col("n")) / (F.col("n") * (F.col("n") - 1)), digits).alias("mean_cosine"))
 
 
 def pair_reduction(mentions: DataFrame, min_mentions: int = 2) -> DataFrame:

@@ -28,15 +28,16 @@ def degree_centrality(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """entity, degree, centrality = degree / (n - 1), for all nodes(entity, ...)."""
     ends = edges.select(F.explode(F.array("e1", "e2")).alias("entity")).groupBy("entity").agg(F.count("*").alias("degree"))
     n = nodes.agg(F.count("*").alias("k"))
-    out = nodes.join(ends, "entity", "left").crossJoin(F.broadcast(n))  # one row
+    out = nodes.join(ends.hint("shuffle_merge"), "entity", "left").crossJoin(F.broadcast(n))  # one row
     degree = F.coalesce("degree", F.lit(0).cast("long"))
     return out.select("entity", "n_mentions", "n_sources", degree.alias("degree"), F.round(F.when(F.col("k") > 1, degree / (F.col("k") - 1)).otherwise(0.0), 4).alias("centrality"))
 
 
 def sector_graph(links: DataFrame) -> DataFrame:
-    """Sector edges in canonical order: number of links and mean strength."""
+    """Sector edges in canonical order: number of links, mean strength and, if links have it, mean confidence."""
     a, b = F.least("source_sector", "target_sector"), F.greatest("source_sector", "target_sector")
-    return links.groupBy(a.alias("sector_1"), b.alias("sector_2")).agg(F.count("*").alias("n_links"), F.sum("cooccurrence_count").alias("cooccurrences"), F.round(F.avg("strength"), 4).alias("mean_strength"))
+    means = [F.round(F.avg(c), 4).alias(f"mean_{c}") for c in ("strength", "confidence") if c in links.columns]
+    return links.groupBy(a.alias("sector_1"), b.alias("sector_2")).agg(F.count("*").alias("n_links"), F.sum("cooccurrence_count").alias("cooccurrences"), *means)
 
 
 def candidate_graph(candidates: DataFrame, sectors: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -81,41 +82,62 @@ def top_chains(chains: DataFrame, n: int = 30) -> DataFrame:
     return chains.orderBy(F.desc("avg_score"), F.desc("length"), "chain").limit(n)
 
 
-def shortest_weighted_paths(edges: DataFrame, sources: DataFrame, cost: str = "weight", max_rounds: int = 50) -> DataFrame:
-    """root, node, dist, path: globally cheapest paths over undirected edges(e1, e2, weight).
+def shortest_weighted_paths(edges: DataFrame, sources: DataFrame, cost: str = "weight", max_hops: int | None = None, max_rounds: int = 100) -> DataFrame:
+    """root, node, dist, hops, prev: the globally cheapest way from each root over undirected edges(e1, e2, weight).
 
-    Frontiers of all roots are relaxed together until no distance falls; ties take the
-    alphabetically first path.  cost = 'inverse' makes strong ties short.
+    Labels of all roots are relaxed together, one hop a round, until none falls; prev is the node
+    before, so no path travels (traced() gives it).  Of equal costs fewer hops win, then the first
+    prev by name.  cost = 'inverse' makes strong ties short.  With max_hops, the cheapest of the
+    ways with so many hops or fewer.  Labels that still fall after max_rounds are an error.
     """
     c = F.col("weight").cast("double") if cost == "weight" else 1.0 / F.col("weight")
     both = edges.select(F.col("e1").alias("u"), F.col("e2").alias("v"), c.alias("c")).unionByName(edges.select(F.col("e2").alias("u"), F.col("e1").alias("v"), c.alias("c")))
-    both = stored(both, "path-edges")
-    best = stored(sources.select(F.col("node").alias("root"), "node", F.lit(0.0).alias("dist"), F.array("node").alias("path")), "path-0")
-    frontier = best
-    for k in range(1, max_rounds + 1):
-        step = frontier.join(both, F.col("node") == F.col("u")).where(~F.array_contains("path", F.col("v"))).select("root", F.col("v").alias("node"), (F.col("dist") + F.col("c")).alias("dist"), F.concat("path", F.array("v")).alias("path"))
-        step = step.groupBy("root", "node").agg(F.min(F.struct("dist", "path")).alias("b")).select("root", "node", "b.*")
-        old = best.select("root", "node", F.struct("dist", "path").alias("o"))
-        frontier = stored(step.join(old, ["root", "node"], "left").where("o IS NULL OR struct(dist, path) < o").drop("o"), f"path-{k}")
+    both = stored(both.groupBy("u", "v").agg(F.min("c").alias("c")), "path-edges")
+    label = F.struct("dist", "hops", "prev")
+    best = stored(sources.select(F.col("node").alias("root"), "node", F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), F.lit("").alias("prev")).distinct(), "path-labels")
+    frontier = best.select("root", "node", "dist", "hops")
+    for _ in range(max_rounds if max_hops is None else max_hops):
+        step = frontier.join(both.hint("shuffle_merge"), F.col("node") == F.col("u")).select("root", F.col("v").alias("node"), (F.col("dist") + F.col("c")).alias("dist"), (F.col("hops") + 1).alias("hops"), F.col("node").alias("prev"))
+        step = step.groupBy("root", "node").agg(F.min(label).alias("new"))
+        old = best.select("root", "node", label.alias("old"))
+        met = stored(old.join(step.hint("shuffle_merge"), ["root", "node"], "full"), "path-met")
+        # A label that changes in prev alone changes nothing beyond it.
+        fell = met.where("old IS NULL OR struct(new.dist, new.hops) < struct(old.dist, old.hops)").where("new IS NOT NULL")
+        frontier = stored(fell.select("root", "node", "new.dist", "new.hops"), "path-frontier")
+        best = met.select("root", "node", F.least("old", "new").alias("x")).select("root", "node", "x.*")
         if frontier.isEmpty():
-            break
-        best = stored(best.unionByName(frontier).groupBy("root", "node").agg(F.min(F.struct("dist", "path")).alias("b")).select("root", "node", "b.*"), f"best-{k}")
+            return best
+    if max_hops is None:
+        raise RuntimeError(f"distances still fall after {max_rounds} rounds")
     return best
 
 
+def traced(labels: DataFrame, wanted: DataFrame, hops: int) -> DataFrame:
+    """wanted(root, node) of so many hops at most, with path: the nodes from root to node, by the labels' prev."""
+    before = labels.select("root", F.col("node").alias("at"), "prev")
+    rows = wanted.select("root", "node", F.col("node").alias("at"), F.array("node").alias("path"))
+    for _ in range(hops):
+        rows = rows.join(before.hint("shuffle_merge"), ["root", "at"])
+        more = F.col("at") != F.col("root")
+        rows = rows.select("root", "node", F.when(more, F.col("prev")).otherwise(F.col("at")).alias("at"), F.when(more, F.concat(F.array("prev"), "path")).otherwise(F.col("path")).alias("path"))
+    return rows.where("at = root").select("root", "node", "path")
+
+
 def impact_chains(pairs: DataFrame, sectors: DataFrame, ranked: DataFrame, per_sector: int = 5, top: int = 50, cost: str = "weight") -> DataFrame:
     """Cheapest paths of 3 or 4 nodes between leading entities of different sectors.
 
     ranked(entity, sector, mention_count) gives the leaders; of paths with one sequence of
-    sectors the one with most hops, then weight, then name stays.
+    sectors the one with most changes of sector, then weight, then name stays.
     """
     order = Window.partitionBy("sector").orderBy(F.desc("mention_count"), "entity")
     lead = stored(ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_sector).select("entity", "sector"), "leaders")
-    found = shortest_weighted_paths(pairs, lead.select(F.col("entity").alias("node")), cost)
+    labels = stored(shortest_weighted_paths(pairs, lead.select(F.col("entity").alias("node")), cost), "path-labels")
     ends = lead.select(F.col("entity").alias("node"), F.col("sector").alias("end_sector"))
     starts = lead.select(F.col("entity").alias("root"), F.col("sector").alias("start_sector"))
-    mine = found.join(ends, "node").join(starts, "root").where("start_sector < end_sector").where(F.size("path").between(3, 4))
-    steps = mine.select("root", "node", "dist", "path", F.posexplode("path").alias("pos", "entity")).join(sectors.hint("shuffle_merge"), "entity")
+    mine = labels.join(side(ends), "node").join(side(starts), "root").where("start_sector < end_sector AND hops BETWEEN 2 AND 3")
+    found = traced(labels, mine, 3).join(mine.select("root", "node", "dist").hint("shuffle_merge"), ["root", "node"])
+    found = stored(found, "path-found")
+    steps = found.select("root", "node", "dist", "path", F.posexplode("path").alias("pos", "entity")).join(sectors.hint("shuffle_merge"), "entity")
     line = steps.groupBy("root", "node", "dist", "path").agg(F.array_sort(F.collect_list(F.struct("pos", "sector"))).alias("s")).withColumn("sectors", F.transform("s", lambda x: x["sector"]))
     hops = F.size(F.filter(F.arrays_zip(F.slice("sectors", 1, F.size("sectors") - 1).alias("a"), F.slice("sectors", 2, F.size("sectors") - 1).alias("b")), lambda p: p["a"] != p["b"]))
     line = line.withColumn("hops", hops.cast("long")).withColumn("chain_key", F.array_join("sectors", "->")).withColumn("chain", F.array_join("path", "->"))
@@ -137,6 +159,13 @@ def graph_summary(edges: DataFrame) -> DataFrame:
     return nodes.crossJoin(edges.agg(F.count("*").alias("n_edges"), F.round(F.coalesce(F.avg("weight"), F.lit(0.0)), 3).alias("mean_score")))
 
 
+def node_list(edges: DataFrame) -> DataFrame:
+    """node, out_degree, in_degree, score: every node of edges(source, target, weight) and its mean edge weight."""
+    ends = F.explode(F.array(F.struct(F.col("source").alias("node"), F.lit(1).alias("out")), F.struct(F.col("target").alias("node"), F.lit(0).alias("out")))).alias("e")
+    each = edges.select("weight", ends).select("weight", "e.*")
+    return each.groupBy("node").agg(F.sum("out").alias("out_degree"), F.sum(1 - F.col("out")).alias("in_degree"), F.round(F.avg("weight"), 3).alias("score"))
+
+
 def upsert(stored_rows: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
     """MERGE by key: the row with the latest order wins."""
     w = Window.partitionBy(*key).orderBy(F.desc(order), F.desc("__new"))

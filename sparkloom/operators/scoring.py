@@ -30,6 +30,23 @@ IMPACT_PATTERNS = [
     ("social", "politics", 0.70, "medium", "Policy agenda change"),
 ]
 DEFAULT_EFFECT = "Cross-domain propagation"
+# Why two sectors are connected ({a} and {b} are the link's ends), for pairs in either order.
+WHY_CONNECTED = [
+    ("politics", "finance", "Political decisions involving {a} create direct fiscal and market consequences for {b}."),
+    ("politics", "technology", "Regulatory and policy actions ({a}) shape the technology landscape ({b}) through legislation and funding."),
+    ("politics", "energy", "Government policy ({a}) directly impacts energy markets, extraction rights, and climate targets ({b})."),
+    ("politics", "military", "Political leadership and diplomacy ({a}) drive military posture and defense strategy ({b})."),
+    ("finance", "technology", "Capital markets and investment flows ({a}) fund or constrain technology development ({b})."),
+    ("finance", "energy", "Energy prices ({b}) directly affect inflation, trade balances, and market stability ({a})."),
+    ("technology", "energy", "Technology sector ({a}) drives energy demand, grid modernization, and renewable innovation ({b})."),
+    ("technology", "military", "Technology capabilities ({a}) directly enable military advantage in cyber, AI, and autonomous systems ({b})."),
+    ("energy", "military", "Energy security ({a}) is a strategic military concern; conflicts often center on energy resources ({b})."),
+    ("technology", "startups", "Technology infrastructure and platforms ({a}) create the foundation for startup innovation and funding ({b})."),
+    ("finance", "startups", "Investment capital and market conditions ({a}) directly determine startup viability and growth ({b})."),
+    ("social", "politics", "Social movements and public opinion ({a}) drive political agenda-setting and policy change ({b})."),
+]
+WHY_OTHERWISE = "Entities in {s} and {t} are connected through shared dependencies. Changes in {s} create measurable effects in {t} through cross-domain propagation channels."
+DEFAULT_DOWNSTREAM = ("Cross-domain propagation between {s} and {t}", "Secondary effects in connected sectors", "Potential narrative amplification across sources")
 
 
 def lookup(values: dict[str, float], key: Column, default: float) -> Column:
@@ -121,20 +138,45 @@ def verification_candidates(links: DataFrame, threshold: float = 0.5, n: int = 2
     return links.where(F.col("strength") >= threshold).orderBy(F.desc("strength"), "source_entity", "target_entity").limit(n)
 
 
-def explain_links(links: DataFrame) -> DataFrame:
-    """Impact level and score, and a sentence for links without an explanation."""
+def filled(template: Column | str) -> Column:
+    """A sentence with the link's ends for {a} and {b} and its sectors for {s} and {t}."""
+    out = F.lit(template) if isinstance(template, str) else template
+    for mark, name in (("{a}", "source_entity"), ("{b}", "target_entity"), ("{s}", "source_sector"), ("{t}", "target_sector")):
+        out = F.replace(out, F.lit(mark), F.col(name))
+    return out
+
+
+def why_table(spark) -> DataFrame:
+    return spark.createDataFrame(WHY_CONNECTED, "p1 string, p2 string, template string")
+
+
+def explain_links(links: DataFrame, why: DataFrame | None = None, examples: DataFrame | None = None) -> DataFrame:
+    """Impact level and score, a sentence for links without an explanation, and with why(p1, p2, template)
+    also why_connected and the struct evidence: counts, strength, confidence (if links have it) and
+    of examples(source_entity, target_entity, rank, doc_id) the first three documents."""
     score = F.least(F.col("strength") * 10 + F.col("cooccurrence_count") * 0.5 + F.col("source_diversity") * 2, F.lit(100.0))
     text = F.format_string("%s (%s) and %s (%s) appear together in %d documents from %d sources", "source_entity", "source_sector", "target_entity", "target_sector", "cooccurrence_count", "source_diversity")
     own = F.col("explanation") if "explanation" in links.columns else F.lit(None).cast("string")
-    return links.withColumn("impact_score", F.round(score, 2)).withColumn("impact_level", F.when(score >= 70, "high").when(score >= 40, "medium").otherwise("low")).withColumn("explanation", F.coalesce(own, text))
+    out = links.withColumn("impact_score", F.round(score, 2)).withColumn("impact_level", F.when(score >= 70, "high").when(score >= 40, "medium").otherwise("low")).withColumn("explanation", F.coalesce(own, text))
+    if why is None:
+        return out
+    ends = ["source_entity", "target_entity"]
+    none = F.lit(None).cast("array<bigint>")
+    if examples is not None:
+        first = examples.where(F.col("rank") <= 3).groupBy(*ends).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("__docs"))
+        out = out.join(first.hint("shuffle_merge"), ends, "left")
+        none = F.col("__docs")
+    confidence = F.round("confidence", 3) if "confidence" in links.columns else F.lit(None).cast("double")
+    evidence = F.struct("cooccurrence_count", "source_diversity", F.round("strength", 2).alias("relationship_strength"), confidence.alias("confidence"), F.coalesce(none, F.array().cast("array<bigint>")).alias("examples"))
+    told = _either_way(out.withColumn("evidence", evidence), why, ["template"])
+    return told.withColumn("why_connected", filled(F.coalesce("template", F.lit(WHY_OTHERWISE)))).drop("template", "__docs")
 
 
 def downstream_effects(links: DataFrame, effects: DataFrame) -> DataFrame:
     """links with the array downstream: the sector pair's effects in either order (the forward one
-    wins), or a sentence made of the two sectors."""
+    wins), or three sentences made of the two sectors."""
     j = _either_way(links, effects, ["effects"])
-    plain = F.array(F.format_string("Cross-domain propagation between %s and %s", "source_sector", "target_sector"))
-    return j.select(*links.columns, F.coalesce("effects", plain).alias("downstream"))
+    return j.select(*links.columns, F.coalesce("effects", F.array(*(filled(x) for x in DEFAULT_DOWNSTREAM))).alias("downstream"))
 
 
 def narrative_sentence(name: str = "entity") -> Column:

@@ -182,11 +182,51 @@ def links_context(spark, d):
     return cooccur.link_contexts(links_top(spark, d), mentions(spark, d), texts, chars=12)
 
 
-@query(f"""WITH {LINKS}, x AS (SELECT *, least(strength * 10 + cooccurrence_count * 0.5 + source_diversity * 2, 100.0) AS s FROM links)
+WHY_REGIONS = [("AMERICA", "ASIA", "Orders of {a} move the prices of {b}."), ("EUROPE", "ASIA", "{a} ({s}) supplies {b} ({t})."), ("ASIA", "EUROPE", "{b} buys from {a}.")]
+WHY_VALUES = ", ".join(f"('{a}', '{b}', '{t}')" for a, b, t in WHY_REGIONS)
+
+
+def filled_sql(template: str) -> str:
+    return f"replace(replace(replace(replace({template}, '{{a}}', source_entity), '{{b}}', target_entity), '{{s}}', source_sector), '{{t}}', target_sector)"
+
+
+@query(f"""WITH {LINKS}, why(p1, p2, template) AS (VALUES {WHY_VALUES}), x AS (SELECT lk.*, least(strength * 10 + cooccurrence_count * 0.5 + source_diversity * 2, 100.0) AS s FROM lk),
+  top AS (SELECT * FROM x ORDER BY strength DESC, source_entity, target_entity LIMIT 200), e AS (SELECT source_entity, target_entity, a.doc_id, row_number() OVER (PARTITION BY source_entity, target_entity ORDER BY a.doc_id) AS rank FROM top JOIN doc a ON a.entity = source_entity JOIN doc b ON b.entity = target_entity AND a.doc_id = b.doc_id),
+  ex AS (SELECT source_entity, target_entity, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS examples FROM e WHERE rank <= 3 GROUP BY ALL)
   SELECT source_entity, target_entity, CAST(round(s, 2) AS DOUBLE) AS impact_score, CASE WHEN s >= 70 THEN 'high' WHEN s >= 40 THEN 'medium' ELSE 'low' END AS impact_level,
-  source_entity || ' (' || source_sector || ') and ' || target_entity || ' (' || target_sector || ') appear together in ' || cooccurrence_count || ' documents from ' || source_diversity || ' sources' AS explanation FROM x""")
+  source_entity || ' (' || source_sector || ') and ' || target_entity || ' (' || target_sector || ') appear together in ' || cooccurrence_count || ' documents from ' || source_diversity || ' sources' AS explanation,
+  {filled_sql("coalesce(f.template, r.template, '" + scoring.WHY_OTHERWISE + "')")} AS why_connected, round(strength, 2) AS relationship_strength, confidence, examples
+  FROM top LEFT JOIN why f ON f.p1 = source_sector AND f.p2 = target_sector LEFT JOIN why r ON r.p2 = source_sector AND r.p1 = target_sector JOIN ex USING (source_entity, target_entity)""")
 def links_explained(spark, d):
-    return scoring.explain_links(links_npmi(spark, d)).select("source_entity", "target_entity", "impact_score", "impact_level", "explanation")
+    top = stored(cooccur.top_links(calibrated(spark, d)), "top")
+    why = spark.createDataFrame(WHY_REGIONS, "p1 string, p2 string, template string")
+    out = scoring.explain_links(top, why, cooccur.link_documents(top, mentions(spark, d), 3))
+    return out.select("source_entity", "target_entity", "impact_score", "impact_level", "explanation", "why_connected", "evidence.relationship_strength", "evidence.confidence", F.array_join(F.col("evidence.examples").cast("array<string>"), ",").alias("examples"))
+
+
+def order_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """A vector for each order: that of its customer's number, in rounds of a hundred."""
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 100).alias("vec_id"))
+    return o.join(read(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id").select("doc_id", "embedding")
+
+
+SEMANTIC = f"""{LINKS}, top AS (SELECT * FROM links ORDER BY strength DESC, source_entity, target_entity LIMIT 200), ld AS (SELECT source_entity, target_entity, a.doc_id, row_number() OVER (PARTITION BY source_entity, target_entity ORDER BY a.doc_id) AS rank FROM top JOIN doc a ON a.entity = source_entity JOIN doc b ON b.entity = target_entity AND a.doc_id = b.doc_id),
+  lv AS (SELECT source_entity, target_entity, rank, embedding::DOUBLE[] AS v FROM ld JOIN orders ON o_orderkey = doc_id JOIN embeddings ON vec_id = o_custkey % 100 WHERE rank <= 20),
+  sem AS (SELECT x.source_entity, x.target_entity, round(avg(list_cosine_similarity(x.v, y.v)), 3) AS m FROM lv x JOIN lv y ON x.source_entity = y.source_entity AND x.target_entity = y.target_entity AND x.rank < y.rank GROUP BY ALL)"""
+
+
+@query(f"""WITH {SEMANTIC} SELECT source_entity, target_entity, coalesce(m, 0) AS semantic_similarity,
+  round(greatest(0.05, least(0.99, (least(CAST(cooccurrence_count * 0.25 + source_diversity * 0.15 AS DOUBLE), 1.0::DOUBLE) * 0.35::DOUBLE + least(coalesce(m, 0) * 1.5, 1.0::DOUBLE) * 0.15::DOUBLE + 0.5::DOUBLE * 0.1::DOUBLE + 0.5::DOUBLE * 0.1::DOUBLE) / 0.7::DOUBLE)), 3) AS confidence
+  FROM top LEFT JOIN sem USING (source_entity, target_entity)""")
+def links_semantic(spark, d):
+    """The strongest links with the likeness of their documents, and the confidence that this gives."""
+    top = stored(links_top(spark, d), "top")
+    return scoring.calibrate_links(cooccur.semantic_links(top, mentions(spark, d), order_vectors(spark, d))).select("source_entity", "target_entity", "semantic_similarity", "confidence")
+
+
+@query(f"WITH {MENTIONS}, {SECTORS}, {DOC}, {PAIRS} SELECT e1, e2, count(*) AS weight, any_value(s1.sector) <> any_value(s2.sector) AS cross_domain FROM pairs JOIN sectors s1 ON s1.entity = e1 JOIN sectors s2 ON s2.entity = e2 GROUP BY e1, e2")
+def pairs_flagged(spark, d):
+    return cooccur.flagged_pairs(cooccur.entity_pairs(mentions(spark, d)), sectors(spark, d))
 
 
 @query(f"WITH {LINKS} SELECT source_entity, target_entity, strength FROM links WHERE strength >= 0.41 ORDER BY strength DESC, source_entity, target_entity LIMIT 20")
@@ -202,8 +242,12 @@ VERDICT = "CASE WHEN verified THEN {}::DOUBLE WHEN NOT verified THEN {}::DOUBLE
   FROM links LEFT JOIN v USING (source_entity, target_entity)""")
 def links_verified(spark, d):
     links = links_npmi(spark, d)
-    verdicts = links.where("cooccurrence_count >= 20").select("source_entity", "target_entity", (F.col("source_diversity") == 5).alias("verified"), F.lit(0.9).alias("verdict_confidence"))
-    return scoring.calibrate_links(scoring.merge_verdicts(links, verdicts)).select("source_entity", "target_entity", "verified", "confidence")
+    return scoring.calibrate_links(scoring.merge_verdicts(links, verdicts_of(links))).select("source_entity", "target_entity", "verified", "confidence")
+
+
+def verdicts_of(links: DataFrame) -> DataFrame:
+    """Verdicts as a caller would bring them: on frequent links, true where five sources agree."""
+    return links.where("cooccurrence_count >= 20").select("source_entity", "target_entity", (F.col("source_diversity") == 5).alias("verified"), F.lit(0.9).alias("verdict_confidence"))
 
 
 @query(f"WITH {LINKS} SELECT source_entity, target_entity, strength FROM links WHERE (contains(lower(source_entity), '0001') OR contains(lower(target_entity), '0001')) AND (source_sector = 'ASIA' OR target_sector = 'ASIA')")
@@ -227,9 +271,9 @@ def entity_graph_centrality(spark, d):
     return graph.degree_centrality(graph.entity_graph(m), cooccur.important_entities(m))
 
 
-@query(f"WITH {LINKS} SELECT least(source_sector, target_sector) AS sector_1, greatest(source_sector, target_sector) AS sector_2, count(*) AS n_links, CAST(sum(cooccurrence_count) AS BIGINT) AS cooccurrences, round(avg(strength), 4) AS mean_strength FROM links GROUP BY 1, 2")
+@query(f"WITH {LINKS} SELECT least(source_sector, target_sector) AS sector_1, greatest(source_sector, target_sector) AS sector_2, count(*) AS n_links, CAST(sum(cooccurrence_count) AS BIGINT) AS cooccurrences, round(avg(strength), 4) AS mean_strength, round(avg(confidence), 4) AS mean_confidence FROM lk GROUP BY 1, 2")
 def sector_graph(spark, d):
-    return graph.sector_graph(links_npmi(spark, d))
+    return graph.sector_graph(calibrated(spark, d))
 
 
 LAGS = f"""{LINKS}, lp AS (SELECT source_entity AS e1, target_entity AS e2 FROM (SELECT * FROM links ORDER BY strength DESC, source_entity, target_entity LIMIT 200)), dated AS (SELECT DISTINCT entity, doc_id, ts FROM mentions),
@@ -295,6 +339,11 @@ def causal_summary(spark, d):
     return graph.graph_summary(causal(spark, d))
 
 
+@query(f"WITH {CGRAPH}, n AS (SELECT source AS node, 1 AS o, weight FROM cg UNION ALL SELECT target, 0, weight FROM cg) SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(1 - o) AS BIGINT) AS in_degree, round(avg(weight), 3) AS score FROM n GROUP BY node")
+def causal_nodes(spark, d):
+    return graph.node_list(causal(spark, d))
+
+
 @query(f"""WITH RECURSIVE {CGRAPH}, walk AS (SELECT node AS root, node, [node] AS path, CAST(0 AS DOUBLE) AS total, CAST([] AS VARCHAR[]) AS patterns FROM rt
     UNION ALL SELECT root, target, list_append(path, target), total + weight, list_append(patterns, pattern) FROM walk JOIN cg ON source = node WHERE len(path) <= 5 AND NOT list_contains(path, target)),
   best AS (SELECT *, row_number() OVER (PARTITION BY root, node ORDER BY len(path), path) AS r FROM walk)
@@ -304,7 +353,23 @@ def causal_chains(spark, d):
     return graph.shortest_chains(e, graph.roots(e))
 
 
-@query()
+def _twice(a: str, b: str) -> str:
+    """Cheapest ways (root, node, {d, h}) made of two ways of table a."""
+    return f"{b} AS (SELECT x.root, y.node, min({{'d': x.k.d + y.k.d, 'h': x.k.h + y.k.h}}) AS k FROM {a} x JOIN {a} y ON x.node = y.root GROUP BY ALL)"
+
+
+#: Up to 16 hops by doubling; the steps of a path are found by its costs.
+CHAINS = f"""{MENTIONS}, {SECTORS}, {DOC}, {PAIRS}, g AS (SELECT e1, e2, count(*) AS weight FROM pairs GROUP BY e1, e2), b AS (SELECT e1 AS u, e2 AS v, CAST(weight AS DOUBLE) AS c FROM g UNION ALL SELECT e2, e1, CAST(weight AS DOUBLE) FROM g),
+  d0 AS (SELECT u AS root, v AS node, {{'d': c, 'h': 1}} AS k FROM b UNION ALL SELECT DISTINCT u, u, {{'d': CAST(0 AS DOUBLE), 'h': 0}} FROM b), {_twice('d0', 'd1')}, {_twice('d1', 'd2')}, {_twice('d2', 'd3')}, {_twice('d3', 'ways')},
+  lead AS (SELECT entity, sector FROM (SELECT entity, sector, row_number() OVER (PARTITION BY sector ORDER BY count(*) DESC, entity) AS r FROM mentions JOIN sectors USING (entity) GROUP BY entity, sector) WHERE r <= 5),
+  prev AS (SELECT w.root, w.node, min(b.u) AS prev FROM ways w JOIN b ON b.v = w.node JOIN ways p ON p.root = w.root AND p.node = b.u WHERE w.root IN (SELECT entity FROM lead) AND p.k.d + b.c = w.k.d AND p.k.h + 1 = w.k.h GROUP BY ALL),
+  mine AS (SELECT w.root, w.node, w.k.d AS dist, w.k.h AS h FROM ways w JOIN lead s ON s.entity = w.root JOIN lead e ON e.entity = w.node WHERE s.sector < e.sector AND w.k.h BETWEEN 2 AND 3),
+  path AS (SELECT m.*, CASE WHEN h = 2 THEN [m.root, p.prev, m.node] ELSE [m.root, q.prev, p.prev, m.node] END AS path FROM mine m JOIN prev p ON p.root = m.root AND p.node = m.node JOIN prev q ON q.root = m.root AND q.node = p.prev),"""
+
+
+@query(f"""WITH {CHAINS} named AS (SELECT root, node, dist, path, unnest(path) AS entity, generate_subscripts(path, 1) AS i FROM path), line AS (SELECT dist, path, list(sector ORDER BY i) AS s FROM named JOIN sectors USING (entity) GROUP BY root, node, dist, path),
+  keyed AS (SELECT array_to_string(s, '->') AS chain_key, array_to_string(path, '->') AS chain, CAST(len(list_filter(list_zip(s[:-2], s[2:]), lambda x: x[1] <> x[2])) AS BIGINT) AS hops, dist AS total_weight FROM line),
+  r AS (SELECT *, row_number() OVER (PARTITION BY chain_key ORDER BY hops DESC, total_weight DESC, chain) AS r FROM keyed) SELECT chain_key, chain, hops, total_weight FROM r WHERE r = 1 ORDER BY hops DESC, total_weight DESC, chain_key LIMIT 50""")
 def impact_chains(spark, d):
     m, s = mentions(spark, d), sectors(spark, d)
     return graph.impact_chains(stored(cooccur.weighted_pairs(cooccur.entity_pairs(m)), "pairs"), s, cooccur.sector_map(m, s))
@@ -436,6 +501,13 @@ def alerts_relationships(spark, d):
     return signals.relationship_alerts(links, links.where("strength < 0.4"))
 
 
+@query(f"""WITH v AS (SELECT * FROM ({ORACLES['links_verified']}) q), {LINKS} SELECT 'high_confidence_relationship' AS type, 'high' AS severity, source_entity || ' <-> ' || target_entity AS title, v.confidence AS value FROM v JOIN links l USING (source_entity, target_entity) WHERE v.confidence >= 0.8 AND NOT (l.strength < 0.4)
+  UNION ALL SELECT 'verified_relationship', 'medium', source_entity || ' <-> ' || target_entity, v.confidence FROM v JOIN links l USING (source_entity, target_entity) WHERE v.confidence >= 0.7 AND v.verified AND NOT (l.strength < 0.4)""")
+def alerts_verified(spark, d):
+    links = stored(judged(spark, d), "links")
+    return signals.relationship_alerts(links, links.where("strength < 0.4"))
+
+
 @query(f"WITH {VELOCITY} SELECT 'velocity_spike' AS type, 'high' AS severity, entity AS title, acceleration AS value FROM velocity WHERE abs(acceleration) > 0.2 AND abs(velocity) > 0.5")
 def alerts_velocity(spark, d):
     return signals.velocity_alerts(velocity(spark, d), 0.2, 0.5)
@@ -590,6 +662,26 @@ def dedup_tfidf(spark, d):
     return dedup.tfidf_pairs(dedup.tfidf(articles(spark, d), "title")).withColumn("similarity", F.round("similarity", 6))
 
 
+@query(None)
+def dedup_tfidf_kept(spark, d):
+    """Rows that keep-first leaves by TF-IDF similarity."""
+    a = articles(spark, d)
+    gone = dedup.greedy_drops(stored(dedup.tfidf_pairs(dedup.tfidf(a, "title")), "pairs"))
+    return a.join(gone.withColumnRenamed("x", "doc_id").hint("shuffle_merge"), "doc_id", "left_anti").select("doc_id", "title")
+
+
+@query("SELECT count(*) AS n_before, (SELECT count(*) FROM (SELECT DISTINCT split_part(text, chr(10), 1) FROM documents)) AS n_exact FROM documents")
+def dedup_report(spark, d):
+    """Rows before and after the exact step; n_after, of the similarity step, has its test by brute force."""
+    return dedup.dedup_step(articles(spark, d))[1].select("n_before", "n_exact")
+
+
+@query(r"""WITH t AS (SELECT doc_id, split_part(text, chr(10), 1) AS t FROM documents), m AS (SELECT *, regexp_extract(t, '^([A-Za-z\s&][a-z\s&]*)[A-Z0-9]', 1) AS f FROM t), c AS (SELECT *, trim(f) AS c, trim(substring(t, length(trim(f)) + 1)) AS r FROM m)
+  SELECT doc_id, CASE WHEN f <> '' AND r <> '' THEN c END AS category, CASE WHEN f <> '' AND r <> '' THEN r ELSE coalesce(t, '') END AS rest FROM c""")
+def title_category(spark, d):
+    return articles(spark, d).select("doc_id", T.category(F.col("title")).alias("x")).select("doc_id", "x.category", "x.rest")
+
+
 # ---- ingest
 
 @query(r"""WITH c AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?s)<article\b[^>]*>(.*?)</article>', 1)) AS c FROM pages),
@@ -677,9 +769,13 @@ def sink_links(spark, d):
     return stored(ingest.link_export(links_npmi(spark, d)).select("Source Entity", "Target Entity", "Strength").toDF("s", "t", "x"), "sink").toDF("Source Entity", "Target Entity", "Strength")
 
 
-@query(f"WITH {LINKS} SELECT 'links' AS result, count(*) AS n FROM links UNION ALL SELECT 'sectors', count(*) FROM sectors")
+@query(f"WITH {LINKS} SELECT 'links' AS result, count(*) AS n, sum(cooccurrence_count)::BIGINT AS total FROM links UNION ALL SELECT 'sectors', count(*), NULL FROM sectors")
 def sink_bundle(spark, d):
-    return ingest.export_bundle({"links": links_npmi(spark, d), "sectors": sectors(spark, d)}).groupBy("result").agg(F.count("*").alias("n"))
+    """Results written a folder each and read back."""
+    path = f"{folder(spark)}/bundle-{uuid.uuid4().hex}"
+    ingest.write_bundle({"links": links_npmi(spark, d), "sectors": sectors(spark, d)}, path)
+    rows = ingest.read_bundle(spark, path, ["links", "sectors"])
+    return rows.groupBy("result").agg(F.count("*").alias("n"), F.sum(F.get_json_object("row", "$.cooccurrence_count").cast("long")).alias("total"))
 
 
 # ---- clusters and topics (languages stand for given clusters)
@@ -713,8 +809,11 @@ def topics_evolution(spark, d):
 @query(f"""WITH {ARTICLES}, w0 AS (SELECT *, CAST(floor((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM articles)) / 604800000000) AS BIGINT) AS window_id FROM articles), n AS (SELECT window_id, count(*) AS n_articles FROM w0 GROUP BY 1 HAVING count(*) >= 3),
   nl AS (SELECT *, lag(window_id) OVER (ORDER BY window_id) AS prev, lag(n_articles) OVER (ORDER BY window_id) AS pn FROM n), wd AS (SELECT window_id, trim(unnest(regexp_split_to_array(lower(text), '[ \\t\\n\\x0b\\f\\r]+')), '.,!?"''():;[]{{}}') AS word FROM w0),
   wc AS (SELECT window_id, word, count(*) AS n FROM wd WHERE length(word) >= 4 GROUP BY ALL), tp AS (SELECT *, n / sum(n) OVER (PARTITION BY window_id) AS share, row_number() OVER (PARTITION BY window_id ORDER BY n DESC, word) AS rank FROM wc QUALIFY rank <= 50),
-  bo AS (SELECT nl.window_id, count(*) FILTER (a.rank <= 20 AND b.rank <= 20) AS retained, sum(least(a.share, b.share)) AS overlap FROM nl JOIN tp a ON a.window_id = nl.window_id JOIN tp b ON b.window_id = prev AND b.word = a.word GROUP BY 1), sz AS (SELECT window_id, count(*) FILTER (rank <= 20) AS s FROM tp GROUP BY 1)
-  SELECT nl.window_id, n_articles, coalesce(retained, 0) AS retained, z.s - coalesce(retained, 0) AS emerged, y.s - coalesce(retained, 0) AS disappeared, round(100 * coalesce(retained, 0) / greatest(y.s, 1), 1) AS retention, round(1 - coalesce(overlap, 0), 4) AS drift, round(100 * (n_articles - pn) / pn, 1) AS growth
+  bo AS (SELECT nl.window_id, count(*) FILTER (a.rank <= 20 AND b.rank <= 20) AS retained, sum(least(a.share, b.share)) AS overlap FROM nl JOIN tp a ON a.window_id = nl.window_id JOIN tp b ON b.window_id = prev AND b.word = a.word GROUP BY 1), sz AS (SELECT window_id, count(*) FILTER (rank <= 20) AS s FROM tp GROUP BY 1), k20 AS (SELECT window_id, word FROM tp WHERE rank <= 20)
+  SELECT nl.window_id, n_articles, coalesce(retained, 0) AS retained, z.s - coalesce(retained, 0) AS emerged, y.s - coalesce(retained, 0) AS disappeared, round(100 * coalesce(retained, 0) / greatest(y.s, 1), 1) AS retention, round(1 - coalesce(overlap, 0), 4) AS drift, round(100 * (n_articles - pn) / pn, 1) AS growth,
+  coalesce((SELECT string_agg(a.word, ',' ORDER BY a.word) FROM k20 a JOIN k20 b ON b.word = a.word WHERE a.window_id = nl.window_id AND b.window_id = nl.prev), '') AS retained_words,
+  coalesce((SELECT string_agg(a.word, ',' ORDER BY a.word) FROM k20 a WHERE a.window_id = nl.window_id AND NOT EXISTS (SELECT 1 FROM k20 b WHERE b.window_id = nl.prev AND b.word = a.word)), '') AS emerged_words,
+  coalesce((SELECT string_agg(b.word, ',' ORDER BY b.word) FROM k20 b WHERE b.window_id = nl.prev AND NOT EXISTS (SELECT 1 FROM k20 a WHERE a.window_id = nl.window_id AND b.word = a.word)), '') AS disappeared_words
   FROM nl LEFT JOIN bo USING (window_id) LEFT JOIN sz z ON z.window_id = nl.window_id LEFT JOIN sz y ON y.window_id = prev WHERE prev IS NOT NULL""")
 def mutation(spark, d):
     return N.mutation(articles(spark, d))
@@ -806,9 +905,16 @@ def hybrid(spark, d):
 
 # ---- briefing
 
-@query(f"WITH {LINKS} SELECT count(*) AS total_links, count(*) FILTER (confidence >= 0.7) AS high_confidence, round(avg(confidence), 3) AS mean_confidence, round(avg(strength), 3) AS mean_strength FROM lk")
+@query(f"""WITH v AS (SELECT * FROM ({ORACLES['links_verified']}) q), {LINKS} SELECT count(*) AS total_links, count(*) FILTER (v.confidence >= 0.7) AS high_confidence, round(avg(v.confidence), 3) AS mean_confidence, round(avg(l.strength), 3) AS mean_strength,
+  count(*) FILTER (v.verified) AS verified, CAST(0 AS BIGINT) AS causal FROM v JOIN links l USING (source_entity, target_entity)""")
 def links_summary(spark, d):
-    return briefing.link_summary(calibrated(spark, d))
+    return briefing.link_summary(judged(spark, d).withColumn("causal_direction", F.lit(None).cast("string")))
+
+
+def judged(spark: SparkSession, d: str) -> DataFrame:
+    """Links with verdicts on the frequent ones, and the confidence that these give."""
+    links = stored(links_npmi(spark, d), "links")
+    return scoring.calibrate_links(scoring.merge_verdicts(links, verdicts_of(links)))
 
 
 SIDES = "sd AS (SELECT source_sector AS sector, target_sector AS partner, source_entity AS entity, confidence, strength, cooccurrence_count FROM lk UNION ALL SELECT target_sector, source_sector, target_entity, confidence, strength, cooccurrence_count FROM lk)"
@@ -831,14 +937,40 @@ def overall(spark, d):
     return briefing.overall(calibrated(spark, d))
 
 
-@query(f"WITH {LINKS} SELECT source_entity || ' and ' || target_entity || ' link ' || source_sector || ' with ' || target_sector AS finding, CASE WHEN confidence > 0.7 THEN 'high' ELSE 'medium' END AS significance, confidence FROM lk ORDER BY confidence DESC, cooccurrence_count DESC, source_entity, target_entity LIMIT 3")
+TOP_LINKS = """f3 AS (SELECT 'link' AS kind, 'Cross-domain activity: ' || source_sector || '-' || target_sector AS title, source_entity || ' and ' || target_entity || ' show ' || cooccurrence_count || ' co-occurrences across ' || source_diversity || ' sources.' AS description,
+  CASE WHEN confidence > 0.7 THEN 'high' ELSE 'medium' END AS significance, source_entity || ',' || target_entity AS entities, source_sector || ',' || target_sector AS sectors, confidence, row_number() OVER (ORDER BY confidence DESC, cooccurrence_count DESC, source_entity || ' ' || target_entity) - 1 AS i FROM (SELECT * FROM lk ORDER BY confidence DESC, cooccurrence_count DESC, source_entity, target_entity LIMIT 3) q)"""
+
+
+@query(f"""WITH {LINKS}, {TOP_LINKS}, ch AS (SELECT *, row_number() OVER (ORDER BY hops DESC, total_weight DESC, chain) + 2 AS i FROM ({ORACLES['impact_chains']}) q ORDER BY hops DESC, total_weight DESC, chain LIMIT 5)
+  SELECT CAST(i AS INTEGER) AS finding_index, kind, title, description, significance, entities, sectors, confidence FROM f3 UNION ALL
+  SELECT CAST(i AS INTEGER), 'chain', 'Impact chain: ' || replace(chain_key, '->', ' -> '), hops || ' hops, weight ' || CAST(total_weight AS BIGINT), 'medium', replace(chain, '->', ','), replace(chain_key, '->', ','), NULL FROM ch""")
 def findings(spark, d):
-    return briefing.findings(calibrated(spark, d))
+    return briefing.findings(calibrated(spark, d), impact_chains(spark, d))
 
 
-@query(f"WITH {LINKS}, f3 AS (SELECT confidence FROM lk ORDER BY confidence DESC, cooccurrence_count DESC, source_entity, target_entity LIMIT 3) SELECT count(*) AS n_findings, round(avg(confidence), 3) AS mean_confidence, CASE WHEN round(avg(confidence), 3) > 0.5 THEN 'medium' ELSE 'low' END AS quality FROM f3")
+JUDGED = f"""jv AS (SELECT * FROM ({ORACLES['links_verified']}) q), cs AS (SELECT count(*) AS n_links, count(*) FILTER (verified) AS n_verified, round(count(*) FILTER (verified) / count(*), 4) AS verified_share, round(avg(confidence), 3) AS mean_confidence,
+  CASE WHEN avg(confidence) > 0.5 THEN 'medium' ELSE 'low' END AS quality, 'Only ' || count(*) FILTER (verified) || '/' || count(*) || ' relationships LLM-verified' AS gap FROM jv)"""
+
+
+@query(f"WITH {JUDGED} SELECT * FROM cs")
+def critic_statistics(spark, d):
+    return briefing.critic_statistics(judged(spark, d))
+
+
+@query(f"WITH {JUDGED}, {LINKS}, {TOP_LINKS} SELECT CAST(i AS INTEGER) AS finding_index, title, 'Finding based on correlation, not proven causation' AS issue, 'medium' AS severity, i < 3 AS key_development, quality, gap FROM f3, cs")
 def critique(spark, d):
-    return briefing.critique(findings(spark, d))
+    return briefing.critique(briefing.findings(calibrated(spark, d)), judged(spark, d))
+
+
+@query(f"WITH {JUDGED}, {LINKS}, {TOP_LINKS} SELECT 'Analysis of ' || (SELECT count(*) FROM f3) || ' intelligence findings. Key sectors: ' || (SELECT string_agg(DISTINCT s, ', ' ORDER BY s) FROM (SELECT unnest(string_split(sectors, ',')) AS s FROM f3)) || '. Confidence quality: ' || quality || '.' AS briefing FROM cs")
+def agent_briefing(spark, d):
+    return briefing.agent_briefing(stored(briefing.findings(calibrated(spark, d)), "findings"), judged(spark, d))
+
+
+@query(f"""WITH v AS (SELECT * FROM ({ORACLES['links_verified']}) q), st AS (SELECT * FROM ({ORACLES['sector_situation']}) q) SELECT 'Intelligence assessment covering ' || (SELECT count(*) FROM v) || ' cross-domain relationships across ' || (SELECT count(*) FROM st WHERE status = 'active') || ' active sectors. ' ||
+  (SELECT count(*) FROM v WHERE confidence >= 0.7) || ' high-confidence connections identified, ' || (SELECT count(*) FROM v WHERE verified) || ' LLM-verified. Primary intelligence activity detected in: ' || coalesce((SELECT array_to_string(list(sector ORDER BY sector)[1:4], ', ') FROM st WHERE status = 'active'), '') || '.' AS summary""")
+def executive_summary(spark, d):
+    return briefing.executive_summary(judged(spark, d), sector_situation(spark, d))
 
 
 @query(f"WITH {LINKS}, {SIDES} SELECT sector, entity, round(sum(strength), 3) AS total_strength, count(*) AS n_links FROM sd GROUP BY sector, entity")
@@ -846,11 +978,17 @@ def explorer_entities(spark, d):
     return briefing.explorer_entities(calibrated(spark, d))
 
 
-@query(f"WITH {LINKS}, {SIDES} SELECT entity, round(avg(strength), 8) AS mean_strength, max(strength) AS max_strength, count(*) AS n_links FROM sd GROUP BY entity")
+@query(f"""WITH {LINKS}, ends AS (SELECT source_entity AS entity, target_entity AS other, strength FROM lk UNION ALL SELECT target_entity, source_entity, strength FROM lk), r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY strength DESC, other) AS r FROM ends)
+  SELECT entity, round(avg(strength), 8) AS mean_strength, max(strength) AS max_strength, max(CASE WHEN r = 1 THEN other END) AS strongest, count(*) AS n_links FROM r GROUP BY entity""")
 def explorer_stats(spark, d):
     return briefing.entity_stats(calibrated(spark, d))
 
 
+@query(f"WITH {LINKS}, {SIDES}, t AS (SELECT sector FROM sd GROUP BY sector ORDER BY count(*) DESC, sector LIMIT 4), c AS (SELECT sector, count(*) AS n FROM sd GROUP BY sector) SELECT count(DISTINCT entity) AS n_entities, count(DISTINCT sector) AS n_sectors, (SELECT string_agg(sector, ',' ORDER BY n DESC, sector) FROM t JOIN c USING (sector)) AS top_sectors FROM sd")
+def explorer_totals(spark, d):
+    return briefing.explorer_totals(calibrated(spark, d))
+
+
 def top(name: str, columns: str, order: str, n: int) -> str:
     """The first n rows of another query's twin."""
     return f"(SELECT {columns} FROM ({ORACLES[name]}) q ORDER BY {order} LIMIT {n})"
@@ -868,15 +1006,19 @@ def predictions(spark, d):
     return briefing.predictions(scoring.predict_impact(calibrated(spark, d), patterns), phase_transitions(spark, d))
 
 
-@query(None)
+@query(f"""WITH e AS (SELECT 'link' AS kind, source_entity || ' - ' || target_entity AS item, least(strength / 30, 1.0) AS value FROM ({ORACLES['links_npmi']}) q
+  UNION ALL SELECT 'signal', keyword, least(score / 100, 1.0) FROM ({ORACLES['keyword_spike']}) q UNION ALL SELECT 'signal', CAST(entity AS VARCHAR), least(score / 100, 1.0) FROM ({ORACLES['entity_spike']}) q
+  UNION ALL SELECT 'topic', topic, least(abs(acceleration) / 10, 1.0) FROM ({ORACLES['emerging']}) q UNION ALL SELECT 'chain', chain, least(total_weight / 100, 1.0) FROM ({ORACLES['impact_chains']}) q),
+  r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY value DESC, item) AS r FROM e) SELECT kind, item, CAST(round(value, 4) AS DOUBLE) AS value FROM r WHERE r <= 10 ORDER BY value DESC, kind, item LIMIT 30""")
 def feed(spark, d):
-    spikes = signals.keyword_spikes(articles(spark, d)).unionByName(signals.entity_spikes(event_mentions(spark, d), min_burst=1.2), allowMissingColumns=True)
-    return briefing.discovery_feed(calibrated(spark, d), spikes, emerging(spark, d))
+    spikes = keyword_spike(spark, d).unionByName(entity_spike(spark, d), allowMissingColumns=True)
+    return briefing.discovery_feed(links_npmi(spark, d), spikes, emerging(spark, d), impact_chains(spark, d))
 
 
-@query(f"SELECT * FROM (SELECT 'entity' AS kind, CAST(entity AS VARCHAR) AS topic, acceleration, phase FROM ({ORACLES['entity_narratives']}) q UNION ALL SELECT 'cluster', CAST(cluster AS VARCHAR), acceleration, phase FROM ({ORACLES['cluster_narratives']}) q) ORDER BY abs(acceleration) DESC, kind, topic LIMIT 25")
+@query(f"""SELECT * FROM (SELECT * FROM (SELECT 'entity' AS kind, CAST(entity AS VARCHAR) AS topic, acceleration, phase FROM ({ORACLES['entity_narratives']}) q UNION ALL SELECT 'cluster', CAST(cluster AS VARCHAR), acceleration, phase FROM ({ORACLES['cluster_narratives']}) q) ORDER BY abs(acceleration) DESC, kind, topic LIMIT 25)
+  UNION ALL SELECT * FROM (SELECT 'chain', chain, NULL, NULL FROM ({ORACLES['impact_chains']}) q ORDER BY hops DESC, total_weight DESC, chain LIMIT 10)""")
 def timeline(spark, d):
-    return briefing.timeline(entity_narratives(spark, d), cluster_narratives(spark, d))
+    return briefing.timeline(entity_narratives(spark, d), cluster_narratives(spark, d), impact_chains(spark, d))
 
 
 @query("WITH s AS (SELECT source, CASE WHEN contains(text, '!!') THEN 1.0 ELSE 0.0 END AS s, CASE WHEN contains(text, '$$$') THEN 1.0 ELSE 0.0 END AS c, CASE WHEN contains(text, '?') THEN 1.0 ELSE 0.0 END AS e FROM documents) SELECT source, count(*) AS n_articles, round(avg(s), 4) AS sensationalism, round(avg(c), 4) AS clickbait, round(avg(e), 4) AS emotional, round(100 - 200 * avg(s) - 100 * avg(c) - 50 * avg(e), 2) AS score FROM s GROUP BY source")
@@ -968,10 +1110,10 @@ def stream_dedup(spark, d):
     return _drained(streams.dedup_stream(e, "90 days").select("title", "source"), "dedup")
 
 
-@query(f"WITH {LINKS}, pat(p1, p2, l, t, e) AS (VALUES {REGION_VALUES}) SELECT source_entity, target_entity, coalesce(e, 'Cross-domain propagation between ' || source_sector || ' and ' || target_sector) AS effect FROM links LEFT JOIN pat ON (p1 = source_sector AND p2 = target_sector) OR (p2 = source_sector AND p1 = target_sector)")
+@query(f"WITH {LINKS}, pat(p1, p2, l, t, e) AS (VALUES {REGION_VALUES}) SELECT source_entity, target_entity, coalesce(e, 'Cross-domain propagation between ' || source_sector || ' and ' || target_sector || ';Secondary effects in connected sectors;Potential narrative amplification across sources') AS effects FROM links LEFT JOIN pat ON (p1 = source_sector AND p2 = target_sector) OR (p2 = source_sector AND p1 = target_sector)")
 def links_downstream(spark, d):
     effects = spark.createDataFrame([(a, b, [e]) for a, b, _, _, e in REGIONS], "p1 string, p2 string, effects array<string>")
-    return scoring.downstream_effects(links_npmi(spark, d), effects).select("source_entity", "target_entity", F.col("downstream")[0].alias("effect"))
+    return scoring.downstream_effects(links_npmi(spark, d), effects).select("source_entity", "target_entity", F.array_join("downstream", ";").alias("effects"))
 
 
 @query(f"WITH {NARR} SELECT entity, entity || ' is ' || phase || ': ' || total_mentions || ' mentions, ' || recent_7_days || ' of them recent' AS sentence FROM narr")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -156,6 +158,17 @@ def export_bundle(results: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def write_bundle(results: dict[str, DataFrame], path: str) -> None:
+    """Each result as JSON lines in a folder of its own; a result is replaced as a whole."""
+    for name, df in results.items():
+        write_result(df, f"{path}/{name}")
+
+
+def read_bundle(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """(result, row) of the named results that write_bundle wrote."""
+    return reduce(DataFrame.unionByName, (spark.read.text(f"{path}/{name}").select(F.lit(name).alias("result"), F.col("value").alias("row")) for name in names))
+
+
 def export_links_csv(links: DataFrame, path: str) -> None:
     link_export(links).write.mode("overwrite").csv(path, header=True)
 

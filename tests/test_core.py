@@ -122,8 +122,119 @@ def test_dedup(spark):
 
 def test_paths(spark):
     edges = spark.createDataFrame([("a", "b", 5), ("b", "c", 1), ("a", "c", 9), ("c", "d", 1)], "e1 string, e2 string, weight long")
-    out = {r.node: (r.dist, r.path) for r in graph.shortest_weighted_paths(edges, spark.createDataFrame([("a",)], "node string")).collect()}
-    assert out["d"] == (7.0, ["a", "b", "c", "d"]) and out["c"][0] == 6.0
+    labels = graph.shortest_weighted_paths(edges, spark.createDataFrame([("a",)], "node string"))
+    out = {r.node: (r.dist, r.path) for r in labels.join(graph.traced(labels, labels, 3).drop("root"), "node").collect()}
+    assert out["d"] == (7.0, ["a", "b", "c", "d"]) and out["c"][0] == 6.0 and out["a"] == (0.0, ["a"])
+    assert {r.node: r.dist for r in graph.shortest_weighted_paths(edges, spark.createDataFrame([("a",)], "node string"), max_hops=1).collect()} == {"a": 0.0, "b": 5.0, "c": 9.0}
+
+
+def test_paths_against_brute_force(spark):
+    """A random graph of 200 nodes: costs, hops and the path by (cost, hops, name of the node before)."""
+    rng = random.Random(7)
+    names = [f"n{i:03}" for i in range(200)]
+    weights = {}
+    for i in range(1, 190):
+        for j in {rng.randrange(i), rng.randrange(i)}:
+            weights[names[j], names[i]] = rng.randint(1, 9)
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in weights.items()], "e1 string, e2 string, weight long")
+    roots = ["n000", "n150", "n199"]
+    labels = graph.shortest_weighted_paths(edges, spark.createDataFrame([(r,) for r in roots], "node string"))
+    around = {}
+    for (a, b), w in weights.items():
+        around.setdefault(a, {})[b] = w
+        around.setdefault(b, {})[a] = w
+    want = {}
+    for root in roots:
+        best = {root: (0, 0)}
+        for _ in range(200):
+            for u in list(best):
+                for v, w in around.get(u, {}).items():
+                    best[v] = min(best.get(v, (10**9, 0)), (best[u][0] + w, best[u][1] + 1))
+        for v, (dist, hops) in best.items():
+            path = [v]
+            while path[0] != root:
+                d, h = best[path[0]]
+                path.insert(0, min(u for u, w in around[path[0]].items() if u in best and best[u] == (d - w, h - 1)))
+            want[root, v] = (float(dist), hops, path)
+    deepest = max(h for _, h, _ in want.values())
+    paths = {(r.root, r.node): r.path for r in graph.traced(labels, labels, deepest).collect()}
+    assert {(r.root, r.node): (r.dist, r.hops, paths[r.root, r.node]) for r in labels.collect()} == want
+    with pytest.raises(RuntimeError, match="still fall"):
+        graph.shortest_weighted_paths(edges, spark.createDataFrame([("n000",)], "node string"), max_rounds=2)
+
+
+def test_summary_keeps_the_best_sentences(spark):
+    long_ = "Cats sleep daily. Dogs bark at cats and dogs. Rain fell once. Cats and dogs sleep while cats dream! Nothing else?"
+    rows = [(1, long_), (2, "One. Two."), (3, None), (4, ""), (5, "Short. A. B. C. D.")]
+    out = {r.doc_id: r.summary for r in T.summary(spark.createDataFrame(rows, "doc_id long, text string"), keep=2).collect()}
+    assert out[2] == "One. Two." and out[3] == out[4] == "" and out[5] == "Short. A. B. C. D."
+
+    import re
+    from collections import Counter
+
+    parts = re.split(r"(?<=[.!?])\s+", long_)
+    words = [[w for w in re.findall("[a-z]+", p.lower()) if len(w) > 2] for p in parts]
+    f = Counter(w for ws in words for w in ws)
+    score = [-sum(f[w] for w in ws) / len(ws) for ws in words]
+    first = sorted(sorted(range(len(parts)), key=lambda i: (score[i], i))[:2])
+    assert out[1] == " ".join(parts[i] for i in first)
+
+
+def test_kmeans_topics_find_planted_groups(spark):
+    from sparkloom.operators import narratives
+
+    rng = random.Random(1)
+    rows = [(10 * g + i, [100.0 * g + rng.random(), 50.0 * g + rng.random()]) for g in range(3) for i in range(6)] + [(99, [-900.0, 900.0])]
+    out = {r.id: r.cluster for r in narratives.cluster_vectors(spark.createDataFrame(rows, "id long, embedding array<double>"), 4).collect()}
+    assert out[99] == -1 and len({out[10 * g] for g in range(3)} - {-1}) == 3
+    assert all(out[10 * g + i] == out[10 * g] for g in range(3) for i in range(6))
+
+
+def test_column_profile(spark):
+    df = spark.createDataFrame([(i, f"k{i % 3}", f"name {i}", None) for i in range(200)], "id long, kind string, name string, none string")
+    out = {r.column: (r.distinct_values, r.categorical) for r in ingest.categorical_profile(df).collect()}
+    assert out["kind"] == (3, True) and out["none"][1] and not out["name"][1] and 170 < out["name"][0] < 230 and "id" not in out
+    assert ingest.drop_temporary(spark.createDataFrame([(1, 2, 3)], "a int, b_tmp int, c_tmp int"), keep=("c_tmp",)).columns == ["a", "c_tmp"]
+
+
+def test_feed_takes_each_kind_by_its_own_scale(spark):
+    from sparkloom.operators import briefing
+
+    links = spark.createDataFrame([("a", "b", 0.9), ("c", "d", 60.0)], "source_entity string, target_entity string, strength double")
+    spikes = spark.createDataFrame([("k", None, 250.0), (None, "e", 50.0)], "keyword string, entity string, score double")
+    topics = spark.createDataFrame([("t", -5)], "topic string, acceleration long")
+    chains = spark.createDataFrame([("x->y->z", 40.0)], "chain string, total_weight double")
+    out = [tuple(r) for r in briefing.discovery_feed(links, spikes, topics, chains, per_kind=2, top=5).collect()]
+    assert out == [("link", "c - d", 1.0), ("signal", "k", 1.0), ("signal", "e", 0.5), ("topic", "t", 0.5), ("chain", "x->y->z", 0.4)]
+
+
+def test_dedup_step_and_its_report(spark):
+    titles = ["the same headline about rain"] * 2 + ["the same headline about rains"] + [f"{c * 9} words of its own" for c in "abcdefghijk"]
+    df = spark.createDataFrame(list(enumerate(titles)), "doc_id long, title string")
+    out, report = dedup.dedup_step(df)
+    assert sorted(r.doc_id for r in out.collect()) == [0, *range(3, 14)] and tuple(report.first()) == (14, 13, 12)
+    few, report = dedup.dedup_step(df.limit(3))
+    assert few.count() == 2 and tuple(report.first()) == (3, 2, 2)
+
+
+def test_explanations_and_defaults(spark):
+    one = link(spark).withColumn("confidence", F.lit(0.8125))
+    examples = spark.createDataFrame([("nvidia", "federal reserve", i, 100 - i) for i in range(1, 6)], "source_entity string, target_entity string, rank int, doc_id long")
+    r = scoring.explain_links(one, scoring.why_table(spark), examples).first()
+    assert r.why_connected == "Capital markets and investment flows (nvidia) fund or constrain technology development (federal reserve)."
+    assert r.evidence.asDict() == {"cooccurrence_count": 5, "source_diversity": 3, "relationship_strength": 0.75, "confidence": 0.813, "examples": [99, 98, 97]}
+    odd = scoring.explain_links(link(spark, source_sector="x{b}", target_sector="y"), scoring.why_table(spark)).first()
+    assert odd.why_connected.startswith("Entities in x{b} and y are connected") and odd.evidence.examples == []
+    plain = scoring.downstream_effects(one, spark.createDataFrame([], "p1 string, p2 string, effects array<string>")).first().downstream
+    assert plain == ["Cross-domain propagation between technology and finance", "Secondary effects in connected sectors", "Potential narrative amplification across sources"]
+
+
+def test_bundle_of_folders(spark, tmp_path):
+    results = {"links": link(spark), "none": link(spark).limit(0)}
+    ingest.write_bundle(results, str(tmp_path))
+    ingest.write_bundle(results, str(tmp_path))
+    rows = ingest.read_bundle(spark, str(tmp_path), ["links", "none"]).collect()
+    assert len(rows) == 1 and rows[0].result == "links" and '"source_entity":"nvidia"' in rows[0].row
 
 
 def test_search(spark):
