@@ -25,28 +25,44 @@ def lag_samples(mentions: DataFrame, pairs: DataFrame, min_hours: float = 6, max
     return hit.select("e1", "e2", "ahead", (gap / 3_600_000_000).alias("lag_hours"))
 
 
+#: Stretches of a bucket that are summed up on their own.
+STRETCHES = 64
+
+
 def lag_sums(mentions: DataFrame, pairs: DataFrame, min_hours: float = 6, max_days: int = 14) -> DataFrame:
     """e1, e2, n1, n2, l1, l2: how many lags there are ahead and behind, and their means in hours.
 
     The lags of lag_samples are added up without being made.  In the order of time, a mention of
     the one end opens min_hours after itself and closes after max_days; each mention of the other
     end adds what is open: running sums over a bucket of one pair, linear in its mentions.
+
+    Mentions of one entity at one time are one row with a count.  A bucket is cut into STRETCHES
+    by time: what is open before a stretch is the sum of those before it, so no task needs a hot
+    pair's whole bucket.
     """
     low, width = int(min_hours * 3_600_000_000), max_days * 86_400_000_000
-    m = stored(per_document(mentions).where(F.col("ts").isNotNull()).select("entity", F.unix_micros("ts").alias("t")), "lag-times")
+    m = per_document(mentions).where(F.col("ts").isNotNull()).groupBy("entity", F.unix_micros("ts").alias("t")).agg(F.count("*").alias("c"))
+    m = stored(m, "lag-times")
     way = pairs.select("e1", "e2", F.explode(F.array(F.struct(F.lit(True).alias("ahead"), F.col("e1").alias("a"), F.col("e2").alias("b")), F.struct(F.lit(False).alias("ahead"), F.col("e2").alias("a"), F.col("e1").alias("b")))).alias("w"))
     way = stored(way.select("e1", "e2", "w.*"), "lag-ways")
     bucket = F.floor(F.col("t") / width)
     # Times count from the bucket's beginning, so that their sums stay small; closing comes after what it still covers.
     from_ = (F.col("t") - F.col("bucket") * width).alias("at")
-    a = way.join(m.withColumnRenamed("entity", "a").hint("shuffle_merge"), "a").select("e1", "e2", "ahead", "t", F.explode(F.array(bucket, bucket + 1)).alias("bucket")).select("e1", "e2", "ahead", "bucket", from_)
-    step = lambda time, rank, sign: F.struct(time.alias("time"), F.lit(rank).alias("rank"), F.lit(sign).alias("n"), (F.col("at") * sign).alias("sum"))
-    a = a.select("e1", "e2", "ahead", "bucket", F.explode(F.array(step(F.col("at") + low, 0, 1), step(F.col("at") + width, 2, -1))).alias("s"))
-    b = way.join(m.withColumnRenamed("entity", "b").hint("shuffle_merge"), "b").withColumn("bucket", bucket).select("e1", "e2", "ahead", "bucket", from_).select("e1", "e2", "ahead", "bucket", step(F.col("at"), 1, 0).alias("s"))
-    so_far = Window.partitionBy("e1", "e2", "ahead", "bucket").orderBy("time", "rank").rowsBetween(Window.unboundedPreceding, 0)
-    every = a.unionByName(b).select("e1", "e2", "ahead", "bucket", "s.*").withColumn("open", F.sum("n").over(so_far)).withColumn("opened", F.sum("sum").over(so_far))
-    lag = (F.col("time") * F.col("open") - F.col("opened")).cast("decimal(38,0)")
-    s = every.where((F.col("rank") == 1) & (F.col("open") > 0)).groupBy("e1", "e2").agg(*(x for i, way_ in ((1, F.col("ahead")), (2, ~F.col("ahead"))) for x in (F.coalesce(F.sum(F.when(way_, F.col("open"))), F.lit(0)).alias(f"n{i}"), F.sum(F.when(way_, lag)).cast("double").alias(f"s{i}"))))
+    a = way.join(m.withColumnRenamed("entity", "a").hint("shuffle_merge"), "a").select("e1", "e2", "ahead", "t", "c", F.explode(F.array(bucket, bucket + 1)).alias("bucket")).select("e1", "e2", "ahead", "bucket", "c", from_)
+    step = lambda time, rank, sign: F.struct(time.alias("time"), F.lit(rank).alias("rank"), (F.col("c") * sign).alias("n"), (F.col("at") * F.col("c") * sign).alias("sum"))
+    a = a.select("e1", "e2", "ahead", "bucket", "c", F.explode(F.array(step(F.col("at") + low, 0, 1), step(F.col("at") + width, 2, -1))).alias("s"))
+    b = way.join(m.withColumnRenamed("entity", "b").hint("shuffle_merge"), "b").withColumn("bucket", bucket).select("e1", "e2", "ahead", "bucket", "c", from_).select("e1", "e2", "ahead", "bucket", "c", step(F.col("at"), 1, 0).alias("s"))
+    one = ["e1", "e2", "ahead", "bucket"]
+    every = a.unionByName(b).select(*one, "c", "s.*").withColumn("stretch", F.floor(F.col("time") * STRETCHES / width).cast("int"))
+    every = stored(every, "lag-steps")
+    totals = every.groupBy(*one, "stretch").agg(F.sum("n").alias("n0"), F.sum("sum").alias("sum0"))
+    before = Window.partitionBy(*one).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)  # a row a stretch
+    starts = totals.select(*one, "stretch", F.coalesce(F.sum("n0").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("sum0").over(before), F.lit(0)).alias("sum0"))
+    so_far = Window.partitionBy(*one, "stretch").orderBy("time", "rank").rowsBetween(Window.unboundedPreceding, 0)
+    within = every.withColumn("open", F.sum("n").over(so_far)).withColumn("opened", F.sum("sum").over(so_far)).where("rank = 1")
+    within = within.join(stored(starts, "lag-starts").hint("shuffle_merge"), [*one, "stretch"]).withColumn("open", F.col("open") + F.col("n0")).withColumn("opened", F.col("opened") + F.col("sum0"))
+    lag = F.col("c") * (F.col("time") * F.col("open") - F.col("opened")).cast("decimal(37,0)")
+    s = within.where("open > 0").groupBy("e1", "e2").agg(*(x for i, way_ in ((1, F.col("ahead")), (2, ~F.col("ahead"))) for x in (F.coalesce(F.sum(F.when(way_, F.col("c") * F.col("open"))), F.lit(0)).alias(f"n{i}"), F.sum(F.when(way_, lag)).cast("double").alias(f"s{i}"))))
     return s.select("e1", "e2", "n1", "n2", *(F.try_divide(F.col(f"s{i}") / 3_600_000_000, F.col(f"n{i}")).alias(f"l{i}") for i in (1, 2)))
 
 

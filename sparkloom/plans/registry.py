@@ -13,7 +13,7 @@ from sparkloom.functions import text as T
 from sparkloom.operators import briefing, cooccur, dedup, graph, lag, scoring, search, signals, trends, vector_index
 from sparkloom.operators import narratives as N
 from sparkloom.plans.bindings import ARTICLES, EVENTS, MENTIONS, SECTORS, articles, event_mentions, mentions, read, sectors
-from sparkloom.sources import ingest
+from sparkloom.sources import ingest, keyed
 from sparkloom.sources.scratch import folder, side, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -390,6 +390,17 @@ def graph_upsert(spark, d):
     return graph.upsert(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), ["o_custkey"], "o_orderkey")
 
 
+@query("SELECT o_custkey, o_orderkey, o_orderstatus, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r = 1")
+def table_upsert(spark, d):
+    """The same upsert into a table on disk, in three merges that rewrite the buckets they touch."""
+    path = f"{folder(spark)}/keyed-{uuid.uuid4().hex}"
+    o = read(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate")
+    keyed.create(spark, path)
+    for i in (2, 0, 1):
+        keyed.merge(spark, path, o.where(f"o_orderkey % 3 = {i}"), ["o_custkey"], "o_orderkey", 16)
+    return keyed.read(spark, path, "o_custkey long, o_orderkey long, o_orderstatus string, o_orderdate " + dict(o.dtypes)["o_orderdate"])
+
+
 # ---- time series
 
 @query(f"WITH {EVENTS}, {DAILY} SELECT * FROM daily")
