@@ -2,8 +2,8 @@
 
 The builder closes tags that HTML implies (p, li, dt, dd, option, tr, td, th, table sections),
 knows void and raw-text elements, and decodes character references.  The renderer emits all
-visible text: hidden elements (head, script, style, template, the hidden attribute,
-display:none, visibility:hidden, closed dialogs, fallback content of media) are skipped; blocks
+visible text (`visibility`): what style sheets and attributes hide, elements that never show,
+closed dialogs and details, and options of a closed list but the chosen one are left out; blocks
 stand on lines of their own, paragraphs, headings and tables between blank lines; list items
 carry their mark and indent; table cells stand in the columns that colspan and rowspan give
 them, padded to their column's width; pre keeps its white space.
@@ -29,10 +29,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.visibility import attributes, prune
+
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template title meta link base noframes noembed iframe object datalist param source track area map audio video canvas desc metadata defs symbol annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body center details dialog dd dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p pre search section summary table ul".split()
@@ -59,9 +60,6 @@ MARKUP = re.compile(
 )
 # Parts of a table that hold its rows; a form between them leaves them in the table.
 SECTIONS = frozenset("tbody thead tfoot colgroup form".split())
-ATTR = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>\"'][^\s>]*+))?)?")
-HINT = re.compile(r"hidden|style", re.I)
-HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 START = re.compile(r"\s*(-?\d{1,9})")
 RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 SPAN = re.compile(r"\s*\+?(\d{1,9})")
@@ -73,10 +71,10 @@ P_STOPS = BLOCK | {"td", "th", "button"}
 
 
 class Node:
-    __slots__ = ("attrs", "kids", "tag")
+    __slots__ = ("attrs", "kids", "tag", "up")
 
     def __init__(self, tag: str, attrs: str = "") -> None:
-        self.tag, self.attrs, self.kids = tag, attrs, []
+        self.tag, self.attrs, self.kids, self.up = tag, attrs, [], None
 
 
 class Stack:
@@ -160,24 +158,6 @@ def build(page: str) -> Node:
     return root
 
 
-def attributes(raw: str) -> dict[str, str]:
-    """Names in lower case with their values; the first of a name counts."""
-    found: dict[str, str] = {}
-    for m in ATTR.finditer(raw):
-        if m[1]:
-            found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
-    return found
-
-
-def visible(node: Node) -> bool:
-    if node.tag in HIDDEN or node.tag == "dialog" and "open" not in attributes(node.attrs):
-        return False
-    if not node.attrs or not HINT.search(node.attrs):
-        return True
-    named = attributes(node.attrs)
-    return named.get("hidden", "until-found").strip().lower() == "until-found" and not HIDES.search(named.get("style", ""))
-
-
 class Page:
     """Lines of text under way: inline text gathers in a buffer until a block breaks it."""
 
@@ -224,8 +204,6 @@ def render(kids: list, page: Page, pre: bool = False) -> Steps:
         if isinstance(kid, str):
             kid = kid.replace("\x00", "").replace("\x01", "").replace("\x02", "")
             page.buffer.append(kid.replace(" ", "\x01").replace("\t", "\x01" * 4).replace("\r\n", "\x02").replace("\n", "\x02") if pre else kid)
-        elif not visible(kid):
-            continue
         elif kid.tag == "br":
             page.buffer.append("\x00")
         elif kid.tag == "img":
@@ -247,15 +225,17 @@ def render(kids: list, page: Page, pre: bool = False) -> Steps:
 
 
 def items(node: Node, page: Page) -> Steps:
-    start = START.match(attributes(node.attrs).get("start", "")) if node.tag == "ol" else None
-    number, outer = int(start[1]) if start else 1, page.rest
+    named, outer = attributes(node.attrs) if node.tag == "ol" else {}, page.rest
+    step = -1 if "reversed" in named else 1
+    start = START.match(named.get("start", ""))
+    number = int(start[1]) if start else 1 if step > 0 else sum(isinstance(k, Node) and k.tag == "li" for k in node.kids)
     for kid in node.kids:
         if isinstance(kid, Node) and kid.tag == "li":
-            if not visible(kid):
-                continue
+            own = START.match(attributes(kid.attrs).get("value", "")) if node.tag == "ol" and kid.attrs else None
+            number = int(own[1]) if own else number
             page.flush()
             mark = f"{number}. " if node.tag == "ol" else "- "
-            number += 1
+            number += step
             page.first, page.rest = outer + mark, (outer + " " * len(mark))[:MAX_INDENT]
             yield render(kid.kids, page)
             page.flush()
@@ -275,11 +255,9 @@ def parts_of(node: Node) -> tuple[list[Node], list]:
         elif isinstance(kid, str):
             strays.append(kid)
         elif kid.tag == "tr":
-            if visible(kid):
-                rows.append(kid)
+            rows.append(kid)
         elif kid.tag in SECTIONS:
-            if visible(kid):
-                todo.append(iter(kid.kids))
+            todo.append(iter(kid.kids))
         else:
             strays.append(kid)
     return rows, strays
@@ -318,8 +296,6 @@ def table(node: Node, page: Page) -> Steps:
         busy = [x for x in busy if x[2] > number]
         for cell in tr.kids:
             if isinstance(cell, Node):
-                if not visible(cell):
-                    continue
                 inner = Page()
                 yield render(cell.kids if cell.tag in ("td", "th") else [cell], inner)
                 inner.flush()
@@ -367,7 +343,7 @@ def free(tree: Node) -> None:
     while todo:
         node = todo.pop()
         todo += [kid for kid in node.kids if isinstance(kid, Node)]
-        node.kids = []
+        node.kids, node.up = [], None
 
 
 def text_of(page: str | None) -> str | None:
@@ -375,6 +351,7 @@ def text_of(page: str | None) -> str | None:
         return None
     out = Page()
     tree = build(page)
+    prune(tree)
     run(render(tree.kids, out))
     out.flush()
     free(tree)

@@ -100,3 +100,86 @@ def test_deep_and_broken_pages(spark):
     assert got[:4] == [2 * n, 2, 1, 1] and got[6] == n
     docs = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
     assert [len(r.text.split()) for r in op8_layout(docs).orderBy("page_id").collect()] == got
+
+
+CASES = [
+    ("<p style=\"background:url('display:none')\">keep</p>", "keep"),
+    ("<p style='--x-display:none'>keep</p>", "keep"),
+    ("<p style='display:none;display:block'>keep</p>", "keep"),
+    ("<p style='display:none !important;display:block'>no</p>x", "x"),
+    ("<p style='DISPLAY : None'>no</p>x", "x"),
+    ("<p style='display:none/* ; */'>no</p>x", "x"),
+    ("<div style='visibility:hidden'>no<span style='visibility:visible'>keep</span>no<b>no</b></div>", "keep"),
+    ("<table><tr><td style='visibility:hidden'>a<td>b</table>", " | b"),
+    ("<style>.h{display:none}</style><p class=h>no</p><p class='g'>yes", "yes"),
+    ("<style>.h{display:none}</style><p class='a h b'>no</p>x", "x"),
+    ("<style>p.h, #one{display:none}</style><p class=h>no</p><div class=h>yes</div><i id=one>no</i>", "yes"),
+    ("<style>.h{display:none} .k.h{display:block}</style><p class='h k'>keep<p class=h>no", "keep"),
+    ("<style>#a{display:block} p{display:none}</style><p id=a>keep<p>no", "keep"),
+    ("<style>p{display:none!important} #a{display:block}</style><p id=a style='display:block'>no</p>x", "x"),
+    ("<style>div p{display:none} div > i{display:none}</style><div><p>no<b><i>yes</i></b><i>in p</i></p><i>no</i></div><p>out", "out"),
+    ("<style>div > i{display:none}</style><div><b><i>yes</i></b><i>no</i></div>", "yes"),
+    ("<style>.a .b > .c{display:none}</style><div class=a><div class=b><div class=b><i class=c>no</i></div></div></div><div class=b><i class=c>yes</i></div>", "yes"),
+    ("<style>p:hover{display:none} p[x]{display:none} a+p{display:none} p{color:red}</style><p x>keep", "keep"),
+    ("<style>@media print{p{display:none}} @media screen{.s{display:none}} @font-face{a:b} @supports (x:y){p{display:none}}</style><p>keep<p class=s>no", "keep"),
+    ("<style media=print>p{display:none}</style><p>keep", "keep"),
+    ("<style>/* p{display:none} */ b{content:'}p{display:none}'}</style><p>keep", "keep"),
+    ("<p hidden>no</p><p hidden style='display:block'>keep</p>", "keep"),
+    ("<details><summary>sum</summary>no<p>no</details><details open><summary>s2</summary>yes</details>", "sum\ns2\nyes"),
+    ("<details>no</details>x", "x"),
+    ("<select><option>a<option selected>b<option>c</select>", "b"),
+    ("<select><optgroup><option>a<option>b</select>", "a"),
+    ("<select multiple><option>a<option>b</select>", "a\nb"),
+    ("<select size=3><option>a<option>b</select>", "a\nb"),
+    ("<ol><li>a<li value=7>b<li>c</ol>", "1. a\n7. b\n8. c"),
+    ("<ol reversed><li>a<li>b<li>c</ol>", "3. a\n2. b\n1. c"),
+    ("<ol reversed start=10><li>a<li>b</ol>", "10. a\n9. b"),
+    ("<style>li.h{display:none}</style><ol><li>a<li class=h>b<li>c</ol>", "1. a\n2. c"),
+    ("<style>p{display:none", ""),
+    ("<style>}{;p{display:none}</style><p>x", "x"),
+    ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+]
+
+
+def test_what_shows():
+    for page, want in CASES:
+        assert text_of(page).strip(" \n|") == want.strip(" \n|"), page
+
+
+def slow_shows(page_words, rules):
+    """Brute force: an element shows if no ancestor or itself is of a hidden class; visibility by the nearest that says."""
+    out = []
+    for word, line in page_words:
+        displayed = all(not any(rules.get(c, {}).get("display") == "none" for c in cs) or any(rules.get(c, {}).get("display") == "block" and c > max(x for x in cs if rules.get(x, {}).get("display") == "none") for c in cs) for cs in line)
+        seen = True
+        for cs in line:
+            said = [rules[c]["visibility"] for c in sorted(cs) if "visibility" in rules.get(c, {})]
+            seen = said[-1] == "visible" if said else seen
+        if displayed and seen:
+            out.append(word)
+    return out
+
+
+def test_generated_pages_against_brute_force():
+    """Random trees of classes: rules of one class each, the later rule winning."""
+    import random
+
+    rng = random.Random(11)
+    for _ in range(150):
+        rules = {f"c{i}": dict([rng.choice([("display", "none"), ("display", "block"), ("visibility", "hidden"), ("visibility", "visible")])]) for i in range(rng.randint(1, 6))}
+        sheet = " ".join(f".{c}{{{k}:{v}}}" for c in sorted(rules) for k, v in rules[c].items())
+        words, parts, n = [], [], 0
+
+        def grow(line, depth):
+            nonlocal n
+            for _ in range(rng.randint(1, 3)):
+                cs = {f"c{rng.randrange(9)}" for _ in range(rng.randrange(3))}
+                parts.append(f"<div class='{' '.join(cs)}'>w{n} ")
+                words.append((f"w{n}", [*line, cs]))
+                n += 1
+                if depth < 4 and rng.random() < 0.6:
+                    grow([*line, cs], depth + 1)
+                parts.append("</div>")
+
+        grow([], 0)
+        assert text_of(f"<style>{sheet}</style>{''.join(parts)}").split() == slow_shows(words, rules)
