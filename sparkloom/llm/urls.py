@@ -5,7 +5,8 @@ URL's path, decides.  URLs with a rule are the labelled ones; gradient-boosted t
 lexical features from at most TRAIN_ROWS different ones (the documented bound of the model: up
 to half of each verdict, those with the least hashes, weighted by what their verdict has in
 all): lengths, depth, digit ratio, character entropy, parameter counts, and how
-often URLs of the same suffix are blocked, counted over all labelled rows.
+often URLs of the same suffix are blocked, counted over all labelled rows (while the trees learn,
+over those of other folds than the URL's own).
 
 DataFrame functions and Spark's own trees only.  Defined results: a null URL or one without
 `://` has empty host and path, no rule, and the trees' verdict on it; with one class of label
@@ -25,6 +26,7 @@ from sparkloom.llm.common import stored
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 TRAIN_ROWS = 20_000
 SMOOTH = 20.0
+FOLDS = 5
 FEATURES = ["length", "host_length", "path_length", "labels", "depth", "digit_ratio", "hyphens", "entropy", "params", "longest_part", "suffix_block"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -125,46 +127,80 @@ def sample_bounds(labelled: DataFrame, train_rows: int) -> dict[float, tuple[int
     return found
 
 
-def judged(pages: DataFrame, url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES, train_rows: int = TRAIN_ROWS, seed: int = 7, out: str = "__url") -> DataFrame:
-    """pages with one more column, a struct: host, path, rule, verdict and the trees' block score."""
+def fitted(labelled: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = 7) -> tuple | float:
+    """labelled(label, suffix, hash, features) -> the trees, the suffixes' rates they know (a stored table of
+    at most train_rows suffixes) and the rate of all others; or the one label there is (0.0 if none).
+
+    A row's own label is no part of the rate that the trees learn with it: rows are dealt to FOLDS
+    by the URL's hash, and each sees the rate of its suffix in the other folds.
+    """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    df = lexical(pages, url_col, rules)
-    kept = [F.col(f"in{i}").alias(c) for i, c in enumerate(pages.columns) if c != out]
 
-    def verdicts(other: Column, score: Column) -> Column:
-        by_rule = F.when(F.col("__url.label") == 1, "block").when(F.col("__url.label") == 0, "allow").otherwise(other)
-        return F.struct("__url.host", "__url.path", "__url.rule", by_rule.alias("verdict"), score.alias("score")).alias(out)
-
-    labelled = df.select("__url.*").where("label is not null")
-    suffixes = labelled.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
-    suffixes = stored(suffixes, "url-suffixes")
+    fold = F.pmod(F.xxhash64("hash"), F.lit(FOLDS)).cast("int").alias("fold")
+    by_fold = stored(labelled.groupBy("suffix", fold).agg(F.count("*").alias("n"), F.sum("label").alias("blocked")), "url-suffixes")
+    suffixes = by_fold.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"))
     n, blocked = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0.0))).first()
     if not 0 < blocked < n:
-        one = "block" if n and blocked == n else "allow"
-        return df.select(*kept, verdicts(F.lit(one), F.lit(blocked / n if n else 0.0)))
-    bounds = sample_bounds(labelled, train_rows)
+        return blocked / n if n else 0.0
     below, weight = F.lit(0), F.lit(1.0)
-    for label, (hash_bound, each) in bounds.items():
+    for label, (hash_bound, each) in sample_bounds(labelled, train_rows).items():
         below, weight = F.when(F.col("label") == label, hash_bound).otherwise(below), F.when(F.col("label") == label, each).otherwise(weight)
     sample = labelled.where(F.col("hash") < below).dropDuplicates(["label", "hash"])
     prior = float(blocked) / n
-    rate = (F.col("blocked") + prior * SMOOTH) / (F.col("n") + SMOOTH)
+    rate = lambda b, k: (b + prior * SMOOTH) / (k + SMOOTH)
     # Suffixes of the bounded sample only: at most that many rows.
-    sample = stored(sample.withColumn("weight", weight), "url-urls")
-    known = stored(sample.select("suffix").distinct().join(suffixes.hint("shuffle_merge"), "suffix").select("suffix", rate.alias("suffix_block")), "url-known")
-    sample = sample.join(F.broadcast(known), "suffix").select("label", "weight", "hash", *FEATURES)
+    sample = stored(sample.withColumn("weight", weight).select("*", fold), "url-urls")
+    known = stored(sample.select("suffix").distinct().join(suffixes.hint("shuffle_merge"), "suffix").select("suffix", "n", "blocked", rate(F.col("blocked"), F.col("n")).alias("suffix_block")), "url-known")
+    own = by_fold.select("suffix", "fold", F.col("n").alias("own_n"), F.col("blocked").alias("own_blocked"))
+    sample = sample.join(F.broadcast(known.drop("suffix_block")), "suffix").join(own.hint("shuffle_merge"), ["suffix", "fold"])
+    sample = sample.withColumn("suffix_block", rate(F.col("blocked") - F.col("own_blocked"), F.col("n") - F.col("own_n"))).select("label", "weight", "hash", *FEATURES)
     sample = stored(sample.repartition(8, "hash").sortWithinPartitions("hash", *FEATURES), "url-sample")
     pack = VectorAssembler(inputCols=FEATURES, outputCol="features")
     trees = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=15, maxDepth=4, stepSize=0.2, seed=seed)
-    model = trees.fit(pack.transform(sample))
+    return trees.fit(pack.transform(sample)), known.select("suffix", "suffix_block"), prior
+
+
+def scored(df: DataFrame, model: tuple) -> DataFrame:
+    """df(__url, ...) with the trees' prediction and probability."""
+    from pyspark.ml.feature import VectorAssembler
+
+    trees, known, prior = model
+    own = df.columns
     rows = df.join(F.broadcast(known).withColumnRenamed("suffix", "__suffix"), F.col("__url.suffix") == F.col("__suffix"), "left")
-    rows = rows.select(*(f"in{i}" for i in range(len(pages.columns))), "__url", *(F.col(f"__url.{c}") for c in FEATURES[:-1]), F.coalesce("suffix_block", F.lit(prior)).alias("suffix_block"))
-    scored = model.transform(pack.transform(rows))
+    rows = rows.select(*own, *(F.col(f"__url.{c}") for c in FEATURES[:-1]), F.coalesce("suffix_block", F.lit(prior)).alias("suffix_block"))
+    return trees.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows))
+
+
+def held_out_area(pages: DataFrame, url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES, train_rows: int = TRAIN_ROWS, seed: int = 7) -> float:
+    """Area under the ROC curve on the labelled URLs of a third of the hosts, learned from the other hosts."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    known = stored(lexical(pages.select(url_col), url_col, rules).select("__url").where("__url.label IS NOT NULL"), "url-labelled")
+    apart = F.pmod(F.xxhash64("__url.host"), F.lit(3)) == 0
+    model = fitted(known.where(~apart).select("__url.*"), train_rows, seed)
+    if isinstance(model, float):
+        return 0.5
+    rows = scored(known.where(apart), model).withColumn("label", F.col("__url.label"))
+    return BinaryClassificationEvaluator(labelCol="label").evaluate(rows.select("label", "rawPrediction"))
+
+
+def judged(pages: DataFrame, url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES, train_rows: int = TRAIN_ROWS, seed: int = 7, out: str = "__url") -> DataFrame:
+    """pages with one more column, a struct: host, path, rule, verdict and the trees' block score."""
+    from pyspark.ml.functions import vector_to_array
+
+    df = lexical(pages, url_col, rules)
+    kept = [F.col(f"in{i}").alias(c) for i, c in enumerate(pages.columns) if c != out]
+
+    def verdicts(other: Column, score: Column) -> Column:
+        by_rule = F.when(F.col("__url.label") == 1, "block").when(F.col("__url.label") == 0, "allow").otherwise(other)
+        return F.struct("__url.host", "__url.path", "__url.rule", by_rule.alias("verdict"), score.alias("score")).alias(out)
+
+    model = fitted(df.select("__url.*").where("label is not null"), train_rows, seed)
+    if isinstance(model, float):
+        return df.select(*kept, verdicts(F.lit("block" if model > 0 else "allow"), F.lit(model)))
     by_trees = F.when(F.col("prediction") == 1, "block").otherwise("allow")
-    return scored.select(*kept, verdicts(by_trees, F.round(vector_to_array("probability")[1], 6)))
+    return scored(df, model).select(*kept, verdicts(by_trees, F.round(vector_to_array("probability")[1], 6)))
 
 
 def op3_urls(pages: DataFrame) -> DataFrame:
