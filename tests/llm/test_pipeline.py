@@ -81,3 +81,16 @@ def test_stages_on_odd_names_and_string_ids(spark):
         if name != "packing":
             assert out.columns == docs.columns and {r[0] for r in found} == left[name]
             assert all(set(r[5:]) == {r[3]} for r in found)
+
+
+def test_run_leaves_the_stages_tables_alone(spark):
+    import os
+
+    from sparkloom.llm.common import scratch_dir
+
+    folder = scratch_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    rows = corpus_pipeline.run(spark, SF)
+    assert rows.count() > 100
+    left = {x.rpartition("-")[0] for x in set(os.listdir(folder)) - before}
+    assert left == {f"stage-{name}" for name, _ in corpus_pipeline.STAGES}
