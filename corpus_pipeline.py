@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import plain_names, quoted, read, stored
+from sparkloom.llm.common import plain_names, quoted, read, scratch, stored
 from sparkloom.llm.disclosure import sanitised
 from sparkloom.llm.fertility import fertility
 from sparkloom.llm.minmax import without_near_duplicates
@@ -71,7 +71,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows.  A stage's own scratch tables go when its result is written."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}", kept=True)
     return docs

@@ -45,3 +45,14 @@ def test_a_crash_before_the_manifest_changes_nothing(spark, tmp_path, again):
     assert rows(spark, path) == before
     keyed.merge(spark, path, lost if again else spark.createDataFrame([(4, "d", 2)], SCHEMA), ["k"], "at", 4)
     assert rows(spark, path) == before | ({3: ("lost", 9), 90: ("lost", 9)} if again else {4: ("d", 2)})
+
+
+def test_scratch_tables_go_with_their_context(spark):
+    from sparkloom.sources.scratch import folder, scratch, stored
+
+    place = folder(spark).removeprefix("file://")
+    with scratch(spark):
+        stored(spark.range(3), "mine")
+        kept = stored(stored(spark.range(5), "inner"), "kept", kept=True)
+        assert any(x.startswith("mine-") for x in os.listdir(place))
+    assert kept.count() == 5 and not any(x.startswith(("mine-", "inner-")) for x in os.listdir(place))
