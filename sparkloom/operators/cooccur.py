@@ -82,7 +82,7 @@ def sector_links(mentions: DataFrame, sectors: DataFrame, min_count: int = 2) ->
     """
     m = per_document(mentions)
     size = F.count("*").over(Window.partitionBy("doc_id"))
-    m = m.withColumn("k", size).where("k >= 2").drop("k")
+    m = stored(m.withColumn("k", size).where("k >= 2").drop("k"), "mentions")
     n = m.agg(F.countDistinct("doc_id").alias("n"))
     freq = m.groupBy("entity").agg(F.count("*").alias("f"))
     pair = entity_pairs(m).groupBy("e1", "e2").agg(F.count("*").alias("cooccurrence_count"), F.countDistinct("source").alias("source_diversity"))

@@ -48,8 +48,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: f
     epsilon times the mean idf.  The index is met by the queries' terms only."""
     words = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != "")
     d = docs.select("id", words(F.col("text")).alias("w")).select("id", F.size("w").alias("dl"), "w")
-    stats = d.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     tf = stored(d.select("id", "dl", F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf")), "bm25-tf")
+    # Each text is split once: the index knows how many words there are in all.
+    words_of_all = tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
+    stats = docs.agg(F.count("*").alias("n")).crossJoin(words_of_all).select("n", (F.col("words") / F.col("n")).alias("avgdl"))
     df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # one row
     raw = stored(df.select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")), "bm25-idf")
     mean = raw.agg(F.avg("idf").alias("mean"))
