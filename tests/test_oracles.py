@@ -21,7 +21,7 @@ def test_query_matches_its_sql(spark, con, name):
     assert said is None, said
 
 
-@pytest.mark.parametrize("name", ["links_npmi", "lag_candidates", "bm25", "dedup_pairs", "causal_chains", "knn", "mutation"])
+@pytest.mark.parametrize("name", ["links_npmi", "lag_candidates", "bm25", "dedup_pairs", "causal_chains"])
 def test_larger_tables(spark, name):
     c = duckdb.connect()
     c.sql("SET TimeZone = 'UTC'")
