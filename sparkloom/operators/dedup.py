@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import fuzzy_hash, shingles
+from sparkloom.functions import grams
+from sparkloom.functions.text import fuzzy_hash
 from sparkloom.sources.scratch import stored
 
 
+#: Prefixes are longer than needed for one common element by one in so many of a set's elements.
+MORE = 16
+
+
 def keep_first(df: DataFrame, key: Column, order: str = "doc_id") -> DataFrame:
     """The row of least order of each key: rows are aggregated where they are before they are shuffled."""
     first = F.min_by(F.struct(*df.columns), F.struct(order)).alias("__row")
@@ -27,14 +33,14 @@ def similar_pairs(df: DataFrame, column: str = "title", threshold: float = 0.85,
     """(a, b, similarity), a < b: all pairs of distinct character k-gram sets with that Jaccard similarity, exactly.
 
     Equal sets are compared once, through their first row; sets without a k-gram take no part.
+    Only texts are stored and shuffled; their sets are made anew where they are needed, as 64-bit hashes.
     """
-    s = df.select(F.col(order).alias("id"), F.array_sort(shingles(F.lower(F.col(column)), k)).alias("s")).where(F.size("s") > 0)
-    s = stored(s.groupBy("s").agg(F.min("id").alias("id")), "sets")
-    pairs = candidate_pairs(s.select("id", F.transform("s", lambda x: F.xxhash64(x)).alias("s")), threshold)
-    both = pairs.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")).hint("shuffle_merge"), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")).hint("shuffle_merge"), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    sim = shared / (F.size("sa") + F.size("sb") - shared)
-    return both.select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= threshold)
+    t = df.select(F.col(order).alias("id"), F.lower(F.col(column)).alias("t"))
+    t = t.withColumn("key", grams.set_key(k)("t")).where("key IS NOT NULL")
+    t = stored(t.groupBy("key").agg(F.min(F.struct("id", "t")).alias("x")).select("x.*"), "sets")
+    pairs = candidate_pairs(t.select("id", grams.hashed_set(k)("t").alias("s")), threshold)
+    both = pairs.join(t.select(F.col("id").alias("a"), F.col("t").alias("ta")).hint("shuffle_merge"), "a").join(t.select(F.col("id").alias("b"), F.col("t").alias("tb")).hint("shuffle_merge"), "b")
+    return both.select("a", "b", grams.jaccard(k)("ta", "tb").alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def candidate_pairs(sets: DataFrame, threshold: float) -> DataFrame:
@@ -46,24 +52,32 @@ def candidate_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     stands among the first n - 2t / (1 + t) * n + 1 of the smaller set and the first m - t * m + 1
     of the larger one.  What is left behind that element must be enough, too.  Elements that
     most sets have stand last, so sets meet on them only if they are similar.
+
+    One shared word makes several shared k-grams, so one element says little: prefixes are longer by
+    `more` elements, and as many must be met there (all that are needed, if these are fewer): the
+    first `more` + 1 shared elements stand in the longer prefixes as the first does in the shorter ones.
+
+    Any one order of all elements will do; here it is by the counts of grams.BUCKETS buckets of
+    elements, then by element.  So sets are ordered where they are, and only prefixes are shuffled.
     """
     slack = 1e-9
-    each = stored(sets.select("id", F.size("s").alias("n"), F.explode("s").alias("e")), "set-elements")
-    often = stored(each.groupBy("e").agg(F.count("*").alias("often")), "set-often")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("often", "e"))
-    placed = each.join(often.hint("shuffle_merge"), "e").withColumn("place", place)
-    first = stored(placed.where(F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n") - slack) + 1).select("id", "n", "e", "place"), "set-prefixes")
-    x = first.where(F.col("place") <= F.col("n") - F.ceil(2 * threshold / (1 + threshold) * F.col("n") - slack) + 1).alias("x")
+    first = stored(grams.prefixes(sets, lambda n: n - np.ceil(threshold * n - slack) + 1 + n // MORE), "set-prefixes")
+    more = lambda n: F.floor(n / MORE)
+    x = first.where(F.col("place") <= F.col("n") - F.ceil(2 * threshold / (1 + threshold) * F.col("n") - slack) + 1 + more(F.col("n"))).alias("x")
     y = first.alias("y")
     need = F.ceil(threshold / (1 + threshold) * (F.col("x.n") + F.col("y.n")) - slack)
+    # The smaller set's n says how many elements are met at least.
+    enough = 1 + more(F.col("x.n"))
     met = x.join(
         y.hint("shuffle_merge"),
         (F.col("x.e") == F.col("y.e"))
         & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id"))))
         & (F.col("x.n") >= threshold * F.col("y.n") - slack)
-        & (1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= need),
+        & (enough + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= need),
     )
-    return stored(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "set-pairs")
+    found = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.least(enough, need).alias("enough"))
+    found = found.groupBy("a", "b").agg(F.count("*").alias("met"), F.first("enough").alias("enough")).where("met >= enough")
+    return stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "set-pairs")
 
 
 def greedy_drops(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -91,8 +105,7 @@ def greedy_drops(edges: DataFrame, rounds: int = 100) -> DataFrame:
 def dedup_similar(df: DataFrame, column: str = "title", threshold: float = 0.85, order: str = "doc_id", edges: DataFrame | None = None) -> DataFrame:
     """Rows that keep-first leaves; rows with equal k-gram sets count as similar."""
     e = edges if edges is not None else similar_pairs(df, column, threshold, order=order)
-    sets = F.array_sort(shingles(F.lower(F.col(column)), 5))
-    tagged = df.withColumn("__s", F.when(F.size(sets) > 0, F.to_json(sets)))
+    tagged = df.withColumn("__s", grams.set_key(5)(F.lower(F.col(column))))
     one = keep_first(tagged.where("__s IS NOT NULL"), F.col("__s"), order).unionByName(tagged.where("__s IS NULL")).drop("__s")
     return one.join(greedy_drops(e).withColumnRenamed("x", order), order, "left_anti").select(*df.columns)
 

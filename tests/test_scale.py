@@ -57,6 +57,23 @@ def test_a_shared_stem_makes_no_pairs(spark):
     assert dedup.similar_pairs(df).count() == 10_000
 
 
+def test_stored_sets_are_a_fraction_of_the_elements(spark, monkeypatch):
+    """20 texts of 5,000 grams each: a prefix is stored, not a row for each gram."""
+    rows = {}
+    put = dedup.stored
+
+    def counted(df, what, *a):
+        out = put(df, what, *a)
+        rows[what] = rows.get(what, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(dedup, "stored", counted)
+    rng = random.Random(9)
+    texts = [(i, "".join(rng.choice("abcdefgh") for _ in range(5_000))) for i in range(20)]
+    assert dedup.similar_pairs(spark.createDataFrame([*texts, (20, texts[0][1] + "x"), (21, texts[0][1])], "doc_id long, title string")).count() == 1
+    assert sum(rows.values()) < 0.2 * 21 * 5_000
+
+
 def clustered(n, dim, centres, seed=1):
     rng = np.random.default_rng(seed)
     c = rng.normal(size=(centres, dim))
