@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from sparkloom.operators.cooccur import cosine
 from sparkloom.sources.scratch import side, stored
 
 MAX_QUERIES = 10_000
 
+#: Vectors that a task takes at once, and scores that it holds at once (32 MB).
+RUN_ROWS = 50_000
+TILE = 4_000_000
+
 
 def ranked(df: DataFrame, k: int) -> DataFrame:
     r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
@@ -22,7 +29,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFr
     """query_id, id, score, rank: the k nearest by cosine; score = 10 * (1 - distance), 0 beyond 1.
 
     A stated query set meets all rows, exactly: in blocks of about MAX_QUERIES queries, each sent to
-    every task.  Each task keeps its own best k of a query before anything is shuffled.
+    every task.  Each task keeps its own best of a query before anything is shuffled.
     `vector_index` finds nearly the same from an index.
     """
     q = queries.select("query_id", F.col("embedding").alias("q"))
@@ -35,12 +42,74 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFr
 
 
 def nearest_here(vectors: DataFrame, q: DataFrame, k: int) -> DataFrame:
-    """query_id, id, score: of each partition of vectors the k nearest of each query in q, a block of bounded size."""
-    pairs = vectors.crossJoin(F.broadcast(q))
-    scored = pairs.select("query_id", "id", F.round(F.greatest(10 * cosine(F.col("embedding"), F.col("q")), F.lit(0.0)), 3).alias("score"))
-    salted = scored.withColumn("__p", F.spark_partition_id())
-    near = F.row_number().over(Window.partitionBy("query_id", "__p").orderBy(F.desc("score"), "id"))
-    return salted.withColumn("__r", near).where(F.col("__r") <= k).drop("__r", "__p")
+    """query_id, id, score: of each run of RUN_ROWS vectors the k nearest of each query in q, a block of bounded size.
+
+    Scores are products of matrices.  Rows whose rounded score may be among the best k are kept; Spark rounds and ranks.
+    """
+    block = q.toArrow()
+    sent = q.sparkSession.sparkContext.broadcast((block.column("query_id").combine_chunks(), by_length(block.column("q").combine_chunks())))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_id, queries = sent.value
+        for rows in runs(batches):
+            ids, units = rows.column("id").combine_chunks(), by_length(rows.column("embedding").combine_chunks())
+            order = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            step = max(1, TILE // max(1, len(ids)))
+            for start in range(0, len(query_id), step):
+                score = np.zeros((min(step, len(query_id) - start), len(ids)))
+                for length, (qi, qv) in queries.items():
+                    mine = (qi >= start) & (qi < start + step)
+                    if length in units and mine.any():
+                        score[np.ix_(qi[mine] - start, units[length][0])] = qv[mine] @ units[length][1].T
+                score = np.where(np.isnan(score), np.inf, np.maximum(10 * score, 0.0))
+                # Scores that round alike lie within 0.001.
+                least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k] - 0.0011 if len(ids) > k else np.full(len(score), -1.0)
+                r, c = np.nonzero(score >= least[:, None])
+                s = score[r, c]
+                at = np.lexsort((order[c], -s, r))
+                r, c, s = r[at], c[at], s[at]
+                # Of one score, the first k by id.
+                new = np.ones(len(s), dtype=bool)
+                new[1:] = (r[1:] != r[:-1]) | (s[1:] != s[:-1])
+                i = np.arange(len(s))
+                kept = i - np.maximum.accumulate(np.where(new, i, 0)) < k
+                r, c, s = r[kept], c[kept], s[kept]
+                yield pa.RecordBatch.from_arrays([query_id.take(pa.array(r + start)), ids.take(pa.array(c)), pa.array(np.where(np.isinf(s), np.nan, s))], ["query_id", "id", "score"])
+
+    out = StructType([q.schema["query_id"], vectors.schema["id"], StructField("score", DoubleType())])
+    return vectors.select("id", "embedding").mapInArrow(nearest, out).withColumn("score", F.round("score", 3))
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together to RUN_ROWS rows or so."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(len(x) for x in held) >= RUN_ROWS:
+            yield pa.Table.from_batches(held)
+            held = []
+    if sum(len(x) for x in held):
+        yield pa.Table.from_batches(held)
+
+
+def by_length(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Length -> the rows with so many numbers and their unit vectors; rows that are null, hold a null
+    or have no length are in none: their cosine is 0."""
+    if len(vectors) == 0:
+        return {}
+    lengths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = vectors.flatten()
+    missing = np.asarray(values.is_null())
+    x, ends = values.to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(lengths)
+    found = {}
+    for n in np.unique(lengths[lengths > 0]):
+        rows = np.flatnonzero(lengths == n)
+        at = (ends[rows] - n)[:, None] + np.arange(n)
+        v = x[at]
+        norm = np.sqrt((v * v).sum(axis=1))
+        good = ~missing[at].any(axis=1) & (norm != 0)
+        found[int(n)] = rows[good], v[good] / norm[good, None]
+    return found
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:

@@ -127,6 +127,29 @@ def test_queries_in_blocks_give_the_same(spark, monkeypatch):
     assert sorted(search.vector_search(v, q, 5).collect()) == once
 
 
+def test_search_makes_no_row_for_each_pair(spark):
+    """Ties, copies, nulls, zeros and other lengths as by plain cosine; scores are matrices, and no join of all pairs is planned."""
+    rng = random.Random(4)
+    rows = [(i, [float(rng.choice([-1, 0, 1])) for _ in range(3)]) for i in range(300)]
+    rows += [(400, None), (401, [0.0, 0.0, 0.0]), (402, [1.0, None, 0.0]), (403, [1.0, 0.0]), (404, [1.0])]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>")
+    q = v.where("id % 50 = 0 OR id > 400").withColumnRenamed("id", "query_id")
+    found = search.vector_search(v, q, 7)
+    assert "NestedLoopJoin" not in found._jdf.queryExecution().toString() and "CartesianProduct" not in found._jdf.queryExecution().toString()
+
+    def cosine(a, b):
+        if not a or not b or len(a) != len(b) or None in a or None in b or not any(a) or not any(b):
+            return 0.0
+        return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+
+    of = dict(rows)
+    want = set()
+    for i in (r.query_id for r in q.collect()):
+        best = sorted((-round(max(10 * cosine(of[i], x), 0.0), 3), j) for j, x in rows)[:7]
+        want |= {(i, j, -s + 0.0, n + 1) for n, (s, j) in enumerate(best)}
+    assert {(r.query_id, r.id, r.score, r["rank"]) for r in found.collect()} == want
+
+
 @pytest.mark.parametrize("chars", [10**6, 3_000])
 def test_large_dictionary_against_plain_search(spark, chars):
     docs = articles(spark, "/root/testdata/sf0.001").select("doc_id", F.lower("text").alias("t"))
