@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.operators import dedup, search, vector_index
+from sparkloom.operators import cooccur, dedup, search, vector_index
 from sparkloom.plans.bindings import articles, read
 
 SF = "/root/testdata/sf0.1"
@@ -127,6 +127,19 @@ def test_queries_in_blocks_give_the_same(spark, monkeypatch):
     assert sorted(search.vector_search(v, q, 5).collect()) == once
 
 
+def test_partitions_of_pairs_grow_with_the_mentions(spark, monkeypatch):
+    """Ten times the mentions in ten times the partitions, and the same pairs as by hand."""
+    rows = [(i // 4, f"e{(i * 7 + i // 4) % 30}", "s", None, i % 4) for i in range(4000)]
+    monkeypatch.setattr(cooccur, "PART_ROWS", 100)
+    m = spark.createDataFrame(rows, "doc_id long, entity string, source string, ts timestamp, ord long")
+    assert [cooccur.entity_pairs(x).rdd.getNumPartitions() for x in (m.where("doc_id < 100"), m)] == [4, 40]
+    docs = {}
+    for d, e, *_ in rows:
+        docs.setdefault(d, set()).add(e)
+    want = sorted((d, a, b) for d, es in docs.items() for a, b in itertools.combinations(sorted(es), 2))
+    assert sorted((r.doc_id, r.e1, r.e2) for r in cooccur.entity_pairs(m).collect()) == want
+
+
 def test_search_makes_no_row_for_each_pair(spark):
     """Ties, copies, nulls, zeros and other lengths as by plain cosine; scores are matrices, and no join of all pairs is planned."""
     rng = random.Random(4)
