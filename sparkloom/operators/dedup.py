@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sparkloom.functions import grams
 from sparkloom.functions.text import fuzzy_hash
-from sparkloom.sources.scratch import stored
+from sparkloom.sources.scratch import side, stored
 
 
 #: Prefixes are longer than needed for one common element by one in so many of a set's elements.
 MORE = 16
 
+#: Vectors of a block, or about so many, and terms that are multiplied at once: 16 MB for two blocks.
+BLOCK = 1_000
+COLUMNS = 1_000
+
 
 def keep_first(df: DataFrame, key: Column, order: str = "doc_id") -> DataFrame:
     """The row of least order of each key: rows are aggregated where they are before they are shuffled."""
@@ -136,6 +144,37 @@ def tfidf(df: DataFrame, column: str = "text", key: str = "doc_id", features: in
     return w.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
+def near_here(threshold: float) -> Callable[[pa.Table], pa.Table]:
+    """Rows (id, block, i, j, terms, ws) of the blocks i and j -> a, b, similarity: the near pairs of a vector of i and one of j.
+
+    Products of matrices, a run of COLUMNS terms at a time: memory is bounded whatever the vectors hold.
+    """
+
+    def multiply(rows: pa.Table) -> pa.Table:
+        ids, block = rows.column("id").combine_chunks(), rows.column("block").to_numpy()
+        terms, ws = rows.column("terms").combine_chunks(), rows.column("ws").combine_chunks()
+        code, w = terms.flatten().to_numpy(), ws.flatten().to_numpy()
+        row = np.repeat(np.arange(len(ids)), terms.value_lengths().to_numpy())
+        term = np.unique(code, return_inverse=True)[1]
+        order = np.argsort(term, kind="stable")
+        term, row, w = term[order], row[order], w[order]
+        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        mine, other = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        total = np.zeros((len(mine), len(other)))
+        for start in range(0, int(term[-1]) + 1, COLUMNS):
+            part = slice(*np.searchsorted(term, (start, start + COLUMNS)))
+            m = np.zeros((len(ids), min(COLUMNS, int(term[-1]) + 1 - start)))
+            m[row[part], term[part] - start] = w[part]
+            total += m[mine] @ m[other].T
+        a, b = np.nonzero(total >= threshold)
+        similarity = total[a, b]
+        a, b = mine[a], other[b]
+        kept = a < b if i == j else np.ones(len(a), dtype=bool)
+        return pa.table([ids.take(pa.array(a[kept])), ids.take(pa.array(b[kept])), pa.array(similarity[kept])], names=["a", "b", "similarity"])
+
+    return multiply
+
+
 def tfidf_pairs(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(a, b, similarity), a < b: the pairs of normalised vectors(id, term, w) with that cosine, exactly.
 
@@ -144,8 +183,10 @@ def tfidf_pairs(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
 
     Prefix filtering: with terms from the rarest to the commonest, each vector is indexed by its
     terms up to where the norm of the rest falls below the threshold.  Two vectors that share
-    none of these reach less than the threshold by Cauchy and Schwarz, and so do two whose
-    first shared term leaves no room for it.
+    none of these reach less than the threshold by Cauchy and Schwarz.
+
+    The vectors that share a term of their prefixes are multiplied where they meet, in blocks of about
+    BLOCK vectors, so only pairs that are near leave a task.
     """
     v = stored(vectors, "vectors")
     whole = v.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term", F.round("w", 9).alias("w")))).alias("v"))
@@ -154,18 +195,21 @@ def tfidf_pairs(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
     # A join, which skew handling can deal anew where a class is large, and not a window.
     copies = classes.join(firsts.hint("shuffle_merge"), "v").where(F.col("id") > F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
     one = stored(v.join(firsts.select(F.col("first").alias("id")).hint("shuffle_merge"), "id", "left_semi"), "vector-firsts")
-    df_ = one.groupBy("term").agg(F.count("*").alias("df"))
+    df_ = stored(one.groupBy("term").agg(F.count("*").alias("df")).withColumn("code", F.monotonically_increasing_id()), "vector-terms")
     left = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, -1))
-    r = one.join(df_, "term").withColumn("rest2", F.coalesce(left, F.lit(0.0))).withColumn("from2", F.col("rest2") + F.col("w") * F.col("w"))
+    coded = one.join(df_.hint("shuffle_merge"), "term")
+    r = coded.withColumn("from2", F.coalesce(left, F.lit(0.0)) + F.col("w") * F.col("w"))
     # A term is in the prefix if what stands from it on can still reach the threshold; floats get some slack.
     slack = 1e-9
-    r = stored(r.where(F.sqrt("from2") >= threshold - slack).select("id", "term", "w", F.sqrt("rest2").alias("rest")), "prefixes")
-    a, b = r.alias("a"), r.alias("b")
-    room = F.col("a.w") * F.col("b.w") + F.col("a.rest") * F.col("b.rest") >= threshold - slack
-    cand = a.join(b.hint("shuffle_merge"), (F.col("a.term") == F.col("b.term")) & (F.col("a.id") < F.col("b.id")) & room)
-    cand = stored(cand.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "cand")
-    dot = cand.join(one.select(F.col("id").alias("a"), "term", F.col("w").alias("wa")), "a").join(one.select(F.col("id").alias("b"), "term", F.col("w").alias("wb")), ["b", "term"])
-    near = dot.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")).where(F.col("similarity") >= threshold)
+    r = stored(r.where((F.sqrt("from2") >= threshold - slack) & (F.col("df") > 1)).select("id", "code"), "prefixes")
+    many = r.groupBy("code").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    r = r.join(side(stored(many, "blocks")), "code").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    ways = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
+    lists = coded.groupBy("id").agg(F.collect_list(F.struct("code", "w")).alias("v")).select("id", F.col("v.code").alias("terms"), F.col("v.w").alias("ws"))
+    r = r.select("id", "code", "block", F.explode(ways).alias("way")).select("id", "code", "block", "way.*").join(lists.hint("shuffle_merge"), "id")
+    out = StructType([StructField("a", v.schema["id"].dataType), StructField("b", v.schema["id"].dataType), StructField("similarity", DoubleType())])
+    near = r.groupBy("code", "i", "j").applyInArrow(near_here(threshold), out)
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     return near.unionByName(copies)
 
 

@@ -186,3 +186,26 @@ def test_two_hundred_thousand_names(spark):
     few = spark.createDataFrame([(w,) for w in words[:1900]], "w string")
     big = T.containing(docs, "t", entries, "w").select("doc_id", "w")
     assert big.join(few, "w", "left_semi").count() == T.containing(docs, "t", few, "w").count() > 1000
+
+
+def test_tfidf_pairs_in_several_blocks(spark, monkeypatch):
+    """300 texts share a rare word, and every third pair of them is near; blocks and runs of terms are small."""
+    monkeypatch.setattr(dedup, "BLOCK", 40)
+    monkeypatch.setattr(dedup, "COLUMNS", 16)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(100):
+        t = rng.sample(words, 14)
+        texts += [["rare", *t], ["rare", *t, rng.choice(words)], ["rare", *t[:-3], *rng.sample(words, 3)]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, title string").repartition(5)
+    vectors = dedup.tfidf(docs, "title", features=None).localCheckpoint()
+    held = {}
+    for r in vectors.collect():
+        held.setdefault(r.id, {})[r.term] = r.w
+    dots = {(a, b): sum(w * held[b].get(t, 0.0) for t, w in held[a].items()) for a, b in itertools.combinations(sorted(held), 2)}
+    want = {k: s for k, s in dots.items() if s >= 0.6}
+    rows = dedup.tfidf_pairs(vectors, 0.6).collect()
+    got = {(r.a, r.b): r.similarity for r in rows}
+    assert len(rows) == len(got) and len(want) > 100
+    assert got.keys() == want.keys() and all(abs(s - want[k]) < 1e-9 for k, s in got.items())
