@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.operators import cooccur, dedup, search, vector_index
+from sparkloom.operators import cooccur, dedup, graph, search, vector_index
 from sparkloom.plans.bindings import articles, read
 
 SF = "/root/testdata/sf0.1"
@@ -209,3 +209,27 @@ def test_tfidf_pairs_in_several_blocks(spark, monkeypatch):
     got = {(r.a, r.b): r.similarity for r in rows}
     assert len(rows) == len(got) and len(want) > 100
     assert got.keys() == want.keys() and all(abs(s - want[k]) < 1e-9 for k, s in got.items())
+
+
+def test_paths_between_leaders_are_the_cheapest_ways_of_all(spark):
+    """Against labels of all nodes: two components, many equal costs, cheap ways of many hops, leaders as inner nodes."""
+    rng = random.Random(12)
+    edges = {}
+    for part, size in (("a", 60), ("b", 15)):
+        for i in range(size):
+            for j in rng.sample(range(size), 6):
+                if i != j:
+                    edges[min((part, i), (part, j)), max((part, i), (part, j))] = rng.choice([1, 2, 2, 3, 9])
+    ends = [("a", i) for i in range(6)] + [("b", i) for i in range(3)] + [("z", i) for i in range(5)]
+    # A way of four cheap edges beside a dear one of two.
+    edges |= {(("z", i), ("z", i + 1)): 1 for i in range(4)} | {(("z", 0), ("z", 9)): 5, (("z", 4), ("z", 9)): 5}
+    name = lambda x: f"{x[0]}{x[1]:02d}"
+    e = spark.createDataFrame([(name(p), name(q), w) for (p, q), w in edges.items()], "e1 string, e2 string, weight long").localCheckpoint()
+    nodes = spark.createDataFrame([(name(x),) for x in ends], "node string")
+    wanted = spark.createDataFrame([(name(p), name(q)) for p, q in itertools.combinations(ends, 2)], "root string, node string")
+    for cost in ("weight", "inverse"):
+        rows = graph.shortest_weighted_paths(e, nodes, cost)
+        near = lambda r: r.join(wanted, ["root", "node"]).where("hops <= 3")
+        found = graph.paths_between(e, nodes, wanted, cost)
+        paths = [sorted(map(tuple, graph.traced(x, near(x), 3).join(near(x).select("root", "node", "dist"), ["root", "node"]).collect())) for x in (rows, found)]
+        assert paths[0] == paths[1] and len(paths[0]) > 10
