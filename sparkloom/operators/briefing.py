@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.sources.scratch import stored
+
 
 def _sides(links: DataFrame) -> DataFrame:
     """Each link once for each of its ends: sector, partner sector, entity."""
@@ -23,10 +25,11 @@ def link_summary(links: DataFrame) -> DataFrame:
 
 def sector_situation(links: DataFrame, sectors: DataFrame, partners: int = 3) -> DataFrame:
     """One row per sector, stable where no link touches it."""
-    s = _sides(links)
-    base = s.groupBy("sector").agg(F.count("*").alias("n_links"), F.round(F.avg("confidence"), 3).alias("avg_confidence"), F.count_if(F.col("confidence") >= 0.7).alias("high_confidence"), F.sum("cooccurrence_count").alias("cooccurrences"))
+    # Links are met once: all else follows from a row for each two sectors.
+    s = stored(_sides(links).groupBy("sector", "partner").agg(F.count("*").alias("n"), F.sum("confidence").alias("confidence"), F.count("confidence").alias("known"), F.count_if(F.col("confidence") >= 0.7).alias("high"), F.sum("cooccurrence_count").alias("c")), "situation")
+    base = s.groupBy("sector").agg(F.sum("n").alias("n_links"), F.round(F.try_divide(F.sum("confidence"), F.sum("known")), 3).alias("avg_confidence"), F.sum("high").alias("high_confidence"), F.sum("c").alias("cooccurrences"))
     r = F.row_number().over(Window.partitionBy("sector").orderBy(F.desc("n"), "partner"))
-    top = s.groupBy("sector", "partner").agg(F.count("*").alias("n")).withColumn("r", r).where(F.col("r") <= partners).groupBy("sector").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "partner"))), lambda x: x["partner"]), ",").alias("partners"))
+    top = s.withColumn("r", r).where(F.col("r") <= partners).groupBy("sector").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "partner"))), lambda x: x["partner"]), ",").alias("partners"))
     names = sectors.groupBy("sector").agg(F.count("*").alias("n_entities"))
     out = names.join(base.hint("shuffle_merge"), "sector", "left").join(top.hint("shuffle_merge"), "sector", "left").fillna(0, ["n_links", "high_confidence", "cooccurrences"])
     status = F.when(F.col("n_links") == 0, "stable").when((F.col("avg_confidence") > 0.6) | (F.col("high_confidence") > 3), "active").otherwise("monitoring")
@@ -53,8 +56,10 @@ def key_connections(links: DataFrame, n: int = 5) -> DataFrame:
 
 def overall(links: DataFrame) -> DataFrame:
     """One row: totals, overall label, and the list of sectors."""
-    names = _sides(links).select("sector").distinct().agg(F.array_join(F.array_sort(F.collect_set("sector")), ",").alias("sectors"))
-    one = links.agg(F.count("*").alias("links"), F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 3).alias("confidence"))
+    # Links are met once: all else follows from a row for each two sectors.
+    by = stored(links.groupBy("source_sector", "target_sector").agg(F.count("*").alias("n"), F.sum("confidence").alias("c"), F.count("confidence").alias("known")), "overall")
+    names = by.select(F.explode(F.array("source_sector", "target_sector")).alias("sector")).agg(F.array_join(F.array_sort(F.collect_set("sector")), ",").alias("sectors"))
+    one = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("links"), F.round(F.coalesce(F.try_divide(F.sum("c"), F.sum("known")), F.lit(0.0)), 3).alias("confidence"))
     return one.crossJoin(names).withColumn("label", F.when(F.col("confidence") >= 0.6, "high").when(F.col("confidence") >= 0.4, "medium").otherwise("low"))
 
 
@@ -144,8 +149,9 @@ def explorer_entities(links: DataFrame) -> DataFrame:
 
 def explorer_totals(links: DataFrame, n: int = 4) -> DataFrame:
     """One row: different entities and sectors, and the n sectors with most links."""
-    s = _sides(links)
-    by = s.groupBy("sector").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "sector").limit(n)
+    # Links are met once: all else follows from a row for each entity of a sector.
+    s = stored(_sides(links).groupBy("sector", "entity").agg(F.count("*").alias("k")), "totals")
+    by = s.groupBy("sector").agg(F.sum("k").alias("n")).orderBy(F.desc("n"), "sector").limit(n)
     first = by.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "sector"))), lambda x: x["sector"]), ",").alias("top_sectors"))  # n rows
     return s.agg(F.countDistinct("entity").alias("n_entities"), F.countDistinct("sector").alias("n_sectors")).crossJoin(F.broadcast(first))
 
