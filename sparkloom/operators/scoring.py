@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.sources.scratch import side
+from sparkloom.operators.cooccur import parts
+from sparkloom.sources.scratch import looked_up, side
 
 # Sector baselines, source reliability, phase and signal priors, impact patterns.
 SECTOR_BASELINES = {"politics": 0.55, "finance": 0.60, "technology": 0.50, "energy": 0.55, "military": 0.50, "startups": 0.45, "social": 0.50, "global_events": 0.40}
@@ -131,7 +132,7 @@ def predict_impact(links: DataFrame, patterns: DataFrame) -> DataFrame:
 def merge_verdicts(links: DataFrame, verdicts: DataFrame) -> DataFrame:
     """External verdicts (source_entity, target_entity, verified, verdict_confidence, causal_direction,
     causal_mechanism, explanation) joined to the links; links without one keep nulls."""
-    return links.join(verdicts, ["source_entity", "target_entity"], "left")
+    return looked_up(links, verdicts, ["source_entity", "target_entity"], lambda: parts(links.count()), "left")
 
 
 def verification_candidates(links: DataFrame, threshold: float = 0.5, n: int = 20) -> DataFrame:

@@ -1,11 +1,13 @@
 """Steps whose tasks must not grow with the tables: partitions follow the rows, and results stay the same."""
 
+import datetime
 import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from sparkloom.operators import cooccur
+from sparkloom.operators import cooccur, lag, search
 from sparkloom.plans.bindings import mentions
 from sparkloom.plans.registry import QUERIES
 from sparkloom.sources import scratch
@@ -25,12 +27,56 @@ def test_mentions_and_weights_in_partitions_that_grow_with_them(spark, monkeypat
     assert cooccur.parts(pairs) <= QUERIES["mentions_pairs"](spark, SF).rdd.getNumPartitions() <= 2 * cooccur.parts(pairs)
 
 
-@pytest.mark.parametrize("name", ["mentions_pairs", "mentions_pairs_multiset", "pairs_flagged", "mentions_pair_reduction", "entity_graph", "khop", "links_npmi"])
+@pytest.mark.parametrize("name", ["mentions_pairs", "mentions_pairs_multiset", "pairs_flagged", "mentions_pair_reduction", "entity_graph", "khop", "links_npmi", "links_downstream", "causal_roots", "causal_summary", "overall", "sector_situation", "explorer_totals", "critic_statistics", "agent_briefing", "lag_samples", "bm25"])
 def test_the_same_rows_in_small_parts_and_without_broadcast(spark, monkeypatch, name):
-    want = rows_of(QUERIES[name](spark, SF))
-    monkeypatch.setattr(cooccur, "PART_ROWS", 1500)
+    sf = "/root/testdata/sf0.01" if name == "causal_roots" else SF  # which has none in the smallest tables
+    want = rows_of(QUERIES[name](spark, sf))
+    monkeypatch.setattr(cooccur, "PART_ROWS", 15_000 if sf != SF else 1500)
     monkeypatch.setattr(scratch, "SMALL_ROWS", 5)
-    assert rows_of(QUERIES[name](spark, SF)) == want and want
+    assert rows_of(QUERIES[name](spark, sf)) == want and want
+
+
+@pytest.mark.parametrize("name", ["overall", "sector_situation", "explorer_totals", "causal_roots", "causal_summary", "critic_statistics", "agent_briefing"])
+def test_links_are_made_once(spark, name):
+    """The report reads small or stored tables; the mentions' pairs are not in its plan once for each part of it."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+    assert "/mentions-" not in plan and "/documents-" not in plan
+
+
+def test_lags_store_the_ends_only(spark, monkeypatch):
+    """Mentions of entities that are in no pair are left out before anything is stored; the lags are the same as by hand."""
+    held, put = {}, lag.stored
+
+    def counted(df, what, *a):
+        out = put(df, what, *a)
+        held[what] = out.count()
+        return out
+
+    monkeypatch.setattr(lag, "stored", counted)
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(i, f"e{i % 50}", "s", day + datetime.timedelta(hours=7 * i)) for i in range(1000)]
+    m = spark.createDataFrame(rows, "doc_id long, entity string, source string, ts timestamp")
+    pairs = spark.createDataFrame([("e1", "e2"), ("e7", "e3")], "e1 string, e2 string")
+    got = {(r.e1, r.e2): (r.n1, r.n2) for r in lag.lag_sums(m, pairs).collect()}
+    near = lambda a, b: sum(6 <= (y - x) * 7 <= 14 * 24 for x in range(a, 1000, 50) for y in range(b, 1000, 50))
+    assert got == {("e1", "e2"): (near(1, 2), near(2, 1)), ("e7", "e3"): (near(7, 3), near(3, 7))}
+    assert held["lag-times"] == 80
+
+
+def test_words_are_counted_in_parts_that_grow_with_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(cooccur, "PART_ROWS", 100)
+    files, put = {}, search.stored
+
+    def counted(df, what, *a):
+        out = put(df, what, *a)
+        files[what] = out.select(F.input_file_name()).distinct().count()
+        return out
+
+    monkeypatch.setattr(search, "stored", counted)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 90}" for j in range(50))) for i in range(400)], "id long, text string")
+    q = spark.createDataFrame([(1, "w1 w2 w2"), (2, "w89 nothing"), (3, None)], "query_id long, text string")
+    assert search.bm25(docs, q).where("rank <= 3").count() == 6
+    assert files["bm25-tf"] > 50
 
 
 def test_pairs_of_odd_documents(spark):
