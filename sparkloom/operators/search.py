@@ -11,10 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from sparkloom.sources.scratch import side, stored
+from sparkloom.operators.cooccur import parts
+from sparkloom.sources.scratch import looked_up, side, stored
 
 MAX_QUERIES = 10_000
 
+#: Characters of a word, about.
+CHARS = 6
+
 #: Vectors that a task takes at once, and scores that it holds at once (32 MB).
 RUN_ROWS = 50_000
 TILE = 4_000_000
@@ -116,7 +120,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: f
     """query_id, id, score, rank by Okapi BM25 over lower-case words; negative idf becomes
     epsilon times the mean idf.  The index is met by the queries' terms only."""
     words = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != "")
-    d = docs.select("id", words(F.col("text")).alias("w")).select("id", F.size("w").alias("dl"), "w")
+    # All words of a document are counted in one task, which takes about PART_ROWS words.
+    n = docs.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    d = docs.select("id", "text").repartition(parts(n.chars // CHARS), "id").select("id", words(F.col("text")).alias("w")).select("id", F.size("w").alias("dl"), "w")
     tf = stored(d.select("id", "dl", F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf")), "bm25-tf")
     # Each text is split once: the index knows how many words there are in all.
     words_of_all = tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
@@ -127,7 +133,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: f
     q = queries.select("query_id", F.explode(words(F.col("text"))).alias("term"))
     idf = raw.join(side(q.select("term").distinct()), "term", "left_semi").crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
     known = stored(q.join(idf.hint("shuffle_merge"), "term"), "bm25-queries")
-    hit = tf.join(side(known), "term")
+    # Scores are added up where a document's words are, in a partition for about PART_ROWS of all queries' documents.
+    into = parts(n.docs * queries.count())
+    found = tf.join(side(known.select("term").distinct()), "term", "left_semi").repartition(into, "id")
+    hit = looked_up(found, known, "term", into).repartition(into, "id")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     s = hit.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     return ranked(s, k)
