@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -219,19 +221,35 @@ def pick_time_column(df: DataFrame, names: tuple[str, ...] = ("published", "scra
     return next((c for c in there if (row[c] or 0) > share), None)
 
 
+def best_sentences(words: Column, keep: int) -> Column:
+    """array<int>: the places of the keep sentences with the highest mean word frequency, in order; words has
+    a line for each sentence, with a blank between words.  Ties go to the first; sentences without words come last."""
+
+    @F.pandas_udf("array<int>")
+    def best(texts: pd.Series) -> pd.Series:
+        def places(text: str) -> list[int]:
+            lines = [[w for w in line.split(" ") if len(w) > 2] for line in text.split("\n")]
+            n = Counter(chain.from_iterable(lines))
+            score = [-sum(map(n.__getitem__, ws)) / len(ws) if ws else 0.0 for ws in lines]
+            return sorted(sorted(range(len(lines)), key=score.__getitem__)[:keep])
+
+        return texts.map(places)
+
+    return best(words)
+
+
 def summary(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: int = 3) -> DataFrame:
-    """key, summary: the sentences with the highest mean word frequency, in their own order."""
+    """key, summary: the sentences with the highest mean word frequency, in their own order.
+
+    Each text is judged where it is read: nothing is shuffled, and rows with equal or null keys stand for themselves.
+    """
     parts = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
-    s = docs.select(key, F.col(text).alias("whole"), parts.alias("parts"))
-    short = s.where((F.size("parts") <= keep) | (F.length("whole") < 50) | F.col("whole").isNull()).select(key, F.coalesce("whole", F.lit("")).alias("summary"))
-    long_ = s.where((F.size("parts") > keep) & (F.length("whole") >= 50)).select(key, F.posexplode("parts").alias("pos", "sentence"))
-    words = long_.select(key, "pos", F.explode(F.regexp_extract_all(F.lower("sentence"), F.lit(r"(?U)(\p{Alpha}+)"), 1)).alias("w"))
-    good = words.where(F.length("w") > 2)
-    freq = good.groupBy(key, "w").agg(F.count("*").alias("f"))
-    score = good.join(freq.hint("shuffle_merge"), [key, "w"]).groupBy(key, "pos").agg((F.sum("f") / F.count("*")).alias("score"))
-    order = F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last("score"), "pos"))
-    top = long_.join(score.hint("shuffle_merge"), [key, "pos"], "left").withColumn("r", order).where(F.col("r") <= keep)
-    return short.unionByName(top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("x")).select(key, F.array_join(F.transform("x", lambda v: v["sentence"]), " ").alias("summary")))
+    s = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("whole"), parts.alias("parts"))
+    long_ = (F.size("parts") > keep) & (F.length("whole") >= 50)
+    words = F.transform("parts", lambda x: F.array_join(F.regexp_extract_all(F.lower(x), F.lit(r"(?U)(\p{Alpha}+)"), 1), " "))
+    s = s.withColumn("best", best_sentences(F.when(long_, F.array_join(words, "\n")).otherwise(""), keep))
+    chosen = F.array_join(F.transform("best", lambda i: F.col("parts")[i]), " ")
+    return s.select(key, F.when(long_, chosen).otherwise(F.col("whole")).alias("summary"))
 
 
 def register(spark: SparkSession) -> None:

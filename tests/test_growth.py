@@ -1,12 +1,15 @@
 """Steps whose tasks must not grow with the tables: partitions follow the rows, and results stay the same."""
 
+import collections
 import datetime
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.functions import text
 from sparkloom.operators import cooccur, lag, search
 from sparkloom.plans.bindings import mentions
 from sparkloom.plans.registry import QUERIES
@@ -79,6 +82,29 @@ def test_words_are_counted_in_parts_that_grow_with_the_texts(spark, monkeypatch)
     assert files["bm25-tf"] > 50
 
 
+def test_summaries_are_made_where_the_text_is_read(spark):
+    """No shuffle, and a row for each row: equal and null ids don't merge texts, empty sentences and ties keep their places."""
+    rng = random.Random(8)
+    words = ["Été", "naïve", "of", "the", "STORM", "storm", "ﬁn", "42", "Ⅷ", "x"]
+    texts = [None, "", "A. B. C. D.", " ".join(" ".join(rng.choice(words) for _ in range(6)) + "." for _ in range(400))]
+    texts += [" ".join(" ".join(rng.choice(words) for _ in range(rng.randint(1, 5))) + rng.choice([".", "!", "?", ".  \n", ""]) for _ in range(rng.randint(1, 20))) for _ in range(200)]
+    rows = [(rng.choice([None, 1, 2, 3]), t) for t in texts]
+
+    def by_hand(t):
+        t = t or ""
+        parts = [p for p in re.split(r"(?<=[.!?])\s+", t) if p.strip(" ")]
+        if len(parts) <= 3 or len(t) < 50:
+            return t
+        found = [[w for w in re.findall("[a-zéïﬁⅷ]+", p.lower()) if len(w) > 2] for p in parts]
+        n = collections.Counter(itertools.chain(*found))
+        score = [sum(n[w] for w in ws) / len(ws) if ws else 0 for ws in found]
+        return " ".join(parts[i] for i in sorted(sorted(range(len(parts)), key=lambda i: (-score[i], i))[:3]))
+
+    out = text.summary(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(str((i, by_hand(t))) for i, t in rows)
+    assert "Exchange" not in QUERIES["summary"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pairs_of_odd_documents(spark):
     """Nulls, repeated mentions, several sources of an entity, equal ord, and a hub document."""
     rng = random.Random(6)
