@@ -180,6 +180,23 @@ def tfidf_pairs(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
 
     Equal vectors (weights to nine digits) are compared once, through their first row; each further
     one is listed with that first row only, at similarity 1, so copies make rows in proportion.
+    """
+    near, copies = near_and_copies(vectors, threshold)
+    return near.unionByName(copies)
+
+
+def tfidf_drops(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """Ids dropped by keep-first of vectors(id, term, w): an id goes if a kept smaller one is near to it.
+
+    A further row of an equal vector always goes: its first row is kept, or what drops that drops it too.
+    So no further row drops anything, and the pairs of first rows decide.
+    """
+    near, copies = near_and_copies(vectors, threshold)
+    return greedy_drops(stored(near, "near")).unionByName(copies.select(F.col("b").alias("x")))
+
+
+def near_and_copies(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b, similarity), a < b, twice: near pairs of the first rows of different vectors; each further row with its first.
 
     Prefix filtering: with terms from the rarest to the commonest, each vector is indexed by its
     terms up to where the norm of the rest falls below the threshold.  Two vectors that share
@@ -210,7 +227,7 @@ def tfidf_pairs(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
     out = StructType([StructField("a", v.schema["id"].dataType), StructField("b", v.schema["id"].dataType), StructField("similarity", DoubleType())])
     near = r.groupBy("code", "i", "j").applyInArrow(near_here(threshold), out)
     near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
-    return near.unionByName(copies)
+    return near, copies
 
 
 def dedup_step(df: DataFrame, column: str = "title", min_rows: int = 10) -> tuple[DataFrame, DataFrame]:

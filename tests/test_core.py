@@ -310,6 +310,29 @@ def test_tfidf_pairs_against_brute_force_with_a_hot_group(spark):
     assert sum(a == 0 for a, _ in got) >= 1099
 
 
+def test_keep_first_by_tfidf_drops_copies_of_dropped_rows(spark):
+    """Against keep-first over all pairs: copies of kept rows, copies of dropped ones, rows that only a dropped one is near."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    titles = []
+    for _ in range(25):
+        t = rng.sample(words, 12)
+        near = [[*t, rng.choice(words)] for _ in range(2)]
+        titles += [" ".join(x) for x in (t, near[0], near[0], near[1], [*near[0], rng.choice(words)], t, near[1])]
+    vectors = dedup.tfidf(spark.createDataFrame(list(enumerate(titles)), "doc_id long, title string"), "title", features=None).localCheckpoint()
+    held = {}
+    for r in vectors.collect():
+        held.setdefault(r.id, {})[r.term] = r.w
+    kept = []
+    for i in sorted(held):
+        if all(sum(w * held[i].get(t, 0.0) for t, w in held[k].items()) < 0.85 for k in kept):
+            kept.append(i)
+    gone = [r.x for r in dedup.tfidf_drops(vectors).collect()]
+    assert len(gone) == len(set(gone)) and set(gone) == set(held) - set(kept) and len(kept) < 75
+    by_pairs = {r.x for r in dedup.greedy_drops(dedup.tfidf_pairs(vectors)).collect()}
+    assert by_pairs < set(gone)  # what the listed pairs alone drop
+
+
 def test_names_in_reads_whole_texts(spark):
     names = [f"Anna {chr(65 + i)}{'x' * 3}" for i in range(15)]
     text = ". ".join(names) + " " + "word " * 1000 + "Jane Goodall"
