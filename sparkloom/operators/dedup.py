@@ -51,6 +51,14 @@ def similar_pairs(df: DataFrame, column: str = "title", threshold: float = 0.85,
     return both.select("a", "b", grams.jaccard(k)("ta", "tb").alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def set_copies(df: DataFrame, column: str = "title", k: int = 5, order: str = "doc_id") -> DataFrame:
+    """(first, id): each further row of an equal character k-gram set with the set's first row; sets without a k-gram take no part."""
+    keyed = stored(df.select(F.col(order).alias("id"), grams.set_key(k)(F.lower(F.col(column))).alias("key")).where("key IS NOT NULL"), "set-keys")
+    firsts = stored(keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "set-firsts")
+    # A join, which skew handling can deal anew where a class is large, and not a window.
+    return keyed.join(firsts.hint("shuffle_merge"), "key").where(F.col("id") > F.col("first")).select("first", "id")
+
+
 def candidate_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """sets(id, s: array<long>) -> (a, b), a < b: pairs that may reach the Jaccard threshold; none is lost.
 
@@ -118,12 +126,21 @@ def dedup_similar(df: DataFrame, column: str = "title", threshold: float = 0.85,
     return one.join(greedy_drops(e).withColumnRenamed("x", order), order, "left_anti").select(*df.columns)
 
 
-def duplicate_groups(edges: DataFrame) -> DataFrame:
-    """(root, member): each dropped row with the smallest kept row similar to it."""
+def duplicate_groups(edges: DataFrame, copies: DataFrame | None = None) -> DataFrame:
+    """(root, member): each dropped row with the smallest kept row similar to it.
+
+    copies(first, id): rows that equal a first row, which edges leave out.  A copy goes where its first row
+    goes, or to it: no kept row can be similar to a kept one.
+    """
     gone = stored(greedy_drops(edges).withColumnRenamed("x", "member"), "groups")
     e = edges.select(F.col("a").alias("root"), F.col("b").alias("member")).join(gone, "member", "left_semi")
     kept = e.join(gone.withColumnRenamed("member", "root"), "root", "left_anti")
-    return kept.groupBy("member").agg(F.min("root").alias("root")).select("root", "member")
+    groups = kept.groupBy("member").agg(F.min("root").alias("root")).select("root", "member")
+    if copies is None:
+        return groups
+    groups = stored(groups, "groups-of-firsts")
+    of_copies = copies.join(groups.withColumnRenamed("member", "first").hint("shuffle_merge"), "first", "left")
+    return groups.unionByName(of_copies.select(F.coalesce("root", "first").alias("root"), F.col("id").alias("member")))
 
 
 def tfidf(df: DataFrame, column: str = "text", key: str = "doc_id", features: int | None = 5000, stop_words: tuple[str, ...] = ()) -> DataFrame:

@@ -310,6 +310,28 @@ def test_tfidf_pairs_against_brute_force_with_a_hot_group(spark):
     assert sum(a == 0 for a, _ in got) >= 1099
 
 
+def test_groups_hold_copies(spark):
+    """Against brute force over all rows: copies of kept rows, of dropped rows, in other letter case; texts without a gram."""
+    rng = random.Random(6)
+    titles = ["abc", "abc", None, ""]
+    for _ in range(20):
+        t = "".join(rng.choice("abcdefgh ") for _ in range(40))
+        near = [t + "x", t + "xy", t[1:]]
+        titles += [t, near[0], near[0].upper(), t, near[1], near[2], near[1], near[2]]
+    df = spark.createDataFrame(list(enumerate(titles)), "doc_id long, title string")
+    sets = {i: {t[j : j + 5].lower() for j in range(len(t) - 4)} for i, t in enumerate(titles) if t and len(t) > 4}
+    kept, want = [], set()
+    for i, s in sets.items():
+        roots = [k for k in kept if len(sets[k] & s) >= 0.85 * len(sets[k] | s)]
+        if roots:
+            want.add((roots[0], i))
+        else:
+            kept.append(i)
+    got = [(r.root, r.member) for r in dedup.duplicate_groups(dedup.similar_pairs(df), dedup.set_copies(df)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) >= 140
+    assert {r.doc_id for r in dedup.dedup_similar(df).collect()} == set(range(len(titles))) - {m for _, m in got}
+
+
 def test_keep_first_by_tfidf_drops_copies_of_dropped_rows(spark):
     """Against keep-first over all pairs: copies of kept rows, copies of dropped ones, rows that only a dropped one is near."""
     rng = random.Random(4)
