@@ -8,15 +8,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from sparkloom.functions import grams
 from sparkloom.functions.text import fuzzy_hash
 from sparkloom.sources.scratch import side, stored
 
 
-#: Prefixes are longer than needed for one common element by one in so many of a set's elements.
-MORE = 16
+#: Groups of a partition in which sets meet, at most: some 50 MB.
+GROUPS = 8
 
 #: Vectors of a block, or about so many, and terms that are multiplied at once: 16 MB for two blocks.
 BLOCK = 1_000
@@ -69,31 +69,21 @@ def candidate_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     of the larger one.  What is left behind that element must be enough, too.  Elements that
     most sets have stand last, so sets meet on them only if they are similar.
 
-    One shared word makes several shared k-grams, so one element says little: prefixes are longer by
-    `more` elements, and as many must be met there (all that are needed, if these are fewer): the
-    first `more` + 1 shared elements stand in the longer prefixes as the first does in the shorter ones.
+    Sets that meet on an element are compared there by their sketches, which bound from below in how many
+    elements they differ, so hardly more than the similar pairs leave a task.  Sets too large for sketches
+    have prefixes longer by `longer` elements, and as many must be met there (all that are needed, if these
+    are fewer): the first `longer` + 1 shared elements stand in them as the first does in the shorter ones.
 
     Any one order of all elements will do; here it is by the counts of grams.BUCKETS buckets of
     elements, then by element.  So sets are ordered where they are, and only prefixes are shuffled.
     """
     slack = 1e-9
-    first = stored(grams.prefixes(sets, lambda n: n - np.ceil(threshold * n - slack) + 1 + n // MORE), "set-prefixes")
-    more = lambda n: F.floor(n / MORE)
-    x = first.where(F.col("place") <= F.col("n") - F.ceil(2 * threshold / (1 + threshold) * F.col("n") - slack) + 1 + more(F.col("n"))).alias("x")
-    y = first.alias("y")
-    need = F.ceil(threshold / (1 + threshold) * (F.col("x.n") + F.col("y.n")) - slack)
-    # The smaller set's n says how many elements are met at least.
-    enough = 1 + more(F.col("x.n"))
-    met = x.join(
-        y.hint("shuffle_merge"),
-        (F.col("x.e") == F.col("y.e"))
-        & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id"))))
-        & (F.col("x.n") >= threshold * F.col("y.n") - slack)
-        & (enough + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= need),
-    )
-    found = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.least(enough, need).alias("enough"))
-    found = found.groupBy("a", "b").agg(F.count("*").alias("met"), F.first("enough").alias("enough")).where("met >= enough")
-    return stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "set-pairs")
+    rows, groups = grams.dealt(stored(grams.prefixes(sets, threshold, slack), "set-prefixes"))
+    parts = min(groups, max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups // GROUPS + 1))
+    out = StructType([StructField("a", sets.schema["id"].dataType), StructField("b", sets.schema["id"].dataType), StructField("enough", IntegerType())])
+    met = rows.repartition(parts, "g").groupBy("g").applyInArrow(grams.meet(threshold, slack), out)
+    found = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("met"), F.first("enough").alias("enough"))
+    return stored(found.where("met >= enough").select("a", "b"), "set-pairs")
 
 
 def greedy_drops(edges: DataFrame, rounds: int = 100) -> DataFrame:

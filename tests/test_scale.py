@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.functions import grams as grams_
 from sparkloom.functions import text as T
 from sparkloom.operators import cooccur, dedup, graph, search, vector_index
 from sparkloom.plans.bindings import articles, read
@@ -57,6 +58,59 @@ def test_a_shared_stem_makes_no_pairs(spark):
     assert dedup.similar_pairs(df).count() == 10_000
 
 
+def shuffled_rows(spark):
+    """Rows that all stages so far have written to be shuffled."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_sets_that_only_share_elements_are_not_shuffled(spark):
+    """2,000 texts of 40 of the same 160 words share rare grams by the thousand; only the planted near copies leave the tasks where they meet."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(160)]
+    rows = []
+    for i in range(1_900):
+        rows.append((i, " ".join(rng.sample(words, 40))))
+    rows += [(i, rows[i - 1_900][1] + "x") for i in range(1_900, 2_000)]
+    df = spark.createDataFrame(rows, "doc_id long, title string").repartition(4)
+    s = df.select(F.col("doc_id").alias("id"), F.transform(T.shingles("title"), lambda x: F.xxhash64(x)).alias("s")).localCheckpoint()
+    elements = s.agg(F.sum(F.size("s"))).first()[0]
+    before = shuffled_rows(spark)
+    got = {(r.a, r.b) for r in dedup.candidate_pairs(s, 0.85).collect()}
+    assert {(i - 1_900, i) for i in range(1_900, 2_000)} <= got and len(got) < 200
+    assert shuffled_rows(spark) - before < 0.5 * elements
+
+
+def jaccard_pairs(sets, threshold):
+    return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
+
+
+def test_candidates_in_blocks_and_of_large_sets(spark, monkeypatch):
+    """No similar pair is lost where all sets share elements, in cut buckets, among sets of very different sizes; ids are strings."""
+    monkeypatch.setattr(grams_, "MEET", 60)
+    monkeypatch.setattr(grams_, "SENT", 100)
+    monkeypatch.setattr(grams_, "PAIRS", 1_000)
+    rng = random.Random(11)
+    sets = {}
+    for c, size in enumerate([1, 2, 3, 8, 40, 150, 300, 700, 1_500, 2_400, 2_600, 3_100, 6_000]):
+        base = [rng.randrange(-(2**63), 2**63) for _ in range(size)]
+        for i in range(14 if size < 1_000 else 7):
+            own = rng.randrange(size // 6 + 1)
+            sets[f"{c}-{i}"] = set(rng.sample(base, size - rng.randrange(own + 1))) | {rng.randrange(-(2**63), 2**63) for _ in range(own)} | {1, 2}
+    hot = [rng.randrange(-(2**63), 2**63) for _ in range(3)]
+    sets |= {f"hot{i}": {*hot, *rng.sample(range(10, 40), rng.randrange(4))} for i in range(300)}
+    sets = dict({frozenset(s): i for i, s in sets.items()}.items())
+    sets = {i: s for s, i in sets.items()}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id string, s array<long>").repartition(3)
+    for threshold in (0.6, 0.85, 1.0):
+        want = jaccard_pairs(sets, threshold)
+        got = [(r.a, r.b) for r in dedup.candidate_pairs(df, threshold).collect()]
+        assert len(got) == len(set(got)) and want <= set(got) and all(a < b for a, b in got)
+        assert threshold == 1.0 or len(want) > 100
+
+
 def test_stored_sets_are_a_fraction_of_the_elements(spark, monkeypatch):
     """20 texts of 5,000 grams each: a prefix is stored, not a row for each gram."""
     rows = {}
