@@ -83,6 +83,26 @@ def test_sets_that_only_share_elements_are_not_shuffled(spark):
     assert shuffled_rows(spark) - before < 0.5 * elements
 
 
+@pytest.mark.parametrize("job", ["groups", "kept", "report"])
+def test_jobs_on_similar_pairs_shuffle_no_meetings(spark, job):
+    """1,500 texts of 40 of the same 160 words and 50 near copies, each once more."""
+    rng = random.Random(17)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(160)]
+    texts = [" ".join(rng.sample(words, 40)) for _ in range(1_500)]
+    texts += [t + "x" for t in texts[:50]]
+    texts += [t + "x" for t in texts[:50]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, title string").repartition(4).localCheckpoint()
+    before = shuffled_rows(spark)
+    if job == "groups":
+        got = {(r.root, r.member) for r in dedup.duplicate_groups(dedup.stored(dedup.similar_pairs(df), "pairs"), dedup.set_copies(df)).collect()}
+        assert got == {(i, n * 50 + 1_500 + i) for i in range(50) for n in range(2)}
+    elif job == "kept":
+        assert {r.doc_id for r in dedup.dedup_similar(df).collect()} == set(range(1_500))
+    else:
+        assert tuple(dedup.dedup_step(df)[1].first()) == (1_600, 1_550, 1_500)
+    assert shuffled_rows(spark) - before < 0.4 * sum(len(grams(t)) for t in texts)
+
+
 def jaccard_pairs(sets, threshold):
     return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
 
